@@ -1,0 +1,81 @@
+"""Tables as immutable parquet snapshots behind one manifest.
+
+Every write goes to a new folder. A commit appends one manifest file that names the folders of
+all tables it changed, so readers see all of them or none, across both layers.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from rosterlake.schemas import OLAP, OLTP, TABLES
+
+LAYERS = {"OLTP": tuple(OLTP), "OLAP": tuple(OLAP)}
+_MANIFEST = "generation LONG, table STRING, path STRING, schema STRING"
+
+
+class SnapshotStore:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    def write(self, table: str, df: DataFrame) -> tuple[str, str]:
+        """Write a new snapshot; it stays invisible until committed."""
+        path = f"{self.root}/data/{table}/{uuid.uuid4().hex[:12]}"
+        declared = TABLES.get(table)
+        if declared:
+            df = df.select(
+                *[F.col(f.name).cast(f.dataType).alias(f.name) for f in declared.schema.fields]
+            )
+        df.write.partitionBy(*(declared.partition_by if declared else ())).parquet(path)
+        return path, df.schema.json()
+
+    def open(self, path: str, schema_json: str) -> DataFrame:
+        schema = StructType.fromJson(json.loads(schema_json))
+        return self.spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+    def append(self, table: str, rows: DataFrame) -> tuple[str, str]:
+        """Snapshot of the current rows plus ``rows``."""
+        return self.write(table, self.read(table).unionByName(rows))
+
+    def commit(self, written: dict[str, tuple[str, str]]) -> int:
+        """Make the given snapshots current, together."""
+        current = {r["table"]: (r["path"], r["schema"]) for r in self._entries()}
+        generation = self.generation() + 1
+        rows = [(generation, t, p, s) for t, (p, s) in {**current, **written}.items()]
+        entry = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
+        entry.write.mode("append").parquet(f"{self.root}/manifest")
+        return generation
+
+    def read(self, table: str) -> DataFrame:
+        for row in self._entries():
+            if row["table"] == table:
+                return self.open(row["path"], row["schema"])
+        raise KeyError(f"no snapshot of {table} under {self.root}")
+
+    def tables(self, names=None) -> dict[str, DataFrame]:
+        """All current tables, read from one generation."""
+        return {
+            row["table"]: self.open(row["path"], row["schema"])
+            for row in self._entries()
+            if names is None or row["table"] in names
+        }
+
+    def generation(self) -> int:
+        return max((r["generation"] for r in self._entries()), default=0)
+
+    def _entries(self) -> list:
+        try:
+            manifest = self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+        last = manifest.select(F.max("generation"))
+        return manifest.filter(F.col("generation") == last.scalar()).collect()
