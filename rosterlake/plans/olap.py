@@ -10,7 +10,7 @@ from rosterlake.functions.labels import full_name
 from rosterlake.operators.keys import assign_dense_keys, assign_keys, date_key, number_ordered
 from rosterlake.operators.merge import insert_ignore, keep_one
 from rosterlake.operators.timeline import open_end
-from rosterlake.plans.oltp import PREFER_CURRENT
+from rosterlake.plans.oltp import prefer_current
 from rosterlake.schemas import OLAP, SOURCE_KEY
 from rosterlake.session import materialise
 from rosterlake.sources.seeds import unknown_project
@@ -41,7 +41,7 @@ def extend_dim_date(existing: DataFrame, days: DataFrame) -> DataFrame:
 def dedup_staging(staging: DataFrame) -> DataFrame:
     """One row per employee and start date."""
     rows = staging.filter("employee_id IS NOT NULL AND effective_start_date IS NOT NULL")
-    return keep_one(rows, ["employee_id", "effective_start_date"], PREFER_CURRENT)
+    return keep_one(rows, ["employee_id", "effective_start_date"], prefer_current())
 
 
 def employee_versions(staging: DataFrame) -> DataFrame:

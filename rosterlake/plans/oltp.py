@@ -6,7 +6,7 @@ that copies staging as it is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.functions import cleanse
@@ -17,8 +17,11 @@ from rosterlake.schemas import OLTP, SOURCE_KEY
 from rosterlake.session import materialise
 from rosterlake.sources.seeds import seed_projects
 
-# Which of several staged rows of one key wins.
-PREFER_CURRENT = [F.desc("is_current"), F.desc(SOURCE_KEY)]
+
+def prefer_current() -> list[Column]:
+    """Which of several staged rows of one key wins."""
+    return [F.desc("is_current"), F.desc(SOURCE_KEY)]
+
 
 _COPIED = {
     "phone_number": "phone_number", "age": "Age", "gender": "Gender",
@@ -180,7 +183,7 @@ def _assignments(employees: DataFrame, by_department: DataFrame) -> DataFrame:
 def performance_reviews(staging: DataFrame, employees: DataFrame) -> DataFrame:
     """One cleansed review per employee and start date, for known employees."""
     rows = staging.join(employees.select("employee_id"), "employee_id", "left_semi")
-    one = keep_one(rows, ["employee_id", "effective_start_date"], PREFER_CURRENT)
+    one = keep_one(rows, ["employee_id", "effective_start_date"], prefer_current())
     return _reviews(one, cleanse.review_columns(), ["employee_id", "review_date"])
 
 

@@ -65,22 +65,22 @@ class Warehouse:
         return self.tables[name]
 
 
-_loaded: dict[tuple[str, str], str] = {}
+_loaded: dict[tuple[str, str], Warehouse] = {}
 
 
-def load_warehouse(spark: SparkSession, sf_dir: str) -> SnapshotStore:
+def load_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """A fresh load of the folder's tables."""
     store = SnapshotStore(spark, scratch_path(spark, "warehouse"))
-    run_full_load(spark, source.staging_rows(spark, sf_dir), store, FIXTURE_LOAD)
-    return store
+    result = run_full_load(spark, source.staging_rows(spark, sf_dir), store, FIXTURE_LOAD)
+    return Warehouse(spark, sf_dir, store, result.tables)
 
 
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The folder's warehouse, loaded on first use. Its snapshots are never rewritten."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _loaded:
-        _loaded[key] = load_warehouse(spark, sf_dir).root
-    store = SnapshotStore(spark, _loaded[key])
-    return Warehouse(spark, sf_dir, store, store.tables())
+        _loaded[key] = load_warehouse(spark, sf_dir)
+    return _loaded[key]
 
 
 def presented(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -23,8 +24,16 @@ effective_end_date DATE, is_current INT, change_reason STRING
 """
 
 
-def struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"INT": T.IntegerType, "LONG": T.LongType, "STRING": T.StringType, "DATE": T.DateType}
+
+
+def struct(columns: str) -> T.StructType:
+    """'name TYPE, ...' as a schema, without needing a session at import time."""
+    fields = []
+    for name, kind, digits, scale in re.findall(r"(\w+) (\w+)(?:\((\d+),(\d+)\))?", columns):
+        data_type = T.DecimalType(int(digits), int(scale)) if digits else _TYPES[kind]()
+        fields.append(T.StructField(name, data_type))
+    return T.StructType(fields)
 
 
 STAGING = struct(STAGING_DDL)
