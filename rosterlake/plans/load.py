@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.plans import olap, oltp
 from rosterlake.schemas import STAGING_TABLE
+from rosterlake.session import materialise
 from rosterlake.sources.calendar import CALENDAR_V2, calendar
 from rosterlake.sources.snapshots import SnapshotStore
 
@@ -30,7 +32,11 @@ class LoadResult:
 def run_full_load(
     spark: SparkSession, staging: DataFrame, store: SnapshotStore, config: LoadConfig = LoadConfig()
 ) -> LoadResult:
-    """Reload every table from staging; readers keep the previous generation until the end."""
+    """Reload every table from staging; readers keep the previous generation until the end.
+
+    The operational tables, the employee versions and the calendar depend only on staging, so
+    their jobs are submitted side by side.
+    """
     written: dict[str, tuple[str, str]] = {}
     tables: dict[str, DataFrame] = {}
 
@@ -40,25 +46,44 @@ def run_full_load(
         return tables[name]
 
     staging = save(STAGING_TABLE, staging)
-    departments = save("departments", oltp.departments(staging))
-    jobs = save("jobs", oltp.with_job_ids(oltp.distinct_jobs(staging)))
-    unmanaged = store.open(*store.write("employees", oltp.employees(staging, jobs, departments)))
-    employees = save("employees", oltp.with_managers(unmanaged))
-    projects = save("projects", oltp.projects(spark, departments))
-    assignments = save("project_assignments", oltp.project_assignments(employees, projects))
-
-    versions = olap.employee_versions(staging)
-    save("performance_reviews", olap.reviews_of_versions(versions, employees))
-    dim_department = save("dim_department", olap.dim_department(departments))
-    dim_project = save("dim_project", olap.dim_project(projects, config.unknown_project_since))
-    dim_date = save("dim_date", _calendar(spark, store, config))
-    save("dim_employee", olap.dim_employee(versions))
-    save(
-        "fact_performance_reviews",
-        olap.fact_reviews_of_versions(versions, dim_department, dim_project, dim_date, assignments),
-    )
-    generation = store.commit(written)
-    return LoadResult(generation, "SUCCESS: full load completed", tables)
+
+    def versions() -> DataFrame:
+        keyed = olap.employee_versions(staging)
+        save("dim_employee", olap.dim_employee(keyed))
+        return keyed
+
+    def small_dimensions() -> None:
+        save("dim_department", olap.dim_department(departments))
+        save("dim_project", olap.dim_project(projects, config.unknown_project_since))
+
+    def reviews() -> None:
+        save("performance_reviews", olap.reviews_of_versions(keyed.result(), employees))
+
+    with ThreadPoolExecutor() as pool:
+        keyed = pool.submit(versions)
+        jobs = pool.submit(lambda: save("jobs", oltp.with_job_ids(oltp.distinct_jobs(staging))))
+        dates = pool.submit(lambda: save("dim_date", _calendar(spark, store, config)))
+        departments = save("departments", oltp.departments(staging))
+        projects = save("projects", oltp.projects(spark, departments))
+        dimensions = pool.submit(small_dimensions)
+
+        unmanaged = oltp.employees(staging, jobs.result(), departments)
+        employees = save("employees", oltp.with_managers(materialise(unmanaged, "employees")))
+        reviewed = pool.submit(reviews)
+        assignments = save("project_assignments", oltp.project_assignments(employees, projects))
+        dimensions.result()
+        save(
+            "fact_performance_reviews",
+            olap.fact_reviews_of_versions(
+                keyed.result(),
+                tables["dim_department"],
+                tables["dim_project"],
+                dates.result(),
+                assignments,
+            ),
+        )
+        reviewed.result()
+    return LoadResult(store.commit(written), "SUCCESS: full load completed", tables)
 
 
 def _calendar(spark: SparkSession, store: SnapshotStore, config: LoadConfig) -> DataFrame:

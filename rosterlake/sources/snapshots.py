@@ -46,8 +46,9 @@ class SnapshotStore:
 
     def commit(self, written: dict[str, tuple[str, str]]) -> int:
         """Make the given snapshots current, together."""
-        current = {r["table"]: (r["path"], r["schema"]) for r in self._entries()}
-        generation = self.generation() + 1
+        entries = self._entries()
+        current = {r["table"]: (r["path"], r["schema"]) for r in entries}
+        generation = max((r["generation"] for r in entries), default=0) + 1
         rows = [(generation, t, p, s) for t, (p, s) in {**current, **written}.items()]
         entry = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
         entry.write.mode("append").parquet(f"{self.root}/manifest")
