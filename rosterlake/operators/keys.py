@@ -45,7 +45,7 @@ def assign_dense_keys(
     Blocks of `DENSE_BLOCK` consecutive integers hold at most that many distinct values, so
     the numbering needs one shuffle and no written copy.
     """
-    block = F.floor(F.col(dense) / F.lit(DENSE_BLOCK)).cast("long")
+    block = F.expr(f"{dense} div {DENSE_BLOCK}")
     blocked = df.withColumn("__block", block)
     in_block = Window.partitionBy("__block").orderBy(dense, *(then_by or []))
     return (

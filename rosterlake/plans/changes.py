@@ -57,9 +57,13 @@ class ScdChange:
 
 
 def describe_changes(changes: DataFrame, jobs: DataFrame, employees: DataFrame) -> DataFrame:
-    """Role-change requests with the job text and the attrition flag that is carried forward."""
+    """Role-change requests with the job text and the attrition flag that is carried forward.
+
+    Written, so that this join and the next one on the employee are planned, and split where
+    one employee is hot, each on its own.
+    """
     attrition = employees.select("employee_id", "attrition")
-    return (
+    described = (
         _with_job_text(changes, jobs, "new_job_id", UNKNOWN_JOB_UPDATE)
         .join(attrition, "employee_id", "left")
         .select(
@@ -75,6 +79,7 @@ def describe_changes(changes: DataFrame, jobs: DataFrame, employees: DataFrame)
             F.coalesce("attrition", F.lit("No")).alias("attrition"),
         )
     )
+    return materialise(described, "described-changes")
 
 
 def apply_scd2_changes(dim: DataFrame, changes: DataFrame) -> ScdChange:
@@ -236,18 +241,17 @@ def assign_projects(
     valid = requests.filter(_no_errors(rules.assignment_errors())).withColumn(
         "role_in_project", rules.stripped(F.col("role_in_project"))
     )
-    valid = _existing(valid, employees, "employee_id", "employee_id")
-    valid = _existing(valid, projects, "project_id", "project_id")
-
     order = F.struct("ts", "request_id")
     pair = ["employee_id", "project_id"]
+    # Reduced to pairs before any join: requests of a busy employee never meet in one task.
     wanted = valid.groupBy(*pair).agg(
         F.min(order).alias("__first"),
         F.min_by("assigned_date", order).alias("__date"),
         F.max_by("role_in_project", order).alias("__role"),
         F.max_by("allocation_percentage", order).alias("__allocation"),
     )
-    wanted = materialise(wanted, "assignments")
+    wanted = _existing(wanted, employees, "employee_id", "employee_id")
+    wanted = materialise(_existing(wanted, projects, "project_id", "project_id"), "assignments")
     columns = OLTP["project_assignments"].columns
     updated = (
         assignments.join(wanted, pair, "left")

@@ -182,9 +182,10 @@ def _assignments(employees: DataFrame, by_department: DataFrame) -> DataFrame:
 
 def performance_reviews(staging: DataFrame, employees: DataFrame) -> DataFrame:
     """One cleansed review per employee and start date, for known employees."""
-    rows = staging.join(employees.select("employee_id"), "employee_id", "left_semi")
-    one = keep_one(rows, ["employee_id", "effective_start_date"], prefer_current())
-    return _reviews(one, cleanse.review_columns(), ["employee_id", "review_date"])
+    # Deduplicated first: the join then meets at most one row per employee and day.
+    one = keep_one(staging, ["employee_id", "effective_start_date"], prefer_current())
+    known = one.join(employees.select("employee_id"), "employee_id", "left_semi")
+    return _reviews(known, cleanse.review_columns(), ["employee_id", "review_date"])
 
 
 def performance_reviews_v1(staging: DataFrame) -> DataFrame:
