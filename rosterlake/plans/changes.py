@@ -51,9 +51,11 @@ def _existing(df: DataFrame, table: DataFrame, column: str, key: str) -> DataFra
 
 @dataclass(frozen=True)
 class ScdChange:
+    """``touched``: all versions that were current before, plus the new ones."""
+
     snapshot: DataFrame
+    touched: DataFrame
     rejected: DataFrame
-    new_versions: DataFrame
 
 
 def describe_changes(changes: DataFrame, jobs: DataFrame, employees: DataFrame) -> DataFrame:
@@ -128,16 +130,16 @@ def apply_scd2_changes(dim: DataFrame, changes: DataFrame) -> ScdChange:
         F.coalesce("attrition", F.lit("No")).alias("attrition"),
     )
     keyed = assign_keys(versions, ["ts", "change_id"], "emp_key", next_key(dim, "emp_key"))
-    new_versions = keyed.select(*_DIM)
+    touched = base.unionByName(keyed.select(*_DIM))
     expired = dim.filter("is_current = 0").select(*_DIM)
-    snapshot = expired.unionByName(base).unionByName(new_versions)
-    return ScdChange(snapshot, rejected, new_versions)
+    return ScdChange(expired.unionByName(touched), touched, rejected)
 
 
 @dataclass(frozen=True)
 class RoleUpdate:
     employees: DataFrame
     dim_employee: DataFrame
+    touched: DataFrame
     rejected: DataFrame
 
 
@@ -162,7 +164,8 @@ def update_employee_roles(
     for column in ("department_id", "job_id", "monthly_income"):
         updated = updated.withColumn(column, F.coalesce(f"new_{column}", column))
     applied = apply_scd2_changes(dim_employee, describe_changes(valid, jobs, employees))
-    return RoleUpdate(updated.select(*OLTP["employees"].columns), applied.snapshot, rejected)
+    columns = OLTP["employees"].columns
+    return RoleUpdate(updated.select(*columns), applied.snapshot, applied.touched, rejected)
 
 
 # --- new hires --------------------------------------------------------------------------
@@ -233,12 +236,19 @@ def _row(table, source: DataFrame, own: dict[str, Column]) -> list[Column]:
 # --- project assignments ----------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class ProjectAssignments:
+    snapshot: DataFrame
+    rejected: DataFrame
+
+
 def assign_projects(
     requests: DataFrame, assignments: DataFrame, employees: DataFrame, projects: DataFrame
-) -> DataFrame:
+) -> ProjectAssignments:
     """Insert or update per (employee, project): the last role and allocation win, the first
     date stays."""
-    valid = requests.filter(_no_errors(rules.assignment_errors())).withColumn(
+    checked = requests.withColumn("__ok", _no_errors(rules.assignment_errors()))
+    valid = checked.filter("__ok").withColumn(
         "role_in_project", rules.stripped(F.col("role_in_project"))
     )
     order = F.struct("ts", "request_id")
@@ -266,8 +276,12 @@ def assign_projects(
         F.col("__allocation").alias("allocation_percentage"),
         F.col("__date").alias("assigned_date"),
     )
-    start = next_key(assignments, "assignment_id")
-    return updated.unionByName(assign_keys(fresh, ["__first"], "assignment_id", start).select(*columns))
+    keyed = assign_keys(fresh, ["__first"], "assignment_id", next_key(assignments, "assignment_id"))
+    known = wanted.select(*pair, F.lit(True).alias("__known"))
+    refused = checked.join(known, pair, "left").filter("NOT (__ok AND __known IS NOT NULL)")
+    return ProjectAssignments(
+        updated.unionByName(keyed.select(*columns)), refused.select(*requests.columns)
+    )
 
 
 # --- reviews ----------------------------------------------------------------------------

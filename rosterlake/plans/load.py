@@ -12,7 +12,7 @@ from rosterlake.plans import olap, oltp
 from rosterlake.schemas import STAGING_TABLE
 from rosterlake.session import materialise
 from rosterlake.sources.calendar import CALENDAR_V2, calendar
-from rosterlake.sources.snapshots import SnapshotStore
+from rosterlake.sources.snapshots import Entry, SnapshotStore
 
 
 @dataclass(frozen=True)
@@ -37,12 +37,12 @@ def run_full_load(
     The operational tables, the employee versions and the calendar depend only on staging, so
     their jobs are submitted side by side.
     """
-    written: dict[str, tuple[str, str]] = {}
+    written: dict[str, Entry] = {}
     tables: dict[str, DataFrame] = {}
 
     def save(name: str, df: DataFrame) -> DataFrame:
         written[name] = store.write(name, df)
-        tables[name] = store.open(*written[name])
+        tables[name] = store.open(name, written[name])
         return tables[name]
 
     staging = save(STAGING_TABLE, staging)

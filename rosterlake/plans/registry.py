@@ -446,7 +446,7 @@ def assign_projects_upsert(w):
     requests = source.assignment_requests(w.spark, w.sf_dir)
     return changes.assign_projects(
         requests, w["project_assignments"], w["employees"], w["projects"]
-    )
+    ).snapshot
 
 
 @_query

@@ -1,23 +1,37 @@
-"""Tables as immutable parquet snapshots behind one manifest.
+"""Tables as immutable parquet segments behind one manifest.
 
-Every write goes to a new folder. A commit appends one manifest file that names the folders of
-all tables it changed, so readers see all of them or none, across both layers.
+A write goes to a new folder. A commit appends one manifest file that names the segments of all
+tables it changed, so readers see all of them or none, across both layers. A table is a list of
+segments: appending adds one, and a change replaces only the partitions it touches.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 from rosterlake.schemas import OLAP, OLTP, TABLES
 
 LAYERS = {"OLTP": tuple(OLTP), "OLAP": tuple(OLAP)}
-_MANIFEST = "generation LONG, table STRING, path STRING, schema STRING"
+_MANIFEST = "generation LONG, table STRING, segments ARRAY<STRING>, schema STRING"
+_MARK = "mark:"
+
+
+@dataclass(frozen=True)
+class Entry:
+    """What a table consists of: folders below the table's own, and the columns."""
+
+    segments: tuple[str, ...]
+    schema: str
+
+    def __add__(self, other: Entry) -> Entry:
+        return Entry(self.segments + other.segments, other.schema)
 
 
 class SnapshotStore:
@@ -25,53 +39,91 @@ class SnapshotStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def write(self, table: str, df: DataFrame) -> tuple[str, str]:
-        """Write a new snapshot; it stays invisible until committed."""
-        path = f"{self.root}/data/{table}/{uuid.uuid4().hex[:12]}"
+    def _folder(self, table: str) -> str:
+        return f"{self.root}/data/{table}"
+
+    # --- writing; nothing is visible before the commit ---------------------------------
+
+    def write(self, table: str, df: DataFrame) -> Entry:
+        """Write rows as a new segment, one per partition value for partitioned tables."""
         declared = TABLES.get(table)
         if declared:
             df = df.select(
                 *[F.col(f.name).cast(f.dataType).alias(f.name) for f in declared.schema.fields]
             )
-        df.write.partitionBy(*(declared.partition_by if declared else ())).parquet(path)
-        return path, df.schema.json()
-
-    def open(self, path: str, schema_json: str) -> DataFrame:
-        schema = StructType.fromJson(json.loads(schema_json))
-        return self.spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
-
-    def append(self, table: str, rows: DataFrame) -> tuple[str, str]:
-        """Snapshot of the current rows plus ``rows``."""
-        return self.write(table, self.read(table).unionByName(rows))
-
-    def commit(self, written: dict[str, tuple[str, str]]) -> int:
-        """Make the given snapshots current, together."""
-        entries = self._entries()
-        current = {r["table"]: (r["path"], r["schema"]) for r in entries}
-        generation = max((r["generation"] for r in entries), default=0) + 1
-        rows = [(generation, t, p, s) for t, (p, s) in {**current, **written}.items()]
-        entry = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
-        entry.write.mode("append").parquet(f"{self.root}/manifest")
+        partition_by = list(declared.partition_by) if declared else []
+        segment = f"snapshot={uuid.uuid4().hex[:12]}"
+        path = f"{self._folder(table)}/{segment}"
+        df.write.partitionBy(*partition_by).parquet(path)
+        segments = [segment]
+        if partition_by:
+            written = self.spark.read.schema(df.schema).parquet(path)
+            values = written.select(*partition_by).distinct().collect()
+            segments = [
+                "/".join([segment, *(f"{c}={row[c]}" for c in partition_by)]) for row in values
+            ]
+        return Entry(tuple(segments), df.schema.json())
+
+    def append(self, table: str, rows: DataFrame) -> Entry:
+        """The current segments and one with the new rows."""
+        return self.entry(table) + self.write(table, rows)
+
+    def replace_partition(self, table: str, partition: str, rows: DataFrame) -> Entry:
+        """The current segments outside the partition, and the given rows."""
+        current = self.entry(table)
+        kept = tuple(s for s in current.segments if partition not in s.split("/"))
+        return Entry(kept, current.schema) + self.write(table, rows)
+
+    def commit(self, written: dict[str, Entry], mark: tuple[str, int] | None = None) -> int:
+        """Make the given entries current, together, with an optional progress mark."""
+        rows = self._rows()
+        generation = max((r["generation"] for r in rows), default=0) + 1
+        entries = {r["table"]: Entry(tuple(r["segments"]), r["schema"]) for r in rows} | written
+        if mark:
+            entries[_MARK + mark[0]] = Entry((str(mark[1]),), "")
+        records = [(generation, t, list(e.segments), e.schema) for t, e in entries.items()]
+        manifest = self.spark.createDataFrame(records, _MANIFEST).coalesce(1)
+        manifest.write.mode("append").parquet(f"{self.root}/manifest")
         return generation
 
-    def read(self, table: str) -> DataFrame:
-        for row in self._entries():
+    # --- reading -----------------------------------------------------------------------
+
+    def open(self, table: str, entry: Entry) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(entry.schema))
+        names = schema.fieldNames()
+        if not entry.segments:
+            return self.spark.createDataFrame([], schema)
+        stored = T.StructType([*schema.fields, T.StructField("snapshot", T.StringType())])
+        reader = self.spark.read.schema(stored).option("basePath", self._folder(table))
+        return reader.parquet(*[f"{self._folder(table)}/{s}" for s in entry.segments]).select(*names)
+
+    def entry(self, table: str) -> Entry:
+        for row in self._rows():
             if row["table"] == table:
-                return self.open(row["path"], row["schema"])
+                return Entry(tuple(row["segments"]), row["schema"])
         raise KeyError(f"no snapshot of {table} under {self.root}")
 
+    def read(self, table: str) -> DataFrame:
+        return self.open(table, self.entry(table))
+
     def tables(self, names=None) -> dict[str, DataFrame]:
         """All current tables, read from one generation."""
         return {
-            row["table"]: self.open(row["path"], row["schema"])
-            for row in self._entries()
-            if names is None or row["table"] in names
+            row["table"]: self.open(row["table"], Entry(tuple(row["segments"]), row["schema"]))
+            for row in self._rows()
+            if not row["table"].startswith(_MARK) and (names is None or row["table"] in names)
         }
 
     def generation(self) -> int:
-        return max((r["generation"] for r in self._entries()), default=0)
+        return max((r["generation"] for r in self._rows()), default=0)
+
+    def mark(self, name: str) -> int:
+        """The last committed progress mark of that name, -1 before the first."""
+        found = [int(r["segments"][0]) for r in self._rows() if r["table"] == _MARK + name]
+        return found[0] if found else -1
 
-    def _entries(self) -> list:
+    def _rows(self) -> list:
+        """Manifest rows of the current generation: one per table."""
         try:
             manifest = self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
         except AnalysisException as error:
