@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -44,7 +45,7 @@ def load_csv_to_staging(
         raise
     try:
         store.commit({STAGING_TABLE: store.write(STAGING_TABLE, rows)})
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         log.exception("staging load of %s failed", path)
         return False
     return True
