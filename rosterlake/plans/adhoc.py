@@ -40,11 +40,16 @@ def audit_reason(sql_text: Column) -> Column:
     return reason.otherwise(VALID)
 
 
+def has_limit(sql_text: Column) -> Column:
+    """Whether a row limit is written anywhere in the text, in a subquery too."""
+    return sql_text.rlike(r"(?iU)\bLIMIT\s+\d+")
+
+
 def capped_sql(sql_text: Column, cap: int = ROW_CAP) -> Column:
-    """The text with a row limit, unless one is written anywhere in it."""
+    """The text with a row limit, unless it has one."""
     bare = F.regexp_replace(sql_text, r";+\z", "")
     limited = F.concat(bare, F.lit(f" LIMIT {cap};"))
-    return F.when(sql_text.rlike(r"(?iU)\bLIMIT\s+\d+"), sql_text).otherwise(limited)
+    return F.when(has_limit(sql_text), sql_text).otherwise(limited)
 
 
 def sql_audit(queries: DataFrame, column: str = "sql_text") -> DataFrame:
@@ -61,15 +66,16 @@ class RejectedQuery(ValueError):
 def run_guarded(
     store: SnapshotStore, sql_text: str, layer: str = DEFAULT_LAYER, cap: int = ROW_CAP
 ) -> DataFrame:
-    """Run one audited query against the current tables of one layer, at most ``cap`` rows.
+    """Run one audited query against the current tables of one layer.
 
-    Anything that is not the star schema goes to the operational layer. The query runs in a
+    Without a limit of its own it returns at most ``cap`` rows. Anything that is not the star schema goes to the operational layer. The query runs in a
     session of its own that sees the layer's views and cannot open files by path.
     """
     text = store.spark.range(1).select(F.lit(sql_text).alias("sql_text"))
     verdict = text.select(
         audit_reason(F.col("sql_text")).alias("reason"),
         F.col("sql_text").rlike(rf"(?i)\b({'|'.join(_ESCAPES)})\b").alias("escapes"),
+        has_limit(F.col("sql_text")).alias("limited"),
     ).first()
     if verdict["reason"] != VALID:
         raise RejectedQuery(verdict["reason"])
@@ -81,4 +87,5 @@ def run_guarded(
     for name, table in SnapshotStore(session, store.root).tables(names).items():
         for view in (name, *VIEW_ALIASES.get(name, ())):
             table.createOrReplaceTempView(view)
-    return session.sql(sql_text.strip().rstrip(";")).limit(cap)
+    result = session.sql(sql_text.strip().rstrip(";"))
+    return result if verdict["limited"] else result.limit(cap)

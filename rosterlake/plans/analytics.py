@@ -246,8 +246,15 @@ def employee_by_id(directory: DataFrame, employee_id: int) -> DataFrame:
     return directory.filter(F.col("employee_id") == employee_id)
 
 
-def employees_in_department(directory: DataFrame, department_name: str) -> DataFrame:
-    return directory.filter(F.col("department_name") == department_name)
+def employees_in_department(
+    directory: DataFrame, department_name: str | None = None, collation: str | None = None
+) -> DataFrame:
+    """Members of a department, or everyone. Names compare byte by byte unless a collation is
+    given, such as UTF8_LCASE or UNICODE_CI_AI."""
+    if not department_name:
+        return directory
+    name = F.col("department_name")
+    return directory.filter((F.collate(name, collation) if collation else name) == department_name)
 
 
 def list_departments(departments: DataFrame) -> DataFrame:

@@ -84,10 +84,13 @@ def describe_changes(changes: DataFrame, jobs: DataFrame, employees: DataFrame)
     return materialise(described, "described-changes")
 
 
-def apply_scd2_changes(dim: DataFrame, changes: DataFrame) -> ScdChange:
+def apply_scd2_changes(
+    dim: DataFrame, changes: DataFrame, default_attrition: str | None = "No"
+) -> ScdChange:
     """Expire the current version at the first change, add one version per change.
 
-    ``change_date`` is the day of ``ts``. Equal to replaying the changes one by one in
+    ``change_date`` is the day of ``ts``; a missing attrition flag becomes the default, or
+    stays missing without one. Equal to replaying the changes one by one in
     (ts, change_id) order: several changes of a day leave zero-length versions. Expired
     versions are passed through unread by any join.
     """
@@ -127,7 +130,7 @@ def apply_scd2_changes(dim: DataFrame, changes: DataFrame) -> ScdChange:
         F.coalesce("__end", open_end()).alias("effective_end_date"),
         F.when(F.col("__end").isNull(), 1).otherwise(0).alias("is_current"),
         "change_reason",
-        F.coalesce("attrition", F.lit("No")).alias("attrition"),
+        F.coalesce("attrition", F.lit(default_attrition)).alias("attrition"),
     )
     keyed = assign_keys(versions, ["ts", "change_id"], "emp_key", next_key(dim, "emp_key"))
     touched = base.unionByName(keyed.select(*_DIM))

@@ -184,7 +184,10 @@ def fact_reviews_v1(
     dim_project: DataFrame,
     assignments: DataFrame,
 ) -> DataFrame:
-    """The fanning-out load: one fact per staged row, version of the day and assignment."""
+    """The fanning-out load: one fact per staged row and assignment of its employee.
+
+    The dimension holds one version per employee and day, so rows multiply by projects only.
+    """
     version = dim_employee.select("employee_id", "effective_start_date", "emp_key")
     project = assignments.select("employee_id", "project_id").join(
         dim_project.select("project_id", "project_key"), "project_id", "left"

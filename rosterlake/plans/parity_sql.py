@@ -587,7 +587,7 @@ def parity_sql() -> dict[str, str]:
         "fact_reviews_v1_fanout": f"""SELECT s.src_key, e.emp_key, d.dept_key, coalesce(p.project_key, 1) AS project_key,
             CAST(strftime(s.effective_start_date, '%Y%m%d') AS INTEGER) AS review_date_key,
             {_RAW_SCORES.replace('"PercentSalaryHike" AS', 'CAST("PercentSalaryHike" AS DOUBLE) AS')},
-            CAST(s."MonthlyIncome" AS DOUBLE) AS monthly_income FROM staging s JOIN dim_employee_v1 e
+            CAST(s."MonthlyIncome" AS DOUBLE) AS monthly_income FROM staging s JOIN dim_employee e
             ON s.employee_id = e.employee_id AND s.effective_start_date = e.effective_start_date
             JOIN dim_department d ON s.department_id = d.department_id
             LEFT JOIN assignments_v1 pa ON s.employee_id = pa.employee_id LEFT JOIN dim_project p ON pa.project_id = p.project_id""",

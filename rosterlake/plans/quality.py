@@ -64,6 +64,13 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _counts(df: DataFrame, label: str, conditions: dict[str, Column]) -> DataFrame:
+    """Rows per condition as (label, violations), all conditions in one pass."""
+    counted = df.agg(*[F.count_if(c).alias(name) for name, c in conditions.items()])
+    names = [F.col(f"`{name}`") for name in conditions]
+    return counted.unpivot([], names, label, "violations")
+
+
 def _count_as(df: DataFrame, name: str, value: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("violations")).select(
         F.lit(value).alias(name), "violations"
@@ -118,13 +125,12 @@ def null_violations(
     """NULLs per required column, one pass per table."""
     checks = [(name, tables[name], list(table.required)) for name, table in TABLES.items()]
     checks += [(n, df, columns) for n, (df, columns) in (extra or {}).items()]
-    reports = []
-    for name, df, columns in checks:
-        counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{name}.{c}") for c in columns])
-        labels = [f"{name}.{c}" for c in columns]
-        quoted = [F.col(f"`{label}`") for label in labels]
-        reports.append(counts.unpivot([], quoted, "required_column", "violations"))
-    return _union(reports)
+    return _union(
+        [
+            _counts(df, "required_column", {f"{name}.{c}": F.col(c).isNull() for c in columns})
+            for name, df, columns in checks
+        ]
+    )
 
 
 def scd2_integrity(dim: DataFrame) -> DataFrame:
@@ -146,13 +152,18 @@ def scd2_integrity(dim: DataFrame) -> DataFrame:
     in_force = changes.withColumn("versions", F.sum("step").over(by_day)).filter(
         F.col("day") < open_end()
     )
-    kinds = {
-        "no_current": per_employee.filter("__current = 0"),
-        "multiple_current": per_employee.filter("__current > 1"),
-        "open_end_not_current": dim.filter((end == open_end()) != current),
-        "negative_length": dim.filter(start > end),
-        "zero_length": dim.filter(start == end),
-        "gap": in_force.filter("versions < 1"),
-        "overlap": in_force.filter("versions > 1"),
-    }
-    return _union([_count_as(df, "kind", kind) for kind, df in kinds.items()])
+    counts = F.col("__current")
+    reports = [
+        _counts(per_employee, "kind", {"no_current": counts == 0, "multiple_current": counts > 1}),
+        _counts(
+            dim,
+            "kind",
+            {
+                "open_end_not_current": (end == open_end()) != current,
+                "negative_length": start > end,
+                "zero_length": start == end,
+            },
+        ),
+        _counts(in_force, "kind", {"gap": F.expr("versions < 1"), "overlap": F.expr("versions > 1")}),
+    ]
+    return _union(reports)

@@ -23,7 +23,7 @@ from rosterlake.operators.timeline import version_as_of
 from rosterlake.plans import adhoc, analytics, changes, olap, oltp, quality
 from rosterlake.plans.load import LoadConfig, load_row_counts, run_full_load
 from rosterlake.schemas import STAGING_TABLE, STAGING_WITH_KEY
-from rosterlake.session import scratch_path
+from rosterlake.session import materialise, scratch_path
 from rosterlake.sources import driver_tables as source
 from rosterlake.sources.calendar import calendar_between
 from rosterlake.sources.csv_staging import read_staging_csv, write_staging_csv
@@ -349,9 +349,10 @@ def fact_reviews(w):
 
 @_query
 def fact_reviews_v1_fanout(w):
-    dim = olap.dim_employee_v1(w.staging)
     assignments = oltp.project_assignments_v1(w["employees"], w["projects"])
-    return olap.fact_reviews_v1(w.staging, dim, w["dim_department"], w["dim_project"], assignments)
+    return olap.fact_reviews_v1(
+        w.staging, w["dim_employee"], w["dim_department"], w["dim_project"], assignments
+    )
 
 
 @_query
@@ -557,7 +558,7 @@ def null_violations(w):
 
 @_query
 def scd2_integrity(w):
-    return quality.scd2_integrity(_scd2(w).snapshot)
+    return quality.scd2_integrity(materialise(_scd2(w).snapshot, "changed-dim"))
 
 
 @_query

@@ -86,6 +86,13 @@ def test_scd2_expires_the_highest_of_several_current_rows(spark):
     assert flags == {1: (1, OPEN_END), 2: (0, "2024-01-01"), 3: (1, OPEN_END)}
 
 
+def test_scd2_may_keep_a_missing_attrition_flag(spark):
+    frame = spark.createDataFrame([_version(1, 1, "2020-01-01")], DIM.schema)
+    request = [(0, moment("2024-01-01T00:00:00"), day("2024-01-01"), 1, 2, "Ops", 1, Decimal(5))]
+    applied = changes.apply_scd2_changes(frame, _described(spark, request), default_attrition=None)
+    assert rows(applied.snapshot, "emp_key", "attrition") == [(1, "No"), (2, None)]
+
+
 def test_scd2_without_changes_is_the_same_table(spark):
     dim = [_version(1, 1, "2020-01-01")]
     frame = spark.createDataFrame(dim, DIM.schema)

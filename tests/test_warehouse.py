@@ -47,8 +47,8 @@ def test_loaded_tables_keep_all_constraints(loaded):
 
 def test_facts_without_fan_out(loaded):
     fanned = olap.fact_reviews_v1(
-        loaded.staging, olap.dim_employee_v1(loaded.staging), loaded["dim_department"],
-        loaded["dim_project"], oltp.project_assignments_v1(loaded["employees"], loaded["projects"]),
+        loaded.staging, loaded["dim_employee"], loaded["dim_department"], loaded["dim_project"],
+        oltp.project_assignments_v1(loaded["employees"], loaded["projects"]),
     )
     assert loaded["fact_performance_reviews"].count() <= fanned.count()
 
@@ -183,6 +183,15 @@ def test_dashboard_frames_equal_the_single_queries(loaded):
         )
 
 
+def test_department_filter_with_and_without_collation(loaded):
+    directory = analytics.employee_directory(loaded["employees"], loaded["departments"], loaded["jobs"])
+    sales = analytics.employees_in_department(directory, "Sales").count()
+    assert sales > 0
+    assert analytics.employees_in_department(directory, "sALES").count() == 0
+    assert analytics.employees_in_department(directory, "sALES", "UTF8_LCASE").count() == sales
+    assert analytics.employees_in_department(directory).count() == directory.count()
+
+
 def test_empty_warehouse_gives_zero_indicators(spark):
     dim = spark.createDataFrame([], OLAP["dim_employee"].schema)
     fact = spark.createDataFrame([], OLAP["fact_performance_reviews"].schema)
