@@ -25,11 +25,12 @@ def with_successor_day(
     All rows of one (key, day) but the last are followed by a row of that same day; the last
     one by the next distinct day.
     """
-    last = F.max(F.struct(*tie_break)).alias("__last")
-    days = df.groupBy(key, day).agg(last)
+    # A single column aggregates by hash, a struct only by sorting.
+    order = F.struct(*tie_break) if len(tie_break) > 1 else F.col(tie_break[0])
+    days = df.groupBy(key, day).agg(F.max(order).alias("__last"))
     by_day = Window.partitionBy(key).orderBy(day)
     days = days.withColumn("__next", F.lead(day).over(by_day))
-    is_last = F.struct(*tie_break) == F.col("__last")
+    is_last = order == F.col("__last")
     return (
         df.join(days, [key, day])
         .withColumn(out, F.when(is_last, F.col("__next")).otherwise(F.col(day)))

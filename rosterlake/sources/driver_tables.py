@@ -224,11 +224,12 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("SELECT * FROM "), kind, F.lit(" INTO OUTFILE '"), event, F.lit("'")),
         F.concat(F.lit("EXECUTE p"), event),
         F.concat(F.lit("SELECT EXECUTE FROM "), kind, F.lit(";;")),
-        F.lit(""),
     ]
+    text = F
+    for number, template in enumerate(templates):
+        text = text.when(F.col("event_id") % 12 == number, template)
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("query_id"),
-        F.element_at(F.array(*templates), (F.col("event_id") % 12 + 1).cast("int")).alias("sql_text"),
+        F.col("event_id").alias("query_id"), text.otherwise("").alias("sql_text")
     )
 
 

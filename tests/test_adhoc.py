@@ -27,6 +27,7 @@ TEXTS = {
     "": START,
     ";": START,
     "SELECT ÜDROP FROM t": VALID,
+    "SELECT a FROM t WHERE x = 'EXEC' AND y = 'call'": "Forbidden keyword detected: 'EXEC'.",
 }
 
 
