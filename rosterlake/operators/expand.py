@@ -35,16 +35,16 @@ def replicate_to_target(
     Every row knows its position and so how many copies of it fit: copies are generated per
     row, with ids first, first + 1, ... in (copy, position) order.
     """
-    positioned = materialise(assign_keys(base, order_by, "__pos", start=0), "replicate")
+    positioned = materialise(assign_keys(base, order_by, "__at", start=0), "replicate")
     size = positioned.count()
     rows = int(size * target) if isinstance(target, float) else target
     if not size or rows <= 0:
-        return positioned.limit(0).withColumn(key, F.lit(0).cast("long")).drop("__pos")
-    last_copy = F.floor((F.lit(rows - 1) - F.col("__pos")) / F.lit(size))
-    copies = F.when(F.col("__pos") < rows, F.sequence(F.lit(0).cast("long"), last_copy))
+        return positioned.limit(0).withColumn(key, F.lit(0).cast("long")).drop("__at")
+    last_copy = F.floor((F.lit(rows - 1) - F.col("__at")) / F.lit(size))
+    copies = F.when(F.col("__at") < rows, F.sequence(F.lit(0).cast("long"), last_copy))
     repeated = positioned.withColumn("__copy", F.explode(copies))
-    id_ = F.lit(FIRST_ID) + F.col("__copy") * size + F.col("__pos")
-    return repeated.withColumn(key, id_.cast("long")).drop("__pos", "__copy")
+    id_ = F.lit(FIRST_ID) + F.col("__copy") * size + F.col("__at")
+    return repeated.withColumn(key, id_.cast("long")).drop("__at", "__copy")
 
 
 def zip_rows(left: DataFrame, left_order: list, right: DataFrame, right_order: list) -> DataFrame:

@@ -11,6 +11,7 @@ from rosterlake.session import materialise
 _SLOT_BITS = 33
 _SLOT_MASK = (1 << _SLOT_BITS) - 1
 DENSE_BLOCK = 1_000_000
+BLOCK_IDS = 4096
 
 
 def assign_keys(df: DataFrame, order_by: list, key: str, start: int | Column = 1) -> DataFrame:
@@ -21,20 +22,33 @@ def assign_keys(df: DataFrame, order_by: list, key: str, start: int | Column = 1
     shifted by the row count of the partitions before its own.
     """
     ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    return number_ordered(ordered, key, start)
-
-
-def number_ordered(ordered: DataFrame, key: str, start: int | Column = 1) -> DataFrame:
-    """`assign_keys` for a frame that is already range-partitioned and sorted."""
     slots = materialise(ordered.withColumn("__slot", F.monotonically_increasing_id()), f"keys-{key}")
-    block = F.shiftright("__slot", _SLOT_BITS)
-    numbered = slots.withColumn("__block", block).join(
-        _offsets(slots.select(block.alias("__block"))), "__block"
+    placed = slots.select(
+        *df.columns,
+        F.shiftright("__slot", _SLOT_BITS).alias("__block"),
+        F.col("__slot").bitwiseAND(F.lit(_SLOT_MASK)).alias("__pos"),
     )
-    position = F.col("__slot").bitwiseAND(F.lit(_SLOT_MASK))
-    return numbered.withColumn(
-        key, (F.col("__before") + position + _as_start(start)).cast("long")
-    ).drop("__slot", "__block", "__before")
+    return _shifted(placed, key, start)
+
+
+def by_block(df: DataFrame, leading: str) -> DataFrame:
+    """Rows with ``__block``, runs of `BLOCK_IDS` values of an INT column, one task per block.
+
+    For tables in which a value of that column has a bounded number of rows. The 32 bits of the
+    column bound the number of blocks.
+    """
+    return df.withColumn("__block", F.expr(f"{leading} div {BLOCK_IDS}")).repartition("__block")
+
+
+def number_blocks(blocked: DataFrame, order_by: list[str], key: str) -> DataFrame:
+    """`assign_keys` for a frame from `by_block` whose leading column comes first in the order.
+
+    No sampling pass: the blocks are known beforehand. Windows within a value of the leading
+    column can share the exchange.
+    """
+    in_block = Window.partitionBy("__block").orderBy(*order_by)
+    placed = blocked.withColumn("__pos", F.row_number().over(in_block) - 1)
+    return _shifted(materialise(placed, f"keys-{key}"), key, 1)
 
 
 def assign_dense_keys(
@@ -48,17 +62,26 @@ def assign_dense_keys(
     block = F.expr(f"{dense} div {DENSE_BLOCK}")
     blocked = df.withColumn("__block", block)
     in_block = Window.partitionBy("__block").orderBy(dense, *(then_by or []))
+    placed = blocked.withColumn("__pos", F.row_number().over(in_block) - 1)
+    return _shifted(placed, key, start, df.select(block.alias("__block")))
+
+
+def _shifted(
+    placed: DataFrame, key: str, start: int | Column, blocks: DataFrame | None = None
+) -> DataFrame:
+    """Positions within blocks to keys over all blocks."""
+    offsets = _offsets(placed.select("__block") if blocks is None else blocks)
+    first = start if isinstance(start, Column) else F.lit(start)
     return (
-        blocked.withColumn("__pos", F.row_number().over(in_block))
-        .join(_offsets(df.select(block.alias("__block"))), "__block")
-        .withColumn(key, (F.col("__before") + F.col("__pos") - 1 + _as_start(start)).cast("long"))
+        placed.join(offsets, "__block")
+        .withColumn(key, (F.col("__before") + F.col("__pos") + first).cast("long"))
         .drop("__block", "__pos", "__before")
     )
 
 
 def _offsets(blocks: DataFrame) -> DataFrame:
     """Rows before each block. One row per block, so the window and the broadcast are bounded
-    by the number of partitions (or by n / DENSE_BLOCK)."""
+    by the number of partitions, by n / DENSE_BLOCK or by 2**32 / BLOCK_IDS."""
     earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     counts = blocks.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
     return F.broadcast(
@@ -66,10 +89,6 @@ def _offsets(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _as_start(start: int | Column) -> Column:
-    return start if isinstance(start, Column) else F.lit(start)
-
-
 def next_key(df: DataFrame, key: str) -> int:
     """max + 1, or 1 for an empty table."""
     return df.agg((F.coalesce(F.max(key), F.lit(0)) + 1).cast("long")).first()[0]

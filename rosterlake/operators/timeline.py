@@ -43,28 +43,32 @@ def version_as_of(
 ) -> DataFrame:
     """Left point-in-time join: the version with ``start <= day < end``, else NULL.
 
-    Days asked for and days on which a version starts are merged per key, the latest start is
-    carried forward, and the answer returns to the probes by (key, day). Work is linear in
-    both inputs; pairs of one key are never enumerated.
+    Versions of positive length do not overlap, so a key has at most one per day. The distinct
+    days asked for are put between them, the latest version is carried forward, and the answer
+    returns to the probes by (key, day). Work is linear in both inputs; pairs of one key are
+    never enumerated.
     """
-    holds = versions.filter(F.col(start) < F.col(end))
-    starts = holds.groupBy(key, F.col(start).alias("__day")).agg(
-        F.max(F.struct(F.col(version).alias("v"), F.col(end).alias("e"))).alias("__version")
+    held = versions.filter(F.col(start) < F.col(end)).select(
+        key,
+        F.col(start).alias("__day"),
+        F.col(version).alias("__version"),
+        F.col(end).alias("__end"),
     )
     asked = probes.select(key, F.col(day).alias("__day")).filter(F.col("__day").isNotNull()).distinct()
-    asked = asked.withColumn("__asked", F.lit(True))
-    merged = starts.withColumn("__asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
-    merged = merged.groupBy(key, "__day").agg(
-        F.max("__version").alias("__version"), F.max("__asked").alias("__asked")
+    merged = held.withColumn("__asked", F.lit(False)).unionByName(
+        asked.withColumn("__asked", F.lit(True)), allowMissingColumns=True
     )
-    so_far = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, 0)
-    answers = (
-        merged.withColumn("__version", F.last("__version", ignorenulls=True).over(so_far))
-        .filter("__asked")
-        .select(
-            key,
-            F.col("__day").alias(day),
-            F.when(F.col("__version.e") > F.col("__day"), F.col("__version.v")).alias(version),
-        )
+    # A version that starts on the day asked for comes first.
+    in_order = Window.partitionBy(key).orderBy("__day", "__asked", "__version")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    carried = merged.select(
+        key,
+        F.col("__day").alias(day),
+        "__asked",
+        F.last("__version", ignorenulls=True).over(so_far).alias("__version"),
+        F.last("__end", ignorenulls=True).over(so_far).alias("__end"),
+    )
+    answers = carried.filter("__asked").select(
+        key, day, F.when(F.col("__end") > F.col(day), F.col("__version")).alias(version)
     )
     return probes.join(answers, [key, day], "left")

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import cleanse
 from rosterlake.functions.labels import full_name
-from rosterlake.operators.keys import assign_dense_keys, assign_keys, date_key, number_ordered
+from rosterlake.operators.keys import (
+    assign_dense_keys,
+    assign_keys,
+    by_block,
+    date_key,
+    number_blocks,
+)
 from rosterlake.operators.merge import insert_ignore, keep_one
 from rosterlake.operators.timeline import open_end
 from rosterlake.plans.oltp import prefer_current
@@ -48,8 +54,8 @@ def employee_versions(staging: DataFrame) -> DataFrame:
     """Deduplicated, cleansed versions with recomputed end date, current flag and ``emp_key``.
 
     The review measures ride along, so that reviews and facts of the same load need no join
-    back to the dimension. One range exchange on the employee serves the LEAD and the keys;
-    after the dedup an employee has at most one row per day, which bounds the window.
+    back to the dimension. One exchange and one sort serve the LEAD and the keys; after the
+    dedup an employee has at most one row per day, which bounds the window and the blocks.
     """
     rows = dedup_staging(staging).select(
         "employee_id",
@@ -57,17 +63,16 @@ def employee_versions(staging: DataFrame) -> DataFrame:
         *cleanse.aliased(cleanse.employee_columns()),
         *cleanse.aliased(cleanse.review_columns()),
     )
-    by_start = Window.partitionBy("employee_id").orderBy("effective_start_date")
+    by_start = Window.partitionBy("__block", "employee_id").orderBy("effective_start_date")
     following = F.lead("effective_start_date").over(by_start)
     versions = (
-        rows.repartitionByRange("employee_id")
+        by_block(rows, "employee_id")
         .withColumn("__following", following)
         .withColumn("effective_end_date", F.coalesce("__following", open_end()))
         .withColumn("is_current", F.when(F.col("__following").isNull(), 1).otherwise(0))
         .drop("__following")
-        .sortWithinPartitions("employee_id", "effective_start_date")
     )
-    return number_ordered(versions, "emp_key")
+    return number_blocks(versions, ["employee_id", "effective_start_date"], "emp_key")
 
 
 def dim_employee(versions: DataFrame) -> DataFrame:

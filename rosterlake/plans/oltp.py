@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import cleanse
 from rosterlake.functions.labels import department_location, department_name
-from rosterlake.operators.keys import assign_dense_keys, assign_keys
+from rosterlake.operators.keys import assign_dense_keys, assign_keys, by_block, number_blocks
 from rosterlake.operators.merge import keep_one
 from rosterlake.schemas import OLTP, SOURCE_KEY
 from rosterlake.session import materialise
@@ -185,21 +185,20 @@ def performance_reviews(staging: DataFrame, employees: DataFrame) -> DataFrame:
     # Deduplicated first: the join then meets at most one row per employee and day.
     one = keep_one(staging, ["employee_id", "effective_start_date"], prefer_current())
     known = one.join(employees.select("employee_id"), "employee_id", "left_semi")
-    return _reviews(known, cleanse.review_columns(), ["employee_id", "review_date"])
+    reviews = _reviews(known, cleanse.review_columns())
+    keyed = number_blocks(
+        by_block(reviews, "employee_id"), ["employee_id", "review_date"], "review_id"
+    )
+    return keyed.select(*OLTP["performance_reviews"].columns)
 
 
 def performance_reviews_v1(staging: DataFrame) -> DataFrame:
     """Every staged row."""
-    return _reviews(
-        staging, cleanse.raw_review_columns(), ["employee_id", "review_date", SOURCE_KEY]
-    )
+    reviews = _reviews(staging, cleanse.raw_review_columns())
+    keyed = assign_keys(reviews, ["employee_id", "review_date", SOURCE_KEY], "review_id")
+    return keyed.select(*OLTP["performance_reviews"].columns)
 
 
-def _reviews(rows: DataFrame, measures: dict, order_by: list[str]) -> DataFrame:
-    reviews = rows.select(
-        "employee_id",
-        F.col("effective_start_date").alias("review_date"),
-        *cleanse.aliased(measures),
-        SOURCE_KEY,
-    )
-    return assign_keys(reviews, order_by, "review_id").select(*OLTP["performance_reviews"].columns)
+def _reviews(rows: DataFrame, measures: dict) -> DataFrame:
+    review_date = F.col("effective_start_date").alias("review_date")
+    return rows.select("employee_id", review_date, *cleanse.aliased(measures), SOURCE_KEY)

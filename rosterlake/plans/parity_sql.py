@@ -24,7 +24,7 @@ def _score(null_every: int) -> str:
     return f"CASE WHEN o_orderkey % {null_every} <> 0 THEN CAST(o_orderkey % 4 + 1 AS INTEGER) END"
 
 
-def _avg(x: str, scale: int = 100) -> str:
+def _avg(x: str) -> str:
     """Exact AVG to two digits, half up, for non-negative x."""
     cents = f"CAST({x} * 100 AS BIGINT)"
     return f"((sum({cents}) * 2 + count({x})) // nullif(2 * count({x}), 0)) / 100.0"
@@ -78,12 +78,11 @@ _OTHERS = {
     "WHEN o_orderkey % 4 = 1 THEN 'Department Transfer' ELSE 'Annual Merit Increase' END",
     "src_key": "o_orderkey",
 }
-_STAGING_COLUMNS = {f.name: f.dataType.simpleString() for f in STAGING_WITH_KEY.fields}
 
 
 def _staging() -> str:
     parts = []
-    for name in _STAGING_COLUMNS:
+    for name in STAGING_WITH_KEY.fieldNames():
         expr = f"CAST({_INTS[name]} AS INTEGER)" if name in _INTS else _OTHERS[name]
         parts.append(f'{expr} AS "{name}"')
     return (
@@ -307,7 +306,7 @@ _STEPS = {
         event_id % 12 - 1 AS percent FROM events WHERE event_type = 'signup'""",
     "candidates": f"SELECT {_CANDIDATE} FROM supplier",
     "checked_candidates": f"SELECT candidate_id, {_ONBOARDING_ERRORS} AS errors FROM candidates",
-    "hireable": f"""SELECT * REPLACE (CASE WHEN manager_id > 0 THEN manager_id + 10000 ELSE 0 END AS manager_id) FROM candidates""",
+    "hireable": """SELECT * REPLACE (CASE WHEN manager_id > 0 THEN manager_id + 10000 ELSE 0 END AS manager_id) FROM candidates""",
     "hires": f"""SELECT row_number() OVER (ORDER BY candidate_id) + (SELECT max(employee_id) FROM employees) AS employee_id, *
         FROM (SELECT * FROM hireable WHERE len({_ONBOARDING_ERRORS}) = 0
         AND department_id IN (SELECT department_id FROM departments) AND job_id IN (SELECT job_id FROM jobs)
@@ -507,13 +506,13 @@ _RAISES = {
         FROM folded f JOIN raises r ON r.employee_id = f.employee_id AND r.n = f.n + 1""",
 }
 _ASSIGN = {
-    "wanted": f"""SELECT employee_id, project_id, min(ts) AS first_ts, arg_min(request_id, request_id) AS first_id,
+    "wanted": f"""SELECT employee_id, project_id, min(request_id) AS first_id,
         arg_min(assigned_date, request_id) AS first_date, arg_max(role_in_project, request_id) AS last_role,
         arg_max(allocation_percentage, request_id) AS last_allocation FROM (SELECT row_number() OVER (ORDER BY ts, request_id) AS request_id,
         ts, employee_id, project_id, trim(role_in_project) AS role_in_project, allocation_percentage, assigned_date
         FROM assignment_requests WHERE len({_ASSIGNMENT_ERRORS}) = 0
-        AND employee_id IN (SELECT employee_id FROM employees) AND project_id IN (SELECT project_id FROM projects)) GROUP BY ALL"""
-    .replace("GROUP BY ALL", "GROUP BY employee_id, project_id"),
+        AND employee_id IN (SELECT employee_id FROM employees) AND project_id IN (SELECT project_id FROM projects))
+        GROUP BY employee_id, project_id""",
 }
 
 

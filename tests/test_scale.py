@@ -10,6 +10,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from rosterlake.operators import keys
 from rosterlake.operators.merge import keep_one
 from rosterlake.plans import olap, oltp, quality, registry
 from rosterlake.plans.load import LoadConfig, run_full_load
@@ -75,16 +76,14 @@ def test_top_n_and_dedup_limit_before_the_shuffle(plans):
         assert re.search(r"WindowGroupLimit.*Partial", plans[name]), name
 
 
-def test_versions_need_no_second_hash_exchange(loaded, no_broadcast):
-    """Dedup shuffles by (employee, day); LEAD and keys share one range exchange."""
-    from pyspark.sql import Window
-
-    rows_ = olap.dedup_staging(loaded.staging).select("employee_id", "effective_start_date")
-    lead = F.lead("effective_start_date").over(
-        Window.partitionBy("employee_id").orderBy("effective_start_date")
-    )
-    plan = plan_of(rows_.repartitionByRange("employee_id").withColumn("following", lead))
-    assert plan.count("Exchange") == 2 and plan.count("rangepartitioning") == 1
+def test_versions_take_two_exchanges(loaded, no_broadcast, monkeypatch):
+    """Dedup shuffles by (employee, day); LEAD and keys share one exchange and one sort."""
+    stored = {}
+    monkeypatch.setattr(keys, "materialise", lambda df, name: stored.setdefault(name, df))
+    olap.employee_versions(loaded.staging)
+    plan = plan_of(stored["keys-emp_key"])
+    assert plan.count("Exchange") == 2
+    assert plan[: plan.index("Exchange")].count("Sort [") == 1
 
 
 def test_joins_beyond_broadcast_size_are_sort_merge(loaded, no_broadcast):
@@ -114,8 +113,8 @@ def test_hot_employee_loads_whole(spark, hot_staging, store_root):
     tables = run_full_load(spark, hot_staging, store, LoadConfig("1990-01-01", "2035-12-31")).tables
     days = hot_staging.select("employee_id", "effective_start_date").distinct()
     assert tables["dim_employee"].count() == days.count()
-    keys = tables["dim_employee"].agg(F.min("emp_key"), F.max("emp_key"), F.countDistinct("emp_key")).first()
-    assert tuple(keys) == (1, days.count(), days.count())
+    found = tables["dim_employee"].agg(F.min("emp_key"), F.max("emp_key"), F.countDistinct("emp_key")).first()
+    assert tuple(found) == (1, days.count(), days.count())
     broken = quality.scd2_integrity(tables["dim_employee"]).filter("violations > 0")
     assert broken.collect() == []
     separate = olap.fact_reviews(
