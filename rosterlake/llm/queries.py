@@ -10,12 +10,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import quality_rules, secret_scan
+from rosterlake.llm import bpe, quality_rules, secret_scan
 from rosterlake.llm.columns import documents, sha256_hex
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.round_trip(documents(spark, sf_dir))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256_hex(listed).alias("ids_sha256"),
+        sha256_hex(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, sf_dir))
 
@@ -40,6 +51,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_bpe": op1_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
 }
