@@ -135,3 +135,9 @@ def judge(docs: DataFrame, thresholds=THRESHOLDS, id_col: str = "doc_id", text_c
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
+
+
+def keep(docs: DataFrame, thresholds=THRESHOLDS, text_col: str = "text") -> DataFrame:
+    """The rows of docs that no rule rejects, all columns."""
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    return judge(rows, thresholds, "row", "text").filter("kept").select("doc_id.*")
