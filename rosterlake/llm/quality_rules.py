@@ -140,4 +140,7 @@ def judge(docs: DataFrame, thresholds=THRESHOLDS, id_col: str = "doc_id", text_c
 def keep(docs: DataFrame, thresholds=THRESHOLDS, text_col: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, all columns."""
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    return judge(rows, thresholds, "row", "text").filter("kept").select("doc_id.*")
+    # The row number keeps the filter above the projections: pushed through them, it would repeat
+    # every shared expression.
+    judged = judge(rows, thresholds, "row", "text").select("doc_id", "kept", F.monotonically_increasing_id().alias("n"))
+    return judged.filter("kept and n >= 0").select("doc_id.*")
