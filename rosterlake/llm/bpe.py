@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterlake.llm.arrays import list_array, prefix_hashes, ragged, runs, span_hashes
+from rosterlake.llm.letters import LETTER, SPACE, classes
 from rosterlake.llm.shipping import ship
 from rosterlake.session import materialise
 
 BLOCK_BYTES = 16 << 20
 BUCKET_WORDS = 400_000
-_LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 _CACHE: dict = {}
 
 
@@ -72,22 +72,6 @@ def _special(path: str) -> list[str]:
     return _CACHE["special", path]
 
 
-def _classes() -> np.ndarray:
-    """Letter, number, space or other, for every code point."""
-    if "classes" not in _CACHE:
-        import regex
-
-        found = np.full(0x110000, _OTHER, np.uint8)
-        points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
-            for run in regex.finditer(pattern, points):
-                a, b = run.span()
-                numbers = np.frombuffer(points[a:b].encode("utf-32-le"), np.uint32)
-                found[numbers] = kind
-        _CACHE["classes"] = found
-    return _CACHE["classes"]
-
-
 def word_starts(points: np.ndarray, cuts: np.ndarray, whole: list[tuple[int, int]]) -> np.ndarray:
     """Where the tokenizer's words begin, in code points.
 
@@ -98,7 +82,7 @@ def word_starts(points: np.ndarray, cuts: np.ndarray, whole: list[tuple[int, int
     n = len(points)
     if not n:
         return np.zeros(0, np.int64)
-    kinds = _classes()[points]
+    kinds = classes()[points]
     start = np.empty(n, bool)
     start[0] = True
     np.not_equal(kinds[1:], kinds[:-1], out=start[1:])
@@ -111,7 +95,7 @@ def word_starts(points: np.ndarray, cuts: np.ndarray, whole: list[tuple[int, int
     text_end[limits[limits > 0] - 1] = True
     text_end[-1] = True
     # White space before a word: its last character begins a word, a space takes the word along.
-    lead = np.flatnonzero((kinds == _SPACE) & last & ~text_end)
+    lead = np.flatnonzero((kinds == SPACE) & last & ~text_end)
     start[lead] = True
     start[lead[points[lead] == 32] + 1] = False
     # Contractions: a lone apostrophe that begins a word, before letters of the same text.
@@ -128,7 +112,7 @@ def word_starts(points: np.ndarray, cuts: np.ndarray, whole: list[tuple[int, int
             start[chosen + 1] = False
             after = chosen + 1 + size
             inner = after[(after < n) & ~text_end[np.minimum(after, n) - 1]]
-            start[inner[kinds[inner] == _LETTER]] = True
+            start[inner[kinds[inner] == LETTER]] = True
     for a, b in whole:
         start[a] = True
         start[a + 1 : b] = False

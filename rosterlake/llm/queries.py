@@ -10,8 +10,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import bpe, decontaminate, jaccard_join, quality_rules, secret_scan
+from rosterlake.llm import (
+    bpe,
+    decontaminate,
+    jaccard_join,
+    language_id,
+    quality_model,
+    quality_rules,
+    secret_scan,
+    toxicity,
+)
 from rosterlake.llm.columns import documents, sha256_hex
+from rosterlake.llm.labels import in_fold, known_labels
+from rosterlake.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +43,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(documents(spark, sf_dir), items)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = documents(spark, sf_dir)
+    counts = language_id.learn(docs.filter(~in_fold("doc_id", 3, 1)))
+    found = language_id.identify(docs, counts)
+    return found.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, sf_dir))
 
@@ -55,14 +74,33 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    known = known_labels(labels.filter(~in_fold("doc_id", 4, 2)), "quality")
+    scored = quality_model.classify(documents(spark, sf_dir), known)
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return scored.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "score", predicted)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    known = known_labels(labels.filter(~in_fold("doc_id", 5, 0)), "toxic")
+    scored = toxicity.classify(documents(spark, sf_dir), known)
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "score", predicted)
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_decontamination": op2_decontamination,
+    "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_toxicity": op9_toxicity,
 }
