@@ -52,11 +52,14 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     kept = np.ones(len(symbols), bool)
     kept[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0)
     symbols, rows = symbols[kept].astype(np.int64), rows[kept]
+    n = len(symbols)
     padded = np.concatenate([np.zeros(ORDER - 1, np.int64), symbols])
-    codes = np.zeros(len(symbols), np.int64)
-    for k in range(ORDER):
-        codes = codes * SYMBOLS + padded[k : k + len(symbols)]
-    real = (symbols != 0) | (padded[ORDER - 2 : -1] != 0)
+    owners = np.concatenate([np.full(ORDER - 1, -1), rows])
+    codes = np.zeros(n, np.int64)
+    for k in range(ORDER):  # symbols of the text before count as none
+        before = np.where(owners[k : k + n] == rows, padded[k : k + n], 0)
+        codes = codes * SYMBOLS + before
+    real = codes % SYMBOLS**2 != 0  # no sign after a sign, and no sign before a text
     return codes[real], np.minimum(rows[real], max(len(listed) - 1, 0))
 
 
