@@ -49,6 +49,14 @@ ALLOCATION = "Allocation percentage must be between 10% and 100%."
 TARGET_EMPLOYEE_ID = "Target Employee ID must be 10001 or greater."
 UPDATED_INCOME = "Updated Monthly Income must be between $1,000.00 and $500,000.00."
 RATING = "Performance Rating must be an integer between 1 and 4."
+AGE_REQUIRED = "Age is required."
+HIRE_REQUIRED = "Hire date is required."
+YEARS_REQUIRED = "Total working years is required."
+INCOME_REQUIRED = "Monthly Income is required."
+MANAGER_REQUIRED = "Manager ID is required."
+EMPLOYEE_REQUIRED = "Employee ID is required."
+PROJECT_REQUIRED = "Project ID is required."
+ALLOCATION_REQUIRED = "Allocation percentage is required."
 
 
 def stripped(text: Column) -> Column:
@@ -58,7 +66,8 @@ def stripped(text: Column) -> Column:
 
 
 def broken(*rules: tuple[Column, Column | str]) -> Column:
-    """Messages of the conditions that hold, in order. An unknown condition does not hold."""
+    """Messages of the conditions that hold, in order. An unknown condition does not hold, so
+    every value that must be there has a rule of its own for being absent."""
     messages = [F.when(c, F.lit(m) if isinstance(m, str) else m) for c, m in rules]
     return F.filter(F.array(*messages), lambda m: m.isNotNull())
 
@@ -121,6 +130,9 @@ def timeline_errors(age: Column, hire_date: Column, working_years: Column, today
         F.lit(" (max allowed: "), career.cast("string"), F.lit(" years)."),
     )
     return broken(
+        (age.isNull(), AGE_REQUIRED),
+        (hire_date.isNull(), HIRE_REQUIRED),
+        (working_years.isNull(), YEARS_REQUIRED),
         (outside(age, AGE_RANGE), AGE),
         (hire_date > today, HIRE_FUTURE),
         (F.year(hire_date) < earliest_year, too_young),
@@ -136,7 +148,9 @@ def onboarding_errors(today: Column) -> Column:
         phone_errors(F.col("phone_number")),
         timeline_errors(F.col("age"), F.col("hire_date"), F.col("total_working_years"), today),
         broken(
+            (F.col("monthly_income").isNull(), INCOME_REQUIRED),
             (outside(F.col("monthly_income"), INCOME_RANGE), INCOME),
+            (F.col("manager_id").isNull(), MANAGER_REQUIRED),
             (F.col("manager_id") <= 0, MANAGER),
         ),
     )
@@ -146,16 +160,21 @@ def assignment_errors() -> Column:
     role = stripped(F.col("role_in_project"))
     bad_role = (role == "") | role.rlike(DIGIT) | ~role.rlike(ROLE_PATTERN)
     return broken(
+        (F.col("employee_id").isNull(), EMPLOYEE_REQUIRED),
         (F.col("employee_id") < FIRST_EMPLOYEE_ID, EMPLOYEE_ID),
+        (F.col("project_id").isNull(), PROJECT_REQUIRED),
         (F.col("project_id") < 1, PROJECT_ID),
         (bad_role, ROLE),
+        (F.col("allocation_percentage").isNull(), ALLOCATION_REQUIRED),
         (outside(F.col("allocation_percentage"), ALLOCATION_RANGE), ALLOCATION),
     )
 
 
 def role_update_errors() -> Column:
     return broken(
+        (F.col("employee_id").isNull(), EMPLOYEE_REQUIRED),
         (F.col("employee_id") < FIRST_EMPLOYEE_ID, TARGET_EMPLOYEE_ID),
+        (F.col("new_monthly_income").isNull(), INCOME_REQUIRED),
         (outside(F.col("new_monthly_income"), INCOME_RANGE), UPDATED_INCOME),
     )
 
@@ -163,6 +182,7 @@ def role_update_errors() -> Column:
 def review_errors() -> Column:
     rating = F.col("rating")
     return broken(
+        (F.col("employee_id").isNull(), EMPLOYEE_REQUIRED),
         (F.col("employee_id") < FIRST_EMPLOYEE_ID, EMPLOYEE_ID),
         (rating.isNull() | outside(rating, RATING_RANGE), RATING),
     )

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions import rules
 from rosterlake.functions.labels import full_name
 from rosterlake.operators.keys import assign_keys, date_key, next_key
-from rosterlake.operators.merge import keep_one, split_known
+from rosterlake.operators.merge import keep_one
 from rosterlake.operators.timeline import open_end, with_successor_day
 from rosterlake.plans.olap import UNKNOWN_PROJECT_KEY
 from rosterlake.schemas import OLAP, OLTP
@@ -27,6 +26,9 @@ REASON_UPDATE = "Department/Role Update"
 UNKNOWN_JOB_HIRE = "Unassigned"
 UNKNOWN_JOB_UPDATE = "Updated Role"
 UNKNOWN_JOB_LEVEL = 1
+NO_VERSION = "no current version of this employee"
+NO_DATE = "change date is missing"
+LATE_CHANGE = "change date lies before the current version"
 
 
 def _no_errors(errors: Column) -> Column:
@@ -51,10 +53,12 @@ def _existing(df: DataFrame, table: DataFrame, column: str, key: str) -> DataFra
 
 @dataclass(frozen=True)
 class ScdChange:
-    """``touched``: all versions that were current before, plus the new ones."""
+    """``touched``: all versions that were current before, plus the new ones. ``accepted`` and
+    ``rejected``: the changes; the rejected ones with a ``reason``."""
 
     snapshot: DataFrame
     touched: DataFrame
+    accepted: DataFrame
     rejected: DataFrame
 
 
@@ -91,16 +95,31 @@ def apply_scd2_changes(
 
     ``change_date`` is the day of ``ts``; a missing attrition flag becomes the default, or
     stays missing without one. Equal to replaying the changes one by one in
-    (ts, change_id) order: several changes of a day leave zero-length versions. Expired
-    versions are passed through unread by any join.
+    (ts, change_id) order: several changes of a day leave zero-length versions. A change
+    without a date, or dated before the current version began, is rejected: it would give a
+    version of negative length. Expired versions are passed through unread by any join.
     """
     current = dim.filter("is_current = 1")
-    accepted, rejected = split_known(changes, current, "employee_id")
-    accepted = materialise(accepted, "scd2-accepted")
+    newest = current.groupBy("employee_id").agg(
+        F.max(F.struct("emp_key", "effective_start_date")).alias("__newest")
+    )
+    newest = newest.select(
+        "employee_id",
+        F.col("__newest.emp_key").alias("__target"),
+        F.col("__newest.effective_start_date").alias("__start"),
+    )
+    reason = (
+        F.when(F.col("__target").isNull(), NO_VERSION)
+        .when(F.col("change_date").isNull(), NO_DATE)
+        .when(F.col("change_date") < F.col("__start"), LATE_CHANGE)
+    )
+    checked = changes.join(newest, "employee_id", "left").withColumn("reason", reason)
+    checked = materialise(checked, "scd2-checked")
+    accepted = checked.filter("reason IS NULL").select(*changes.columns)
+    rejected = checked.filter("reason IS NOT NULL").select(*changes.columns, "reason")
 
     first = accepted.groupBy("employee_id").agg(F.min("change_date").alias("__first"))
-    newest = current.groupBy("employee_id").agg(F.max("emp_key").alias("__target"))
-    targets = first.join(newest, "employee_id")
+    targets = first.join(newest.drop("__start"), "employee_id")
     marked = current.join(targets, "employee_id", "left")
     is_target = F.coalesce(F.col("emp_key") == F.col("__target"), F.lit(False))
     base = (
@@ -135,7 +154,7 @@ def apply_scd2_changes(
     keyed = assign_keys(versions, ["ts", "change_id"], "emp_key", next_key(dim, "emp_key"))
     touched = base.unionByName(keyed.select(*_DIM))
     expired = dim.filter("is_current = 0").select(*_DIM)
-    return ScdChange(expired.unionByName(touched), touched, rejected)
+    return ScdChange(expired.unionByName(touched), touched, accepted, rejected)
 
 
 @dataclass(frozen=True)
@@ -158,15 +177,16 @@ def update_employee_roles(
     valid = _existing(valid, employees, "employee_id", "employee_id")
     valid = _existing(valid, departments, "new_department_id", "department_id")
     valid = materialise(_existing(valid, jobs, "new_job_id", "job_id"), "role-updates")
-    rejected = changes.join(valid.select("change_id"), "change_id", "left_anti")
+    applied = apply_scd2_changes(dim_employee, describe_changes(valid, jobs, employees))
+    done = applied.accepted.select("change_id")
+    rejected = changes.join(done, "change_id", "left_anti")
 
-    latest = keep_one(valid, ["employee_id"], [F.desc("ts"), F.desc("change_id")]).select(
+    latest = keep_one(valid.join(done, "change_id", "left_semi"), ["employee_id"], [F.desc("ts"), F.desc("change_id")]).select(
         "employee_id", "new_department_id", "new_job_id", "new_monthly_income"
     )
     updated = employees.join(latest, "employee_id", "left")
     for column in ("department_id", "job_id", "monthly_income"):
         updated = updated.withColumn(column, F.coalesce(f"new_{column}", column))
-    applied = apply_scd2_changes(dim_employee, describe_changes(valid, jobs, employees))
     columns = OLTP["employees"].columns
     return RoleUpdate(updated.select(*columns), applied.snapshot, applied.touched, rejected)
 
@@ -334,99 +354,90 @@ def submit_reviews(requests: DataFrame, tables: dict[str, DataFrame]) -> Submitt
 
 # --- raises -----------------------------------------------------------------------------
 
-# Raises of one employee in a batch that are folded as an array; longer runs are streamed.
-_ARRAY_FOLD = 10_000
-# Fixed value: the largest income the column holds, in cents.
-_MAX_CENTS = 99_999_999_99
+# Raises of one employee that are folded together; results do not depend on it.
+RAISE_RUN = 1_000
+# Fixed value: the largest income the column holds.
+MAX_INCOME = "99999999.99"
 NOT_POSITIVE = "percent must be positive"
 NO_EMPLOYEE = "no employee with this id"
+NO_PERCENT = "percent is missing"
+NO_INCOME = "the employee has no income"
+OUT_OF_RANGE = "income would leave the range of the column"
 
 
-def raise_rejects(requests: DataFrame, employees: DataFrame) -> DataFrame:
-    known = employees.select("employee_id", F.lit(True).alias("__known"))
-    reason = F.when(F.col("__known").isNull(), NO_EMPLOYEE).when(F.col("percent") <= 0, NOT_POSITIVE)
-    checked = requests.join(known, "employee_id", "left").withColumn("reason", reason)
-    return checked.filter("reason IS NOT NULL").drop("__known")
+@dataclass(frozen=True)
+class Raises:
+    """EMPLOYEES after the raises, and the requests that were not applied with their reasons."""
 
+    employees: DataFrame
+    rejected: DataFrame
 
-def give_raises(
-    requests: DataFrame, employees: DataFrame, array_fold: int = _ARRAY_FOLD
-) -> DataFrame:
-    """EMPLOYEES after all positive raises, compounded and rounded one after the other.
 
-    Rounding at every step makes the order count, so the raises of one employee are folded in
-    (ts, request_id) order. A raise beyond the column's range changes nothing.
+def apply_raises(requests: DataFrame, employees: DataFrame, run: int = RAISE_RUN) -> Raises:
+    """Positive raises, compounded and rounded one after the other in (ts, request_id) order.
+
+    Rounding at every step makes the order count. The raises of an employee are numbered and cut
+    into runs of fixed length; run r of all employees is folded at once and hands the incomes to
+    run r + 1, so that no task holds more than a run of an employee. Every request is applied or
+    rejected: a raise beyond the column's range changes nothing and is rejected.
     """
-    income = employees.select("employee_id", "monthly_income")
-    valid = requests.filter("percent > 0").join(income, "employee_id")
-    valid = materialise(valid, "raises")
-    runs = valid.groupBy("employee_id").agg(F.count(F.lit(1)).alias("__n"))
-    long_runs = materialise(
-        runs.filter(F.col("__n") > array_fold).select("employee_id"), "long-raises"
+    income = employees.select("employee_id", "monthly_income", F.lit(True).alias("__known"))
+    reason = (
+        F.when(F.col("__known").isNull(), NO_EMPLOYEE)
+        .when(F.col("percent").isNull(), NO_PERCENT)
+        .when(F.col("percent") <= 0, NOT_POSITIVE)
+        .when(F.col("monthly_income").isNull(), NO_INCOME)
     )
-    raised = _fold_arrays(valid.join(long_runs, "employee_id", "left_anti"))
-    if not long_runs.isEmpty():
-        raised = raised.unionByName(_fold_streams(valid.join(long_runs, "employee_id", "left_semi")))
-    return (
-        employees.join(raised, "employee_id", "left")
-        .withColumn("monthly_income", F.coalesce("__income", "monthly_income"))
-        .select(*OLTP["employees"].columns)
+    checked = requests.join(income, "employee_id", "left").withColumn("reason", reason)
+    checked = materialise(checked, "raise-requests")
+    valid = checked.filter("reason IS NULL")
+    order = ["employee_id", "ts", "request_id"]
+    placed = materialise(assign_keys(valid.select(*order, "percent"), order, "__at"), "raises")
+    first = placed.groupBy("employee_id").agg(F.min("__at").alias("__first"))
+    runs = (
+        placed.join(first, "employee_id")
+        .withColumn("__run", F.expr(f"(__at - __first) div {run}"))
+        .groupBy("employee_id", "__run")
+        .agg(F.array_sort(F.collect_list(F.struct("__at", "request_id", "percent"))).alias("__steps"))
     )
-
-
-def _fold_arrays(raises: DataFrame) -> DataFrame:
-    steps = F.array_sort(F.collect_list(F.struct("ts", "request_id", "percent")))
-    limit = F.lit(_MAX_CENTS).cast("decimal(12,0)") / 100
-
-    def step(income: Column, raise_: Column) -> Column:
-        factor = (raise_["percent"] + 100).cast("decimal(7,2)") * F.lit("0.01").cast("decimal(3,2)")
-        raised = F.bround(income * factor, 2)
-        return F.when(raised > limit, income).otherwise(raised.cast("decimal(10,2)"))
-
-    return (
-        raises.groupBy("employee_id")
-        .agg(F.first("monthly_income").alias("__from"), steps.alias("__steps"))
-        .select("employee_id", F.aggregate("__steps", F.col("__from"), step).alias("__income"))
+    runs = materialise(runs, "raise-runs")
+    incomes = employees.select("employee_id", F.col("monthly_income").cast("decimal(10,2)").alias("__income"))
+    folds, last = [], runs.agg(F.max("__run")).first()[0]
+    for number in range(0 if last is None else last + 1):
+        own = runs.filter(F.col("__run") == number).join(incomes, "employee_id")
+        folded = own.select("employee_id", "__run", _folded(F.col("__income"), F.col("__steps")).alias("f"))
+        folded = folded.select("employee_id", "__run", "f.income", "f.refused")
+        folds.append(materialise(folded, "raise-fold"))
+        incomes = folds[-1].select("employee_id", F.col("income").alias("__income"))
+    columns = [*requests.columns, "reason"]
+    rejected = checked.filter("reason IS NOT NULL").select(*columns)
+    if not folds:
+        return Raises(employees.select(*OLTP["employees"].columns), rejected)
+    every = reduce(DataFrame.unionByName, folds)
+    final = every.groupBy("employee_id").agg(F.max_by("income", "__run").alias("__income"))
+    refused = every.select(F.explode("refused").alias("request_id"))
+    beyond = valid.join(refused, "request_id", "left_semi").withColumn("reason", F.lit(OUT_OF_RANGE))
+    raised = employees.join(final, "employee_id", "left").withColumn(
+        "monthly_income", F.coalesce("__income", "monthly_income")
+    )
+    return Raises(
+        raised.select(*OLTP["employees"].columns), rejected.unionByName(beyond.select(*columns))
     )
 
 
-def _fold_streams(raises: DataFrame) -> DataFrame:
-    """The same fold over sorted partitions, holding one income at a time."""
-    ordered = (
-        raises.select(
-            "employee_id",
-            "ts",
-            "request_id",
-            (F.col("monthly_income") * 100).cast("long").alias("cents"),
-            (F.col("percent") * 100).cast("long").alias("points"),
+def _folded(income: Column, steps: Column) -> Column:
+    """(income, refused): the income after all steps, and the ids of those beyond the range."""
+    limit = F.lit(MAX_INCOME).cast("decimal(10,2)")
+
+    def step(state: Column, raise_: Column) -> Column:
+        factor = (raise_["percent"].try_cast("decimal(16,8)") + 100) * F.lit("0.01").cast("decimal(3,2)")
+        raised = F.bround(state["income"] * factor, 2)
+        taken = F.struct(raised.try_cast("decimal(10,2)").alias("income"), state["refused"].alias("refused"))
+        kept = F.struct(
+            state["income"].alias("income"),
+            F.concat(state["refused"], F.array(raise_["request_id"].cast("long"))).alias("refused"),
         )
-        .repartition("employee_id")
-        .sortWithinPartitions("employee_id", "ts", "request_id")
-        .select("employee_id", "cents", "points")
-    )
-    folded = ordered.mapInPandas(_stream_incomes, "employee_id int, cents long")
-    income = (F.col("cents").cast("decimal(12,0)") / 100).cast("decimal(10,2)")
-    return folded.select("employee_id", income.alias("__income"))
-
-
-def _stream_incomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    who, cents = None, 0
-    for batch in batches:
-        done = []
-        for employee, start, points in zip(batch["employee_id"], batch["cents"], batch["points"]):
-            if employee != who:
-                if who is not None:
-                    done.append((who, cents))
-                who, cents = employee, int(start)
-            cents = _raised_cents(cents, int(points))
-        yield pd.DataFrame(done, columns=["employee_id", "cents"])
-    if who is not None:
-        yield pd.DataFrame([(who, cents)], columns=["employee_id", "cents"])
-
-
-def _raised_cents(cents: int, points: int) -> int:
-    """Half-even rounding of cents * (1 + points / 10000)."""
-    whole, rest = divmod(cents * (10_000 + points), 10_000)
-    if rest > 5_000 or (rest == 5_000 and whole % 2):
-        whole += 1
-    return whole if whole <= _MAX_CENTS else cents
+        return F.when(raised <= limit, taken).otherwise(kept)
+
+    nothing = F.array().cast("array<bigint>")
+    return F.aggregate(steps, F.struct(income.alias("income"), nothing.alias("refused")), step)

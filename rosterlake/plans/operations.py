@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 
 from rosterlake.plans import changes
-from rosterlake.plans.changes import raise_rejects
-from rosterlake.session import materialise
 from rosterlake.sources.snapshots import SnapshotStore
 
 
@@ -73,8 +71,6 @@ class Workforce:
         return submitted.rejected
 
     def give_raises(self, requests: DataFrame) -> DataFrame:
-        employees = self.store.read("employees")
-        rejected = materialise(raise_rejects(requests, employees), "raise-rejects")
-        raised = changes.give_raises(requests, employees)
-        self.store.commit({"employees": self.store.write("employees", raised)})
-        return rejected
+        raised = changes.apply_raises(requests, self.store.read("employees"))
+        self.store.commit({"employees": self.store.write("employees", raised.employees)})
+        return raised.rejected

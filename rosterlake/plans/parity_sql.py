@@ -348,7 +348,7 @@ def _with_steps(body: str, extra: dict[str, str] | None = None) -> str:
                 needed.append(name)
 
     visit(body)
-    recursive = "RECURSIVE " if extra and "folded" in extra else ""
+    recursive = "RECURSIVE " if {"folded", "climbed"} & set(extra or ()) else ""
     if not needed:
         return body
     return f"WITH {recursive}" + ",\n".join(f"{n} AS ({steps[n]})" for n in needed) + "\n" + body
@@ -505,6 +505,37 @@ _RAISES = {
         THEN (f.cents * (100 + r.percent)) // 100 + 1 ELSE (f.cents * (100 + r.percent)) // 100 END
         FROM folded f JOIN raises r ON r.employee_id = f.employee_id AND r.n = f.n + 1""",
 }
+# One income at a time, in cents; 100 % are 100,000 points.
+_RAISED = "(c.cents * (100000 + a.points))"
+_WANTED = f"""({_RAISED} // 100000 + CASE WHEN {_RAISED} % 100000 > 50000
+    OR ({_RAISED} % 100000 = 50000 AND {_RAISED} // 100000 % 2 = 1) THEN 1 ELSE 0 END)"""
+_RAISES_OF_ONE = {
+    "asked": """SELECT event_id AS request_id, ts, CASE WHEN event_id % 50 <> 49 THEN event_id % 7 END AS points FROM events""",
+    "numbered": """SELECT request_id, points, row_number() OVER (ORDER BY ts, request_id) AS n FROM asked WHERE points > 0""",
+    "climbed": f"""SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS request_id, CAST(monthly_income * 100 AS HUGEINT) AS cents, FALSE AS beyond
+        FROM employees WHERE employee_id = 10101
+        UNION ALL SELECT a.n, a.request_id, CASE WHEN {_WANTED} > 9999999999 THEN c.cents ELSE {_WANTED} END, {_WANTED} > 9999999999
+        FROM climbed c JOIN numbered a ON a.n = c.n + 1""",
+}
+_COUNTS = """SELECT 'active_oltp_employees' AS check_name, count(*) AS n FROM employees
+            UNION ALL SELECT 'total_olap_dim_employees', count(*) FROM dim_employee
+            UNION ALL SELECT 'current_dim_employees', count(*) FROM dim_employee WHERE is_current = 1
+            UNION ALL SELECT 'expired_dim_employees', count(*) FROM dim_employee WHERE is_current = 0
+            UNION ALL SELECT 'total_performance_facts', count(*) FROM fact_performance_reviews
+            UNION ALL SELECT 'versions_without_fact', count(*) FROM dim_employee
+              WHERE emp_key NOT IN (SELECT emp_key FROM fact_performance_reviews)"""
+_LATE = {
+    "late": """SELECT r.* REPLACE (CASE WHEN change_id % 40 <> 7 THEN CASE WHEN change_id % 3 = 1
+        THEN change_date - 15000 ELSE change_date END END AS change_date,
+        CASE WHEN change_id % 3 = 1 THEN ts - INTERVAL 15000 DAY ELSE ts END AS ts) FROM described r""",
+    "newest": """SELECT employee_id, arg_max(effective_start_date, emp_key) AS started FROM dim_employee
+        WHERE is_current = 1 GROUP BY employee_id""",
+    "judged": """SELECT l.*, CASE WHEN started IS NULL THEN 'no current version of this employee'
+        WHEN change_date IS NULL THEN 'change date is missing'
+        WHEN change_date < started THEN 'change date lies before the current version' END AS reason
+        FROM late l LEFT JOIN newest w ON l.employee_id = w.employee_id""",
+    "on_time": "SELECT * FROM judged WHERE reason IS NULL",
+}
 _ASSIGN = {
     "wanted": f"""SELECT employee_id, project_id, min(request_id) AS first_id,
         arg_min(assigned_date, request_id) AS first_date, arg_max(role_in_project, request_id) AS last_role,
@@ -594,13 +625,8 @@ def parity_sql() -> dict[str, str]:
             SELECT o_orderkey AS probe_id, CAST(o_custkey + 10001 AS INTEGER) AS employee_id,
             CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 - 30 AS INTEGER) AS probe_date FROM orders) p LEFT JOIN dim_employee e
             ON p.employee_id = e.employee_id AND e.effective_start_date <= p.probe_date AND p.probe_date < e.effective_end_date""",
-        "load_counts": """SELECT 'active_oltp_employees' AS check_name, count(*) AS n FROM employees
-            UNION ALL SELECT 'total_olap_dim_employees', count(*) FROM dim_employee
-            UNION ALL SELECT 'current_dim_employees', count(*) FROM dim_employee WHERE is_current = 1
-            UNION ALL SELECT 'expired_dim_employees', count(*) FROM dim_employee WHERE is_current = 0
-            UNION ALL SELECT 'total_performance_facts', count(*) FROM fact_performance_reviews
-            UNION ALL SELECT 'versions_without_fact', count(*) FROM dim_employee
-              WHERE emp_key NOT IN (SELECT emp_key FROM fact_performance_reviews)""",
+        "load_counts": _COUNTS,
+        "pipeline_row_counts": _COUNTS,
         "scd2_apply_changes": (_as("changed_dim", "dim_employee"), _scd2("described")),
         "scd2_apply_rejects": """SELECT change_id, employee_id, CAST(change_date AS VARCHAR) AS change_date FROM role_changes
             WHERE employee_id NOT IN (SELECT employee_id FROM dim_employee WHERE is_current = 1)""",
@@ -651,6 +677,31 @@ def parity_sql() -> dict[str, str]:
         "give_raises_rejects": """SELECT request_id, employee_id, CAST(percent AS DOUBLE) AS percent, CASE WHEN employee_id NOT IN (
             SELECT employee_id FROM employees) THEN 'no employee with this id' ELSE 'percent must be positive' END AS reason
             FROM raise_requests WHERE percent <= 0 OR employee_id NOT IN (SELECT employee_id FROM employees)""",
+        "give_raises_one_employee": (
+            """SELECT employee_id, CAST(CASE WHEN employee_id = 10101 THEN (SELECT arg_max(cents, n) FROM climbed) / 100.0
+                ELSE monthly_income END AS DOUBLE) AS monthly_income FROM employees""",
+            _RAISES_OF_ONE,
+        ),
+        "give_raises_one_employee_rejects": (
+            """SELECT request_id, CAST(points / 1000.0 AS DOUBLE) AS percent, CASE WHEN points IS NULL THEN 'percent is missing'
+                WHEN points = 0 THEN 'percent must be positive' ELSE 'income would leave the range of the column' END AS reason
+                FROM asked WHERE points IS NULL OR points = 0 OR request_id IN (SELECT request_id FROM climbed WHERE beyond)""",
+            _RAISES_OF_ONE,
+        ),
+        "scd2_apply_late_rejects": ("SELECT change_id, reason FROM judged WHERE reason IS NOT NULL", _LATE),
+        "scd2_integrity_late": (_integrity("changed_dim"), {**_LATE, **_scd2("on_time")}),
+        "validate_required": "SELECT s_suppkey AS candidate_id, array_to_string("
+        + _found(
+            ("s_suppkey % 8 = 0", "**First Name** is required."),
+            ("s_suppkey % 10 = 9", "**Last Name** is required."),
+            ("s_suppkey % 8 = 1", "**Email** is required."),
+            ("s_suppkey % 8 = 2", "Age is required."),
+            ("s_suppkey % 8 = 3", "Hire date is required."),
+            ("s_suppkey % 8 = 4", "Total working years is required."),
+            ("s_suppkey % 8 = 5", "Monthly Income is required."),
+            ("s_suppkey % 8 = 6", "Manager ID is required."),
+        )
+        + ", '; ') AS missing FROM supplier",
         "validate_names": f"""SELECT candidate_id, first_name, array_to_string({_name_errors('first_name', 'First Name')}, '; ') AS errors
             FROM candidates""",
         "validate_phones": f"SELECT candidate_id, phone_number, array_to_string({_PHONE_ERRORS}, '; ') AS errors FROM candidates",

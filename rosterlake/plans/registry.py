@@ -371,6 +371,11 @@ def load_counts(w):
     return load_row_counts(w.tables)
 
 
+@_query
+def pipeline_row_counts(w):
+    return load_row_counts(w.tables)
+
+
 # --- change jobs --------------------------------------------------------------------------
 
 
@@ -460,18 +465,49 @@ def submit_reviews_oltp(w):
     return _submitted(w).performance_reviews
 
 
+def _raises(w):
+    return changes.apply_raises(source.raise_requests(w.spark, w.sf_dir), w["employees"])
+
+
 @_query
 def give_raises(w):
-    requests = source.raise_requests(w.spark, w.sf_dir)
-    raised = changes.give_raises(requests, w["employees"])
-    return raised.select("employee_id", "monthly_income")
+    return _raises(w).employees.select("employee_id", "monthly_income")
 
 
 @_query
 def give_raises_rejects(w):
-    requests = source.raise_requests(w.spark, w.sf_dir)
-    rejected = changes.raise_rejects(requests, w["employees"])
-    return rejected.select("request_id", "employee_id", "percent", "reason")
+    return _raises(w).rejected.select("request_id", "employee_id", "percent", "reason")
+
+
+def _raises_of_one(w):
+    return changes.apply_raises(source.raises_of_one(w.spark, w.sf_dir, ASK_EMPLOYEE), w["employees"])
+
+
+@_query
+def give_raises_one_employee(w):
+    return _raises_of_one(w).employees.select("employee_id", "monthly_income")
+
+
+@_query
+def give_raises_one_employee_rejects(w):
+    return _raises_of_one(w).rejected.select("request_id", "percent", "reason")
+
+
+def _late(w):
+    requests = source.late_changes(w.spark, w.sf_dir)
+    return changes.apply_scd2_changes(
+        w["dim_employee"], changes.describe_changes(requests, w["jobs"], w["employees"])
+    )
+
+
+@_query
+def scd2_apply_late_rejects(w):
+    return _late(w).rejected.select("change_id", "reason")
+
+
+@_query
+def scd2_integrity_late(w):
+    return quality.scd2_integrity(materialise(_late(w).snapshot, "late-dim"))
 
 
 # --- data quality -------------------------------------------------------------------------
@@ -510,6 +546,14 @@ def onboarding_error_counts(spark, sf_dir):
     return quality.error_counts(_checked_candidates(spark, sf_dir))
 
 
+@_raw_query
+def validate_required(spark, sf_dir):
+    candidates = source.incomplete_candidates(spark, sf_dir)
+    checked = quality.validate_onboarding(candidates, F.lit(AS_OF).cast("date"))
+    missing = F.filter("errors", lambda e: e.endswith("is required."))
+    return checked.select("candidate_id", missing.alias("missing"))
+
+
 @_raw_query
 def validate_assignments(spark, sf_dir):
     requests = source.assignment_requests(spark, sf_dir)

@@ -179,6 +179,37 @@ def raise_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raises_of_one(spark: SparkSession, sf_dir: str, employee: int) -> DataFrame:
+    """Every event as a small raise of one employee: more than one run of the fold holds. Percents
+    have three decimals; every fiftieth is missing, every seventh zero."""
+    event = F.col("event_id")
+    percent = ((event % 7).cast("decimal(10,3)") / 1000).cast("decimal(6,3)")
+    return table(spark, sf_dir, "events").select(
+        event.alias("request_id"),
+        "ts",
+        F.lit(employee).cast("int").alias("employee_id"),
+        F.when(event % 50 != 49, percent).alias("percent"),
+    )
+
+
+def late_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The role changes, a third of them moved before the versions and some without a date."""
+    changes = role_changes(spark, sf_dir)
+    moved = F.when(F.col("change_id") % 3 == 1, F.date_sub("change_date", 15_000)).otherwise(F.col("change_date"))
+    dated = F.when(F.col("change_id") % 40 != 7, moved)
+    early = F.when(F.col("change_id") % 3 == 1, F.col("ts") - F.expr("INTERVAL 15000 DAY")).otherwise(F.col("ts"))
+    return changes.withColumn("change_date", dated).withColumn("ts", early)
+
+
+def incomplete_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates, each without one of the fields that must be there, or complete."""
+    names = ("first_name", "email", "age", "hire_date", "total_working_years", "monthly_income", "manager_id")
+    gaps = {
+        name: F.when(F.col("candidate_id") % 8 != n, F.col(name)) for n, name in enumerate(names)
+    }
+    return onboarding_candidates(spark, sf_dir).withColumns(gaps)
+
+
 def onboarding_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candidate per supplier, in supplier order."""
     key = F.col("s_suppkey")

@@ -130,18 +130,47 @@ def test_raises_compound_with_rounding_at_every_step(spark):
                 expected[employee] = raised
     wanted = sorted(((i, v) for i, v in expected.items()), key=repr)
     employees = _employees(spark, incomes)
-    for array_fold in (10_000, 0, 70):  # arrays, streams, both
-        raised = changes.give_raises(_raises(spark, requests).repartition(5), employees, array_fold)
-        assert rows(raised, "employee_id", "monthly_income") == wanted
-    reasons = {(r.employee_id, r.reason) for r in changes.raise_rejects(_raises(spark, requests), employees).collect()}
-    assert (9, changes.NO_EMPLOYEE) in reasons and (1, changes.NOT_POSITIVE) in reasons
+    for run in (1000, 30):  # one round, several
+        raised = changes.apply_raises(_raises(spark, requests).repartition(5), employees, run)
+        assert rows(raised.employees, "employee_id", "monthly_income") == wanted
+        reasons = {(r.employee_id, r.reason) for r in raised.rejected.collect()}
+        assert (9, changes.NO_EMPLOYEE) in reasons and (1, changes.NOT_POSITIVE) in reasons
+        assert (3, changes.OUT_OF_RANGE) in reasons
+
+
+def test_every_raise_is_applied_or_rejected(spark):
+    employees = _employees(spark, {1: "99999999.00", 2: "1000.00", 3: "10.00"})
+    employees = employees.withColumn(
+        "monthly_income", changes.F.when(changes.F.col("employee_id") != 3, changes.F.col("monthly_income"))
+    )
+    requests = spark.createDataFrame(
+        [(0, 1, "50"), (1, 2, None), (2, 2, "1.005"), (3, 3, "5"), (4, 1, "0.0000001"), (5, 2, "123456789012")],
+        "request_id LONG, employee_id INT, percent STRING",
+    ).selectExpr("request_id", "employee_id", "CAST(percent AS DECIMAL(20,7)) AS percent",
+                 "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts")
+    raised = changes.apply_raises(requests, employees)
+    assert rows(raised.employees, "employee_id", "monthly_income") == [
+        (1, Decimal("99999999.10")), (2, Decimal("1010.05")), (3, None)]
+    assert rows(raised.rejected, "request_id", "reason") == [
+        (0, changes.OUT_OF_RANGE), (1, changes.NO_PERCENT), (3, changes.NO_INCOME), (5, changes.OUT_OF_RANGE)]
+
+
+def test_changes_before_the_current_version_are_rejected(spark):
+    frame = spark.createDataFrame([_version(1, 1, "2024-06-01")], DIM.schema)
+    described = _described(spark, _random_requests(1, [1])).limit(1)
+    late = described.withColumn("change_date", changes.F.lit("2024-03-01").cast("date"))
+    undated = described.withColumn("change_date", changes.F.lit(None).cast("date"))
+    for feed, reason in ((late, changes.LATE_CHANGE), (undated, changes.NO_DATE)):
+        applied = changes.apply_scd2_changes(frame, feed)
+        assert rows(applied.snapshot) == rows(frame)
+        assert [r.reason for r in applied.rejected.collect()] == [reason]
 
 
 def test_half_cents_round_to_even(spark):
     employees = _employees(spark, {1: "0.50", 2: "1.50"})
-    for array_fold in (10, 0):
-        raised = changes.give_raises(_raises(spark, [(1, "1"), (2, "1")]), employees, array_fold)
-        assert rows(raised, "employee_id", "monthly_income") == [(1, Decimal("0.50")), (2, Decimal("1.52"))]
+    for run in (10, 1):
+        raised = changes.apply_raises(_raises(spark, [(1, "1"), (2, "1")]), employees, run)
+        assert rows(raised.employees, "employee_id", "monthly_income") == [(1, Decimal("0.50")), (2, Decimal("1.52"))]
 
 
 def test_assignments_keep_the_first_date_and_the_last_role(spark):
