@@ -14,11 +14,5 @@ def exact_avg(value: str | Column, digits: int = 2) -> Column:
     return F.round(total / F.nullif(F.count(value), F.lit(0)), digits).cast("double")
 
 
-def percent_of_rows(condition: Column, digits: int = 2) -> Column:
-    """100 * rows that satisfy the condition / rows."""
-    hits = F.sum(F.when(condition, 1).otherwise(0)).cast("decimal(20,0)")
-    return F.round(F.lit(100) * hits / F.count(F.lit(1)), digits).cast("double")
-
-
 def or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))

@@ -32,19 +32,17 @@ def replicate_to_target(
 ) -> DataFrame:
     """Repeat the base in its order until ``target`` rows (a float: that multiple of the base).
 
-    Every row knows its position and so how many copies of it fit: copies are generated per
-    row, with ids first, first + 1, ... in (copy, position) order.
+    Ids are first, first + 1, ... in (copy, position) order. The target rows are a range, so
+    that work spreads whatever the size of the base; each meets the base row at its number
+    modulo the base's size, by broadcast or sort as the size of the written base decides.
     """
     positioned = materialise(assign_keys(base, order_by, "__at", start=0), "replicate")
     size = positioned.count()
     rows = int(size * target) if isinstance(target, float) else target
-    if not size or rows <= 0:
-        return positioned.limit(0).withColumn(key, F.lit(0).cast("long")).drop("__at")
-    last_copy = F.floor((F.lit(rows - 1) - F.col("__at")) / F.lit(size))
-    copies = F.when(F.col("__at") < rows, F.sequence(F.lit(0).cast("long"), last_copy))
-    repeated = positioned.withColumn("__copy", F.explode(copies))
-    id_ = F.lit(FIRST_ID) + F.col("__copy") * size + F.col("__at")
-    return repeated.withColumn(key, id_.cast("long")).drop("__at", "__copy")
+    numbers = base.sparkSession.range(rows if size and rows > 0 else 0)
+    numbers = numbers.select(F.col("id").alias("__id"), (F.col("id") % max(size, 1)).alias("__at"))
+    id_ = (F.col("__id") + FIRST_ID).cast("long")
+    return numbers.join(positioned, "__at").withColumn(key, id_).drop("__at", "__id")
 
 
 def zip_rows(left: DataFrame, left_order: list, right: DataFrame, right_order: list) -> DataFrame:

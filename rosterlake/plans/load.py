@@ -5,6 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,8 @@ def run_full_load(
     def reviews() -> None:
         save("performance_reviews", olap.reviews_of_versions(keyed.result(), employees))
 
-    with ThreadPoolExecutor() as pool:
+    with ThreadPoolExecutor() as threads:
+        pool = _Inheriting(threads, spark)
         keyed = pool.submit(versions)
         jobs = pool.submit(lambda: save("jobs", oltp.with_job_ids(oltp.distinct_jobs(staging))))
         dates = pool.submit(lambda: save("dim_date", _calendar(spark, store, config)))
@@ -86,6 +88,16 @@ def run_full_load(
     return LoadResult(store.commit(written), "SUCCESS: full load completed", tables)
 
 
+class _Inheriting:
+    """Submits jobs with the job group, tags and scheduler pool of the caller."""
+
+    def __init__(self, threads: ThreadPoolExecutor, spark: SparkSession):
+        self.threads, self.spark = threads, spark
+
+    def submit(self, job):
+        return self.threads.submit(inheritable_thread_target(self.spark)(job))
+
+
 def _calendar(spark: SparkSession, store: SnapshotStore, config: LoadConfig) -> DataFrame:
     """The stored calendar, extended by the days of the configured range it lacks."""
     days = calendar(spark, config.first_day, config.last_day)

@@ -77,28 +77,48 @@ def _count_as(df: DataFrame, name: str, value: str) -> DataFrame:
     )
 
 
-def dangling(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
-    """Rows that reference a missing parent; NULL references nothing."""
-    given = child.filter(F.col(column).isNotNull())
-    return given.join(parent.select(F.col(key).alias(column)), column, "left_anti")
-
-
 def fk_violations(
     tables: dict[str, DataFrame], extra: dict[str, tuple[DataFrame, str, str, str]] | None = None
 ) -> DataFrame:
-    """Violations per declared reference, and per reference of the incoming feeds in ``extra``."""
+    """Violations per declared reference, and per reference of the incoming feeds in ``extra``.
+
+    Keys are integers. Each child and each parent is read once for all its references.
+    """
     checks = [
         (f"{name}.{column}->{parent}", tables[name], column, parent, key)
         for name, table in TABLES.items()
         for column, parent, key in table.references
     ]
     checks += [(f"{n}.{c}->{p}", df, c, p, k) for n, (df, c, p, k) in (extra or {}).items()]
-    return _union(
-        [
-            _count_as(dangling(child, column, tables[parent], key), "relation", label)
-            for label, child, column, parent, key in checks
-        ]
-    )
+    children: dict[int, tuple[DataFrame, list]] = {}
+    for label, child, column, parent, key in checks:
+        children.setdefault(id(child), (child, []))[1].append((label, column, f"{parent}.{key}"))
+
+    def reference(label: str, target: str, value: Column) -> Column:
+        value = value.cast("long").alias("value")
+        return F.struct(F.lit(label).alias("relation"), F.lit(target).alias("target"), value)
+
+    # Every child is read once: its references as rows, counted per value before the join.
+    values = []
+    for child, references in children.values():
+        rows = F.explode(F.array(*[reference(label, t, F.col(c)) for label, c, t in references]))
+        given = child.select(rows.alias("r")).select("r.*").filter("value IS NOT NULL")
+        values.append(given.groupBy("relation", "target", "value").agg(F.count(F.lit(1)).alias("n")))
+    targets = {(parent, key): None for _, _, _, parent, key in checks}
+    keys = [
+        tables[parent].select(
+            F.lit(f"{parent}.{key}").alias("target"), F.col(key).cast("long").alias("value")
+        )
+        for parent, key in targets
+    ]
+    found = _union(keys).distinct().withColumn("known", F.lit(True))
+    joined = _union(values).join(found, ["target", "value"], "left")
+    broken = F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0))
+    counted = joined.groupBy("relation").agg(broken.cast("long").alias("violations"))
+    spark = checks[0][1].sparkSession
+    labels = F.explode(F.array(*[F.lit(label) for label, *_ in checks])).alias("relation")
+    none = spark.range(1).select(labels, F.lit(0).cast("long").alias("violations"))
+    return none.unionByName(counted).groupBy("relation").agg(F.sum("violations").alias("violations"))
 
 
 def unique_violations(
