@@ -30,6 +30,9 @@ from rosterlake.session import materialise
 
 BLOCK_BYTES = 16 << 20
 BUCKET_WORDS = 400_000
+#: Occurrences in a block from which a word is numbered by frequency.
+FREQUENT = 3
+_LEVEL = 9
 _CACHE: dict = {}
 
 
@@ -154,7 +157,7 @@ def _split(data: np.ndarray, offsets: np.ndarray, special: list[str]):
 def _pack(numbers: np.ndarray) -> bytes:
     """Numbers as planes of bytes, compressed: most high planes are nearly empty."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return zstandard.ZstdCompressor(level=6).compress(len(numbers).to_bytes(8, "little") + planes)
+    return zstandard.ZstdCompressor(level=_LEVEL).compress(len(numbers).to_bytes(8, "little") + planes)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
@@ -165,7 +168,7 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 def _pack_words(found: list[str]) -> tuple[bytes, bytes]:
     encoded = [w.encode() for w in found]
-    return _pack(np.array([len(w) for w in encoded], np.uint32)), zstandard.ZstdCompressor(level=6).compress(b"".join(encoded))
+    return _pack(np.array([len(w) for w in encoded], np.uint32)), zstandard.ZstdCompressor(level=_LEVEL).compress(b"".join(encoded))
 
 
 def _unpack_words(lengths: bytes, packed: bytes) -> list[bytes]:
@@ -175,8 +178,8 @@ def _unpack_words(lengths: bytes, packed: bytes) -> list[bytes]:
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
-    """One row per block: ids of its rows, words per row, word numbers, and its distinct words,
-    the frequent ones first."""
+    """One row per block: ids of its rows, words per row, word numbers, and its distinct words:
+    frequent ones by frequency, which keeps numbers small, rare ones by spelling, which packs well."""
     kind = docs.schema[id_col].dataType
     schema = T.StructType(
         [
@@ -185,7 +188,6 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame
             T.StructField("row_words", T.BinaryType()),
             T.StructField("codes", T.BinaryType()),
             T.StructField("n_words", T.LongType()),
-            T.StructField("hashes", T.BinaryType()),
             T.StructField("lengths", T.BinaryType()),
             T.StructField("words", T.BinaryType()),
         ]
@@ -197,11 +199,16 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame
         at = np.cumsum([0, *map(len, uniques)])
         codes = np.concatenate([back[a:b][inv] for a, b, inv in zip(at[:-1], at[1:], inverses)]) if uniques else back
         frequency = np.bincount(codes, minlength=len(distinct))
-        order = np.argsort(-frequency, kind="stable")
+        listed = [w for part in texts for w in part]
+        spelled = [listed[i] for i in first]
+        rare = np.flatnonzero(frequency < FREQUENT).tolist()
+        rare.sort(key=spelled.__getitem__)
+        common = np.flatnonzero(frequency >= FREQUENT)
+        common = common[np.argsort(-frequency[common], kind="stable")]
+        order = np.concatenate([common, np.array(rare, np.int64)])
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        listed = [w for part in texts for w in part]
-        lengths, packed = _pack_words([listed[i] for i in first[order]])
+        lengths, packed = _pack_words([spelled[i] for i in order])
         row_ids = pa.concat_arrays(ids)
         return pa.RecordBatch.from_arrays(
             [
@@ -210,7 +217,6 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame
                 pa.array([_pack(np.concatenate(counts))], pa.binary()),
                 pa.array([_pack(rank[codes])], pa.binary()),
                 pa.array([len(distinct)], pa.int64()),
-                pa.array([distinct[order].tobytes()], pa.binary()),
                 pa.array([lengths], pa.binary()),
                 pa.array([packed], pa.binary()),
             ],
@@ -244,13 +250,13 @@ def _dictionary(blocks: DataFrame, n_buckets: int, path: str) -> DataFrame:
     def deal(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                bucket_of = np.frombuffer(row["hashes"], np.uint64) % np.uint64(n_buckets)
                 listed = _unpack_words(row["lengths"], row["words"])
+                ends = np.cumsum([0, *map(len, listed)])
+                sums = prefix_hashes(np.frombuffer(b"".join(listed), np.uint8))
+                bucket_of = span_hashes(sums, ends[:-1], ends[1:]) % np.uint64(n_buckets)
                 order = np.argsort(bucket_of, kind="stable")
-                limits = np.searchsorted(bucket_of[order], np.arange(n_buckets + 1))
-                for bucket, (a, b) in enumerate(zip(limits[:-1], limits[1:])):
-                    if a == b:
-                        continue
+                buckets, first = np.unique(bucket_of[order], return_index=True)
+                for bucket, a, b in zip(buckets.tolist(), first, np.append(first[1:], len(order))):
                     codes = order[a:b]
                     own = [listed[i] for i in codes]
                     yield pa.RecordBatch.from_arrays(
@@ -259,7 +265,7 @@ def _dictionary(blocks: DataFrame, n_buckets: int, path: str) -> DataFrame:
                             pa.array([row["block"]], pa.int64()),
                             pa.array([_pack(np.diff(codes, prepend=0))], pa.binary()),
                             pa.array([_pack(np.array([len(w) for w in own]))], pa.binary()),
-                            pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(own))], pa.binary()),
+                            pa.array([zstandard.ZstdCompressor(level=_LEVEL).compress(b"".join(own))], pa.binary()),
                         ],
                         names=["bucket", "block", "codes", "lengths", "words"],
                     )
@@ -285,7 +291,7 @@ def _dictionary(blocks: DataFrame, n_buckets: int, path: str) -> DataFrame:
                     names=["block", "codes", "n_ids", "ids"],
                 )
 
-    dealt = blocks.select("block", "hashes", "lengths", "words").mapInArrow(
+    dealt = blocks.select("block", "lengths", "words").mapInArrow(
         deal, "bucket long, block long, codes binary, lengths binary, words binary"
     )
     return dealt.groupBy("bucket").applyInArrow(encode, "block long, codes binary, n_ids binary, ids binary")
