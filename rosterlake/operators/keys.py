@@ -10,8 +10,10 @@ from rosterlake.session import materialise
 # monotonically_increasing_id() keeps the partition number above bit 33.
 _SLOT_BITS = 33
 _SLOT_MASK = (1 << _SLOT_BITS) - 1
-DENSE_BLOCK = 1_000_000
+DENSE_BLOCK = 16_384
 BLOCK_IDS = 4096
+# Blocks whose counts are summed up in one task.
+_SUPERBLOCK = 65_536
 
 
 def assign_keys(df: DataFrame, order_by: list, key: str, start: int | Column = 1) -> DataFrame:
@@ -56,14 +58,13 @@ def assign_dense_keys(
 ) -> DataFrame:
     """`assign_keys` for frames ordered by an integer that is (nearly) gap-free and unique.
 
-    Blocks of `DENSE_BLOCK` consecutive integers hold at most that many distinct values, so
-    the numbering needs one shuffle and no written copy.
+    Blocks of `DENSE_BLOCK` consecutive integers hold about that many rows, so the numbering needs
+    one shuffle. The rows are written once, with their blocks, before they are counted and numbered.
     """
-    block = F.expr(f"{dense} div {DENSE_BLOCK}")
-    blocked = df.withColumn("__block", block)
+    blocked = materialise(df.withColumn("__block", F.expr(f"{dense} div {DENSE_BLOCK}")), f"keys-{key}")
     in_block = Window.partitionBy("__block").orderBy(dense, *(then_by or []))
     placed = blocked.withColumn("__pos", F.row_number().over(in_block) - 1)
-    return _shifted(placed, key, start, df.select(block.alias("__block")))
+    return _shifted(placed, key, start, blocked.select("__block"))
 
 
 def _shifted(
@@ -80,13 +81,20 @@ def _shifted(
 
 
 def _offsets(blocks: DataFrame) -> DataFrame:
-    """Rows before each block. One row per block, so the window and the broadcast are bounded
-    by the number of partitions, by n / DENSE_BLOCK or by 2**32 / BLOCK_IDS."""
-    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    """Rows before each block, summed in two levels: within runs of blocks, and over the runs.
+
+    Only the totals of runs, one row per `_SUPERBLOCK` blocks, meet in one task. The planner
+    broadcasts the offsets or sorts and merges them, as their size decides.
+    """
     counts = blocks.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
-    return F.broadcast(
-        counts.select("__block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    )
+    counts = counts.withColumn("__run", F.expr(f"__block div {_SUPERBLOCK}"))
+    before = (Window.unboundedPreceding, -1)
+    runs = counts.groupBy("__run").agg(F.sum("__n").alias("__total"))
+    earlier_runs = F.sum("__total").over(Window.orderBy("__run").rowsBetween(*before))
+    runs = runs.select("__run", F.coalesce(earlier_runs, F.lit(0)).alias("__base"))
+    earlier = F.sum("__n").over(Window.partitionBy("__run").orderBy("__block").rowsBetween(*before))
+    within = counts.withColumn("__within", F.coalesce(earlier, F.lit(0)))
+    return within.join(runs, "__run").select("__block", (F.col("__base") + F.col("__within")).alias("__before"))
 
 
 def next_key(df: DataFrame, key: str) -> int:

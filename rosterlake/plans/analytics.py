@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -301,6 +303,40 @@ class Dashboard:
             "yearly_trends": yearly_trends(self._fact, dim_date),
         }
 
+    def bundle(self) -> DataFrame:
+        """All frames as one: (metric, key, value)."""
+        frames = self.frames
+
+        def rows(name: str, key: Column, value: str) -> DataFrame:
+            return frames[name].select(
+                F.lit(name).alias("metric"), key.alias("key"), F.col(value).cast("double").alias("value")
+            )
+
+        kpis = frames["combined_kpis"]
+        kpis = kpis.select(*[F.col(c).cast("double").alias(c) for c in kpis.columns])
+        parts = [
+            kpis.unpivot([], kpis.columns, "key", "value").select(
+                F.lit("combined_kpis").alias("metric"), "key", "value"
+            ),
+            rows(
+                "top_performers_by_department",
+                F.concat_ws(" #", "department_name", "rnk"),
+                "percent_salary_hike",
+            ),
+            rows("attrition_rate_by_department", F.col("department_name"), "attrition_rate_pct"),
+            rows("avg_income_by_role", F.col("job_role"), "avg_income"),
+            rows("yearly_trends", F.col("year").cast("string"), "avg_rating"),
+        ]
+        flags = frames["attrition_risk_flags"].groupBy("department_name").count()
+        parts.append(
+            flags.select(
+                F.lit("attrition_risk_flags").alias("metric"),
+                F.col("department_name").alias("key"),
+                F.col("count").cast("double").alias("value"),
+            )
+        )
+        return reduce(DataFrame.unionByName, parts)
+
     def close(self) -> None:
         self._staff.unpersist()
         self._fact.unpersist()

@@ -127,6 +127,15 @@ def _calendar(first: str) -> str:
     )
 
 
+def _facts_per_day(first: str, last: str) -> str:
+    return (
+        f"SELECT c.* REPLACE (CAST(c.full_date AS VARCHAR) AS full_date), coalesce(n, 0) AS n_facts FROM "
+        f"(SELECT {_DATE_COLUMNS} FROM (SELECT unnest(generate_series(TIMESTAMP '{first}', TIMESTAMP '{last}', "
+        "INTERVAL 1 DAY)) AS d)) c LEFT JOIN (SELECT review_date_key, count(*) AS n FROM fact_performance_reviews "
+        "GROUP BY review_date_key) f ON f.review_date_key = c.date_key"
+    )
+
+
 def _first_of_year(expr: str) -> str:
     return f"(SELECT CAST(date_trunc('year', {expr}) AS TIMESTAMP) FROM staging)"
 
@@ -611,6 +620,22 @@ def parity_sql() -> dict[str, str]:
         "dim_project": _as("dim_project"),
         "dim_date": f"SELECT * REPLACE (CAST(full_date AS VARCHAR) AS full_date) FROM ({_calendar(_first_of_year('min(hire_date)'))})",
         "dim_date_extend": f"SELECT * REPLACE (CAST(full_date AS VARCHAR) AS full_date) FROM ({_calendar(_first_of_year('min(hire_date)'))})",
+        "dim_date_v1": _facts_per_day("2015-01-01", "2030-12-31"),
+        "dim_date_v2": _facts_per_day("2010-01-01", "2035-12-31"),
+        "dashboard_bundle": f"""SELECT 'combined_kpis' AS metric, 'active_count' AS key, CAST(active_count AS DOUBLE) AS value FROM ({_KPIS})
+            UNION ALL SELECT 'combined_kpis', 'avg_income', avg_income FROM ({_KPIS})
+            UNION ALL SELECT 'combined_kpis', 'avg_rating', avg_rating FROM ({_KPIS})
+            UNION ALL SELECT 'combined_kpis', 'avg_satisfaction', avg_satisfaction FROM ({_KPIS})
+            UNION ALL SELECT 'top_performers_by_department', department_name || ' #' || rnk, percent_salary_hike FROM ({_TOP})
+            UNION ALL SELECT 'attrition_rate_by_department', department_name, attrition_rate_pct FROM ({_RATES})
+            UNION ALL SELECT 'avg_income_by_role', job_role, avg_income FROM (
+              SELECT job_role, {_avg('monthly_income')} AS avg_income FROM {_CURRENT} GROUP BY job_role)
+            UNION ALL SELECT 'yearly_trends', CAST(year AS VARCHAR), avg_rating FROM ({_TRENDS})
+            UNION ALL SELECT 'attrition_risk_flags', department_name, CAST(count(*) AS DOUBLE) FROM (
+              SELECT d.department_name FROM fact_performance_reviews f JOIN {_CURRENT} e ON f.emp_key = e.emp_key
+              JOIN dim_department d ON f.dept_key = d.dept_key JOIN dim_date dt ON f.review_date_key = dt.date_key
+              WHERE f.job_satisfaction <= 2 ORDER BY f.job_satisfaction, dt.full_date DESC, e.employee_id, f.review_fact_id LIMIT 50)
+              GROUP BY department_name""",
         "dim_employee_scd2": _as("dim_employee"),
         "dim_employee_v1": _as("dim_employee_v1", "dim_employee"),
         "fact_reviews": _as("fact_performance_reviews"),

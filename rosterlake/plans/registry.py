@@ -25,7 +25,7 @@ from rosterlake.plans.load import LoadConfig, load_row_counts, run_full_load
 from rosterlake.schemas import STAGING_TABLE, STAGING_WITH_KEY
 from rosterlake.session import materialise, scratch_path
 from rosterlake.sources import driver_tables as source
-from rosterlake.sources.calendar import calendar_between
+from rosterlake.sources.calendar import CALENDAR_V1, CALENDAR_V2, calendar, calendar_between
 from rosterlake.sources.csv_staging import read_staging_csv, write_staging_csv
 from rosterlake.sources.snapshots import SnapshotStore
 
@@ -320,6 +320,29 @@ def dim_date(w):
     return _calendar_since(w, "hire_date")
 
 
+def _facts_per_day(w, bounds):
+    """A calendar of fixed range with the number of facts of every day."""
+    days = calendar(w.spark, *bounds)
+    facts = w["fact_performance_reviews"].groupBy(F.col("review_date_key").alias("date_key"))
+    counted = days.join(facts.agg(F.count(F.lit(1)).alias("n_facts")), "date_key", "left")
+    return counted.withColumn("n_facts", F.coalesce("n_facts", F.lit(0)))
+
+
+@_query
+def dim_date_v1(w):
+    return _facts_per_day(w, CALENDAR_V1)
+
+
+@_query
+def dim_date_v2(w):
+    return _facts_per_day(w, CALENDAR_V2)
+
+
+@_query
+def dashboard_bundle(w):
+    return analytics.Dashboard(w.tables).bundle()
+
+
 @_query
 def dim_date_extend(w):
     """A calendar that starts with the latest employee's hire gains the earlier days."""
