@@ -9,14 +9,17 @@ from rosterlake.sources.snapshots import SnapshotStore
 
 
 class Workforce:
-    """Batches of form submissions; every method returns the rows it refused."""
+    """Batches of form submissions; every method returns the rows it refused.
+
+    A method that another writer overtakes raises `CommitConflict` and has changed nothing.
+    """
 
     def __init__(self, store: SnapshotStore):
         self.store = store
 
     def update_roles(self, requests: DataFrame, mark: tuple[str, int] | None = None) -> DataFrame:
         """Only the current part of the dimension is rewritten; expired versions stay as files."""
-        tables = self.store.tables()
+        base, tables = self.store.generation(), self.store.tables()
         update = changes.update_employee_roles(
             requests, tables["employees"], tables["departments"], tables["jobs"],
             tables["dim_employee"],
@@ -29,11 +32,12 @@ class Workforce:
                 ),
             },
             mark,
+            base,
         )
         return update.rejected
 
     def onboard(self, candidates: DataFrame, today: Column) -> DataFrame:
-        tables = self.store.tables()
+        base, tables = self.store.generation(), self.store.tables()
         hired = changes.onboard(
             candidates, tables["employees"], tables["departments"], tables["jobs"],
             tables["dim_employee"], today,
@@ -42,22 +46,25 @@ class Workforce:
             {
                 "employees": self.store.append("employees", hired.employees),
                 "dim_employee": self.store.append("dim_employee", hired.dim_employee),
-            }
+            },
+            base=base,
         )
         return hired.rejected
 
     def assign_projects(self, requests: DataFrame) -> DataFrame:
-        tables = self.store.tables()
+        base, tables = self.store.generation(), self.store.tables()
         assigned = changes.assign_projects(
             requests, tables["project_assignments"], tables["employees"], tables["projects"]
         )
         self.store.commit(
-            {"project_assignments": self.store.write("project_assignments", assigned.snapshot)}
+            {"project_assignments": self.store.write("project_assignments", assigned.snapshot)},
+            base=base,
         )
         return assigned.rejected
 
     def submit_reviews(self, requests: DataFrame) -> DataFrame:
-        submitted = changes.submit_reviews(requests, self.store.tables())
+        base, tables = self.store.generation(), self.store.tables()
+        submitted = changes.submit_reviews(requests, tables)
         self.store.commit(
             {
                 "performance_reviews": self.store.append(
@@ -66,11 +73,13 @@ class Workforce:
                 "fact_performance_reviews": self.store.append(
                     "fact_performance_reviews", submitted.facts
                 ),
-            }
+            },
+            base=base,
         )
         return submitted.rejected
 
     def give_raises(self, requests: DataFrame) -> DataFrame:
+        base = self.store.generation()
         raised = changes.apply_raises(requests, self.store.read("employees"))
-        self.store.commit({"employees": self.store.write("employees", raised.employees)})
+        self.store.commit({"employees": self.store.write("employees", raised.employees)}, base=base)
         return raised.rejected

@@ -1,7 +1,8 @@
 """Tables as immutable parquet segments behind one manifest.
 
-A write goes to a new folder. A commit appends one manifest file that names the segments of all
-tables it changed, so readers see all of them or none, across both layers. A table is a list of
+A write goes to a new folder. A commit writes one manifest, numbered by its generation, that names
+the segments of all tables, so readers see all of its changes or none, across both layers. Only one
+writer can claim a generation: the others are refused and start again from the newest tables. A table is a list of
 segments: appending adds one, and a change replaces only the partitions it touches.
 """
 
@@ -11,7 +12,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from rosterlake.schemas import OLAP, OLTP, TABLES
 
 LAYERS = {"OLTP": tuple(OLTP), "OLAP": tuple(OLAP)}
-_MANIFEST = "generation LONG, table STRING, segments ARRAY<STRING>, schema STRING"
+_MANIFEST = "table STRING, segments ARRAY<STRING>, schema STRING"
 _MARK = "mark:"
 
 
@@ -34,6 +35,10 @@ class Entry:
         return Entry(self.segments + other.segments, other.schema)
 
 
+class CommitConflict(RuntimeError):
+    """Another writer has committed since the tables were read."""
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -74,18 +79,59 @@ class SnapshotStore:
         kept = tuple(s for s in current.segments if partition not in s.split("/"))
         return Entry(kept, current.schema) + self.write(table, rows)
 
-    def commit(self, written: dict[str, Entry], mark: tuple[str, int] | None = None) -> int:
-        """Make the given entries current, together, with an optional progress mark."""
-        rows = self._rows()
-        generation = max((r["generation"] for r in rows), default=0) + 1
-        entries = {r["table"]: Entry(tuple(r["segments"]), r["schema"]) for r in rows} | written
+    def commit(
+        self,
+        written: dict[str, Entry],
+        mark: tuple[str, int] | None = None,
+        base: int | None = None,
+    ) -> int:
+        """Make the given entries current, together, with an optional progress mark.
+
+        ``base`` is the generation that the entries were computed from; without one they replace
+        whatever is current. Raises `CommitConflict` if another writer was first.
+        """
+        current = self.generation()
+        if base is not None and base != current:
+            raise CommitConflict(f"generation {current} has replaced {base}")
+        generation = current + 1
+        if not self._claim(generation):
+            raise CommitConflict(f"generation {generation} belongs to another writer")
+        entries = {r["table"]: Entry(tuple(r["segments"]), r["schema"]) for r in self._rows()} | written
         if mark:
             entries[_MARK + mark[0]] = Entry((str(mark[1]),), "")
-        records = [(generation, t, list(e.segments), e.schema) for t, e in entries.items()]
+        records = [(t, list(e.segments), e.schema) for t, e in entries.items()]
         manifest = self.spark.createDataFrame(records, _MANIFEST).coalesce(1)
-        manifest.write.mode("append").parquet(f"{self.root}/manifest")
+        try:
+            manifest.write.parquet(f"{self.root}/manifest/{generation}")
+        except Exception:
+            self.abandon_claims()
+            raise
         return generation
 
+    def abandon_claims(self) -> None:
+        """Free the generations claimed but never committed, as a writer that died leaves them.
+        To be called while no other writer is at work."""
+        _, files = self._path("claims")
+        for claim in files.globStatus(self._path("claims/*")[0]):
+            if int(claim.getPath().getName()) > self.generation():
+                files.delete(claim.getPath(), False)
+
+    def _path(self, name: str):
+        """(path, file system) of a place under the root."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(conf)
+
+    def _claim(self, generation: int) -> bool:
+        """Create the generation's claim; False if it exists."""
+        path, files = self._path(f"claims/{generation}")
+        try:
+            return files.createNewFile(path)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception):
+                return False
+            raise
+
     # --- reading -----------------------------------------------------------------------
 
     def open(self, table: str, entry: Entry) -> DataFrame:
@@ -115,7 +161,13 @@ class SnapshotStore:
         }
 
     def generation(self) -> int:
-        return max((r["generation"] for r in self._rows()), default=0)
+        """The newest committed generation, 0 before the first: found by name, nothing is read."""
+        path, files = self._path("manifest")
+        if not files.exists(path):
+            return 0
+        complete = files.globStatus(self._path("manifest/*/_SUCCESS")[0])
+        numbers = [f.getPath().getParent().getName() for f in complete]
+        return max(map(int, numbers), default=0)
 
     def mark(self, name: str) -> int:
         """The last committed progress mark of that name, -1 before the first."""
@@ -124,11 +176,7 @@ class SnapshotStore:
 
     def _rows(self) -> list:
         """Manifest rows of the current generation: one per table."""
-        try:
-            manifest = self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return []
-            raise
-        last = manifest.select(F.max("generation"))
-        return manifest.filter(F.col("generation") == last.scalar()).collect()
+        generation = self.generation()
+        if not generation:
+            return []
+        return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest/{generation}").collect()

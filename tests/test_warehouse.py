@@ -14,7 +14,7 @@ from rosterlake.plans.operations import Workforce
 from rosterlake.schemas import OLAP, OLTP, STAGING_TABLE, STAGING_WITH_KEY, TABLES
 from rosterlake.sources import driver_tables as source
 from rosterlake.sources.csv_staging import load_csv_to_staging, read_staging_csv, write_staging_csv
-from rosterlake.sources.snapshots import SnapshotStore
+from rosterlake.sources.snapshots import CommitConflict, SnapshotStore
 from rosterlake.streaming.change_stream import apply_batch, follow_role_changes
 
 
@@ -79,6 +79,23 @@ def test_nothing_is_visible_before_the_commit(spark, store_root):
         store.read("employees")
 
 
+def test_a_second_writer_is_refused(spark, store_root):
+    store, other = SnapshotStore(spark, store_root), SnapshotStore(spark, store_root)
+    one, two = (spark.createDataFrame([(n, "Dev", n)], OLTP["jobs"].schema) for n in (1, 2))
+    store.commit({"jobs": store.write("jobs", one)})
+    base = other.generation()
+    late = other.append("jobs", two)
+    store.commit({"jobs": store.append("jobs", two)}, base=base)
+    with pytest.raises(CommitConflict):
+        other.commit({"jobs": late}, base=base)
+    assert store.read("jobs").count() == 2 and store.generation() == 2
+    assert other._claim(3) and not store._claim(3)  # a writer died before its manifest
+    with pytest.raises(CommitConflict):
+        store.commit({"jobs": late})
+    store.abandon_claims()
+    assert store.commit({"jobs": late}) == 3
+
+
 @pytest.fixture
 def company(spark, sf_dir, store_root):
     store = SnapshotStore(spark, store_root)
