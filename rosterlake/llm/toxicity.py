@@ -4,7 +4,8 @@ Texts are folded to 32 symbols (a to z, four classes of other letters, digits, a
 all else). Counts of four-symbol runs per class come from all labelled documents; both models back
 off to the same continuation counts over both classes, so that rare expressions, seen in neither,
 say nothing. A document's score is the difference of its log-likelihoods per symbol, calibrated by
-a logistic curve fitted on binned values of the learning documents. The model has 32**4 entries.
+isotonic regression on binned values of the learning documents, each measured by models of the other
+half of them, as a model flatters what it has seen. A model has 32**4 entries.
 
 Without labelled rows of both classes every score is 0. A text without symbols scores as a
 difference of 0. One row per row of the input; repeated rows get equal scores.
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm.arrays import runs
+from rosterlake.llm.labels import isotonic
 from rosterlake.llm.letters import LETTER, NUMBER, classes, folded
 from rosterlake.llm.shipping import ship
 from rosterlake.session import materialise
@@ -25,7 +27,8 @@ from rosterlake.session import materialise
 SYMBOLS = 32
 ORDER = 4
 DISCOUNT = 0.75
-BINS = 2000
+BINS = 20_000
+_COUNTS = ("toxic", "ordinary", "toxic_half", "ordinary_half")
 _TABLE: dict[str, np.ndarray] = {}
 
 
@@ -63,24 +66,23 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes[real], np.minimum(rows[real], max(len(listed) - 1, 0))
 
 
-def counts(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -> DataFrame:
-    """(code, toxic, ordinary): counts of the runs over all labelled rows."""
+def counts(labelled: DataFrame, text_col: str = "text", label_col: str = "label", half_col: str = "half") -> DataFrame:
+    """(code, toxic, ordinary, toxic_half, ordinary_half): counts of the runs over all labelled
+    rows, and over those of half 1."""
 
     def count(batches):
-        total = np.zeros((2, SYMBOLS**ORDER), np.int64)
+        total = np.zeros((4, SYMBOLS**ORDER), np.int64)
         for batch, _, _ in runs(batches):
-            toxic = np.asarray(batch.column(0)) >= 0.5
-            codes, rows = grams(batch.column(1))
-            for k in (0, 1):
-                total[k] += np.bincount(codes[toxic[rows] == bool(k)], minlength=SYMBOLS**ORDER)
+            ordinary, half = np.asarray(batch.column(0)) < 0.5, np.asarray(batch.column(1)) == 1
+            codes, rows = grams(batch.column(2))
+            for k, members in enumerate((~ordinary, ordinary, ~ordinary & half, ordinary & half)):
+                total[k] += np.bincount(codes[members[rows]], minlength=SYMBOLS**ORDER)
         used = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.int64()) for x in (used, total[1][used], total[0][used])], names=["code", "toxic", "ordinary"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (used, *total[:, used])], names=["code", *_COUNTS])
 
-    rows = labelled.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    parts = rows.mapInArrow(count, "code long, toxic long, ordinary long")
-    return parts.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    rows = labelled.select(F.col(label_col).alias("label"), F.col(half_col).alias("half"), F.col(text_col).alias("text"))
+    parts = rows.mapInArrow(count, "code long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return parts.groupBy("code").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
 def shared_backoff(pooled: np.ndarray) -> np.ndarray:
@@ -117,49 +119,50 @@ def difference(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     return ratio.ravel().astype(np.float32)
 
 
-def _means(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
+def _means(texts: pa.Array, ratios: np.ndarray) -> list[np.ndarray]:
+    """Mean ratio per run of every text, for each of the models."""
     codes, rows = grams(texts)
-    n = np.bincount(rows, minlength=len(texts))
-    return np.bincount(rows, ratio[codes], minlength=len(texts)) / np.maximum(n, 1)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton steps, slightly regularised."""
-    centre, spread = np.average(x, weights=weight), 0.0
-    spread = np.sqrt(np.average((x - centre) ** 2, weights=weight)) or 1.0
-    z = np.stack([(x - centre) / spread, np.ones_like(x)], 1)
-    beta = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        gradient = z.T @ (weight * (y - p)) - np.array([1e-3, 0]) * beta
-        curve = (z * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z + np.diag([1e-3, 1e-9])
-        step = np.linalg.solve(curve, gradient)
-        beta += np.clip(step, -5, 5)
-        if abs(step).max() < 1e-8:
-            break
-    return beta[0] / spread, beta[1] - beta[0] * centre / spread
+    n = np.maximum(np.bincount(rows, minlength=len(texts)), 1)
+    return [np.bincount(rows, ratio[codes], minlength=len(texts)) / n for ratio in ratios]
 
 
 def classify(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row of docs, learned from known (doc_id, label)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    known = known.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
     table = counts(rows.join(known, "doc_id")).toPandas()  # at most SYMBOLS ** ORDER rows
-    toxic, ordinary = np.zeros(SYMBOLS**ORDER, np.int64), np.zeros(SYMBOLS**ORDER, np.int64)
-    toxic[table["code"]], ordinary[table["code"]] = table["toxic"], table["ordinary"]
+    seen = np.zeros((4, SYMBOLS**ORDER), np.int64)
+    seen[:, table["code"]] = table[list(_COUNTS)].to_numpy().T
+    toxic, ordinary, *half = seen
     kind = rows.schema["doc_id"].dataType.simpleString()
     if not toxic.any() or not ordinary.any():
         return rows.select("doc_id", F.lit(0.0).alias("score"))
-    ratio = difference(toxic, ordinary)
+    whole = difference(toxic, ordinary)
+    halves = [(half[0], half[1]), (toxic - half[0], ordinary - half[1])]  # of half 1, of half 0
+    # A document of half 0 is measured by the model of half 1, and the reverse.
+    parts = [difference(*h) if h[0].any() and h[1].any() else whole for h in halves]
+    ratios = np.stack([whole, *parts])
 
     def measure(batches):
         for batch, _, _ in runs(batches):
-            means = _means(batch.column(1), ratio)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.float64())], names=["doc_id", "ratio"])
-
-    measured = materialise(rows.mapInArrow(measure, f"doc_id {kind}, ratio double"), "toxicity-ratios")
-    placed = measured.join(known, "doc_id").select(F.rint(F.col("ratio") * BINS).alias("at"), "label")
+            means = _means(batch.column(1), ratios)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(m, pa.float64()) for m in means]], names=["doc_id", "ratio", "ratio_0", "ratio_1"]
+            )
+
+    schema = f"doc_id {kind}, ratio double, ratio_0 double, ratio_1 double"
+    measured = materialise(rows.mapInArrow(measure, schema), "toxicity-ratios")
+    apart = F.when(F.col("half") == 0, F.col("ratio_0")).otherwise(F.col("ratio_1"))
+    placed = measured.join(known, "doc_id").select(F.rint(apart * BINS).alias("at"), "label")
     bins = placed.groupBy("at").agg(F.avg("label").alias("y"), F.count(F.lit(1)).alias("n")).toPandas()
-    slope, intercept = _logistic(bins["at"].to_numpy() / BINS, bins["y"].to_numpy(), bins["n"].to_numpy(float))
-    chance = 1 / (1 + F.exp(-(F.col("ratio") * float(slope) + float(intercept))))
-    return measured.select("doc_id", chance.alias("score"))
+    bins = bins.sort_values("at")
+    steps = bins["at"].to_numpy() / BINS
+    chances = isotonic(steps, bins["y"].to_numpy(), bins["n"].to_numpy(float))
+
+    def score(batches):
+        for batch in batches:
+            scores = np.interp(np.asarray(batch.column("ratio")), steps, chances)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
+
+    return measured.select("doc_id", "ratio").mapInArrow(score, f"doc_id {kind}, score double")
