@@ -283,12 +283,14 @@ def lookup_labels(departments: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 class Dashboard:
-    """All dashboard frames over one cached star schema; ``close`` when the schema changes."""
+    """All dashboard frames over one star schema, cached unless told otherwise; ``close`` when the
+    schema changes."""
 
-    def __init__(self, tables: dict[str, DataFrame]):
+    def __init__(self, tables: dict[str, DataFrame], cached: bool = True):
         dim_department, dim_date = tables["dim_department"], tables["dim_date"]
-        self._staff = current(tables["dim_employee"]).persist()
-        self._fact = tables["fact_performance_reviews"].persist()
+        self._staff, self._fact = current(tables["dim_employee"]), tables["fact_performance_reviews"]
+        if cached:
+            self._staff, self._fact = self._staff.persist(), self._fact.persist()
         rates = attrition_rate_by_department(self._staff, dim_department)
         self.frames = {
             "combined_kpis": combined_kpis(self._staff, self._fact),

@@ -340,7 +340,7 @@ def dim_date_v2(w):
 
 @_query
 def dashboard_bundle(w):
-    return analytics.Dashboard(w.tables).bundle()
+    return analytics.Dashboard(w.tables, cached=False).bundle()
 
 
 @_query
