@@ -41,4 +41,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     AND n_dup_lines / per_line <= 0.5 AND bullets / per_line <= 0.9 AND ellipses / per_line <= 0.5 AS kept
 FROM judged"""
 
-ORACLE: dict[str, str] = {"op6_quality_rules": _QUALITY}
+_KEYWORD = "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+_PATTERNS = (
+    _KEYWORD + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "AKIA[A-Z0-9]+",
+    "[0-9a-f]+",
+    "[A-Za-z0-9+/_=-]{20,}",
+)
+_MATCHES = " UNION ALL ".join(
+    f"SELECT nr, {kind} AS kind, regexp_extract_all(text, '{pattern}') AS f, "
+    f"regexp_extract_all(text, '{pattern}', {0 if kind else 2}) AS v, string_split_regex(text, '{pattern}') AS g FROM rows"
+    for kind, pattern in enumerate(_PATTERNS)
+)
+
+_SECRETS = f"""
+WITH rows AS (SELECT row_number() OVER () AS nr, doc_id, source, coalesce(text, '') AS text FROM documents),
+found AS ({_MATCHES}),
+each AS (
+  SELECT nr, kind, unnest(f) AS f, unnest(v) AS v, unnest(g[1:len(f)]) AS g, unnest(range(len(f))) AS k
+  FROM found WHERE len(f) > 0),
+placed AS (
+  SELECT nr, kind, v, f, CAST(sum(length(g) + length(f)) OVER (PARTITION BY nr, kind ORDER BY k) AS BIGINT) AS stop FROM each),
+spans AS (
+  SELECT nr, kind, v, stop - length(f) AS start, stop FROM placed
+  WHERE CASE kind WHEN 0 THEN length(v) >= 6 WHEN 1 THEN length(v) >= 20 WHEN 2 THEN length(v) >= 24
+    ELSE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') END),
+candidates AS (
+  SELECT * FROM spans s WHERE kind < 3 OR NOT EXISTS (
+    SELECT 1 FROM spans b WHERE b.nr = s.nr AND b.kind < 3 AND b.start < s.stop AND s.start < b.stop)),
+owners AS (
+  SELECT v, count(DISTINCT coalesce(source, chr(0))) AS n_owners FROM candidates JOIN rows ON rows.nr = candidates.nr GROUP BY v),
+judged AS (
+  SELECT c.*, n_owners >= 3 AS example, CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'generic' END
+    || ':' || start || ':' || stop AS shown
+  FROM candidates c JOIN owners o ON o.v = c.v WHERE kind < 3 OR n_owners < 3),
+listed AS (
+  SELECT nr, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(shown, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+    string_agg(shown, ',' ORDER BY start, kind) AS spans, count(*) FILTER (example) AS n_examples FROM judged GROUP BY nr)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_examples, 0) AS n_examples
+FROM rows LEFT JOIN listed ON listed.nr = rows.nr"""
+
+ORACLE: dict[str, str] = {"op5_secret_scan": _SECRETS, "op6_quality_rules": _QUALITY}
