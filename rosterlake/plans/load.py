@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.plans import olap, oltp
 from rosterlake.schemas import STAGING_TABLE
-from rosterlake.session import materialise
+from rosterlake.session import materialise, scratch_scope
 from rosterlake.sources.calendar import CALENDAR_V2, calendar
 from rosterlake.sources.snapshots import Entry, SnapshotStore
 
@@ -36,8 +37,15 @@ def run_full_load(
     """Reload every table from staging; readers keep the previous generation until the end.
 
     The operational tables, the employee versions and the calendar depend only on staging, so
-    their jobs are submitted side by side.
+    their jobs are submitted side by side. Intermediate tables are removed after the commit.
     """
+    with scratch_scope(spark):
+        return _full_load(spark, staging, store, config)
+
+
+def _full_load(
+    spark: SparkSession, staging: DataFrame, store: SnapshotStore, config: LoadConfig
+) -> LoadResult:
     written: dict[str, Entry] = {}
     tables: dict[str, DataFrame] = {}
 
@@ -89,13 +97,14 @@ def run_full_load(
 
 
 class _Inheriting:
-    """Submits jobs with the job group, tags and scheduler pool of the caller."""
+    """Submits jobs with the job group, tags, scheduler pool and scratch scope of the caller."""
 
     def __init__(self, threads: ThreadPoolExecutor, spark: SparkSession):
         self.threads, self.spark = threads, spark
 
     def submit(self, job):
-        return self.threads.submit(inheritable_thread_target(self.spark)(job))
+        context = copy_context()
+        return self.threads.submit(inheritable_thread_target(self.spark)(lambda: context.run(job)))
 
 
 def _calendar(spark: SparkSession, store: SnapshotStore, config: LoadConfig) -> DataFrame:

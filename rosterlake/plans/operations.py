@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 
 from rosterlake.plans import changes
+from rosterlake.session import scratch_scope
 from rosterlake.sources.snapshots import SnapshotStore
 
 
+def _scoped(method):
+    """Run a method of `Workforce` in a scratch scope."""
+
+    @wraps(method)
+    def run(self, *args, **kwargs):
+        with scratch_scope(self.store.spark):
+            return method(self, *args, **kwargs)
+
+    return run
+
+
 class Workforce:
     """Batches of form submissions; every method returns the rows it refused.
 
-    A method that another writer overtakes raises `CommitConflict` and has changed nothing.
+    A method that another writer overtakes raises `CommitConflict` and has changed nothing. Refused
+    rows are kept in a folder of the store; intermediate tables are removed.
     """
 
     def __init__(self, store: SnapshotStore):
         self.store = store
 
+    def _kept(self, refused: DataFrame) -> DataFrame:
+        return self.store.open("refused", self.store.write("refused", refused))
+
+    @_scoped
     def update_roles(self, requests: DataFrame, mark: tuple[str, int] | None = None) -> DataFrame:
         """Only the current part of the dimension is rewritten; expired versions stay as files."""
         base, tables = self.store.generation(), self.store.tables()
@@ -34,8 +53,9 @@ class Workforce:
             mark,
             base,
         )
-        return update.rejected
+        return self._kept(update.rejected)
 
+    @_scoped
     def onboard(self, candidates: DataFrame, today: Column) -> DataFrame:
         base, tables = self.store.generation(), self.store.tables()
         hired = changes.onboard(
@@ -49,8 +69,9 @@ class Workforce:
             },
             base=base,
         )
-        return hired.rejected
+        return self._kept(hired.rejected)
 
+    @_scoped
     def assign_projects(self, requests: DataFrame) -> DataFrame:
         base, tables = self.store.generation(), self.store.tables()
         assigned = changes.assign_projects(
@@ -60,8 +81,9 @@ class Workforce:
             {"project_assignments": self.store.write("project_assignments", assigned.snapshot)},
             base=base,
         )
-        return assigned.rejected
+        return self._kept(assigned.rejected)
 
+    @_scoped
     def submit_reviews(self, requests: DataFrame) -> DataFrame:
         base, tables = self.store.generation(), self.store.tables()
         submitted = changes.submit_reviews(requests, tables)
@@ -76,10 +98,11 @@ class Workforce:
             },
             base=base,
         )
-        return submitted.rejected
+        return self._kept(submitted.rejected)
 
+    @_scoped
     def give_raises(self, requests: DataFrame) -> DataFrame:
         base = self.store.generation()
         raised = changes.apply_raises(requests, self.store.read("employees"))
         self.store.commit({"employees": self.store.write("employees", raised.employees)}, base=base)
-        return raised.rejected
+        return self._kept(raised.rejected)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,5 +50,28 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+# Intermediate tables of the scope at work. Threads see it if they run in a copy of the context.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("rosterlake_scratch", default=None)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    return write_table(df, scratch_path(df.sparkSession, name))
+    """Write an intermediate table. It stays until its scope ends, or else with the application."""
+    path = scratch_path(df.sparkSession, name)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
+    return write_table(df, path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables of the block at its end. Nothing that reads them may leave it."""
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

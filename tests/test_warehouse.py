@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from decimal import Decimal
 
 import pytest
@@ -12,6 +13,7 @@ from rosterlake.plans import analytics, olap, oltp, quality
 from rosterlake.plans.load import LoadConfig, run_full_load
 from rosterlake.plans.operations import Workforce
 from rosterlake.schemas import OLAP, OLTP, STAGING_TABLE, STAGING_WITH_KEY, TABLES
+from rosterlake.session import scratch_root
 from rosterlake.sources import driver_tables as source
 from rosterlake.sources.csv_staging import load_csv_to_staging, read_staging_csv, write_staging_csv
 from rosterlake.sources.snapshots import CommitConflict, SnapshotStore
@@ -79,6 +81,22 @@ def test_nothing_is_visible_before_the_commit(spark, store_root):
         store.read("employees")
 
 
+def test_no_intermediate_table_is_left(spark, sf_dir, store_root):
+    folder = scratch_root(spark)
+
+    def left():
+        return {p for p in os.listdir(folder.removeprefix("file:"))} if os.path.isdir(folder) else set()
+
+    os.makedirs(folder, exist_ok=True)
+    before, store = left(), SnapshotStore(spark, store_root)
+    run_full_load(spark, source.staging_rows(spark, sf_dir), store, LoadConfig("1995-01-01", "2035-12-31"))
+    assert left() == before
+    refused = Workforce(store).update_roles(source.role_changes(spark, sf_dir))
+    refused.count()
+    Workforce(store).give_raises(source.raise_requests(spark, sf_dir)).count()
+    assert left() == before
+
+
 def test_a_second_writer_is_refused(spark, store_root):
     store, other = SnapshotStore(spark, store_root), SnapshotStore(spark, store_root)
     one, two = (spark.createDataFrame([(n, "Dev", n)], OLTP["jobs"].schema) for n in (1, 2))
