@@ -131,7 +131,9 @@ def classify(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = known.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
-    table = counts(rows.join(known, "doc_id")).toPandas()  # at most SYMBOLS ** ORDER rows
+    # Labels grow with the documents: both sides are sorted and merged at every size.
+    labelled = rows.join(known.hint("merge"), "doc_id")
+    table = counts(labelled).toPandas()  # at most SYMBOLS ** ORDER rows
     seen = np.zeros((4, SYMBOLS**ORDER), np.int64)
     seen[:, table["code"]] = table[list(_COUNTS)].to_numpy().T
     toxic, ordinary, *half = seen
