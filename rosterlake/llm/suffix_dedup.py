@@ -9,7 +9,7 @@ id, or earlier in the same text. Strings are judged on the input.
 2. Contexts of repeated names meet in buckets by name; equal contexts collapse to the first.
    Each bucket builds the suffix order of its contexts, keeps the Burrows-Wheeler transform as runs
    with a suffix sample at each run end, and the matching statistic of every row (reaches `length`
-   against an earlier start, or not) as runs too. All contexts are streamed backwards through the
+   against an earlier start, or not) as a bit. All contexts are streamed backwards through the
    runs, and rows that reach the length mark their windows.
 3. Names of very many contexts (frequent phrases) would fill one bucket. Their windows meet by the
    hash of the whole window instead, which spreads over all buckets.
@@ -200,27 +200,37 @@ def _texts(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, ranks of the first 64 symbols), by doubling; a text ends with its least symbol."""
+    """(suffix array, ranks of the first 64 symbols), by doubling; a text ends with its least symbol.
+
+    The rank of a suffix is the place of the first of its equals; after each round only suffixes
+    that still have equals are sorted further.
+    """
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    depth, rank64 = 8, None
+    order = np.argsort(key)
+    rank, open_places = np.empty(n, np.int64), np.arange(n)
+    key, depth, rank64 = key[order], 8, None
     while True:
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, np.int64)
-        new[0] = 0
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if depth == 64 or rank64 is None and rank[order[-1]] == n - 1:
-            rank64 = rank
-        if rank[order[-1]] == n - 1:
-            return order, rank64
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - depth)] = rank[depth:] + 1
-        key = rank * (n + 1) + second
+        suffixes = order[open_places]
+        first = np.ones(len(suffixes), bool)
+        first[1:] = key[1:] != key[:-1]
+        heads = np.flatnonzero(first)
+        rank[suffixes] = np.repeat(open_places[heads], np.diff(np.append(heads, len(first))))
+        if depth == 64:
+            rank64 = rank.copy()
+        alone = first & np.append(first[1:], True)
+        open_places = open_places[~alone]
+        if not len(open_places):
+            return order, rank if rank64 is None else rank64
+        suffixes = order[open_places]
+        after = suffixes + depth
+        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key = rank[suffixes] * (n + 1) + second
+        sorted_ = np.argsort(key)
+        order[open_places], key = suffixes[sorted_], key[sorted_]
         depth *= 2
 
 
@@ -240,7 +250,10 @@ class RunIndex:
         sizes = (run_ends - self.run_starts)[by_symbol]
         self.run_base = np.empty(len(symbols), np.int64)
         self.run_base[by_symbol] = np.cumsum(sizes) - sizes
-        # Matching statistics: rows whose first `length` symbols also start earlier, as runs.
+        # The run of every eighth row: from there it is a few steps to the run of any row.
+        self.directory = np.searchsorted(self.run_starts, np.arange(0, n, 8), "right") - 1
+        self.next_starts = np.append(self.run_starts[1:], n)
+        # Matching statistics, one bit: rows whose first `length` symbols also start earlier.
         far = np.concatenate([rank64, np.full(length, -1, np.int64)])
         offset = max(0, length - 64)
         near, rest = far[order], far[order + offset]
@@ -248,8 +261,7 @@ class RunIndex:
         head[1:] = (near[1:] != near[:-1]) | (rest[1:] != rest[:-1])
         heads = np.flatnonzero(head)
         first = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.append(heads, n)))
-        late = order > first
-        self.late_changes = np.flatnonzero(np.diff(np.concatenate([[False], late]).astype(np.int8)) != 0)
+        self.late = np.packbits(order > first)
         inverse = np.empty(n, np.int64)
         inverse[order] = np.arange(n)
         self.ends = inverse[stops]  # the row of every context's end
@@ -261,10 +273,12 @@ class RunIndex:
         for step in range(1, int(left[0]) + 1 if len(left) else 0):
             active = int(np.searchsorted(-left, -step, "right"))
             rows = rows[:active]
-            run = np.searchsorted(self.run_starts, rows, "right") - 1
+            run = self.directory[rows >> 3]
+            while (behind := self.next_starts[run] <= rows).any():
+                run = run + behind
             rows = self.run_base[run] + rows - self.run_starts[run]
             if step >= length:
-                hit = np.flatnonzero(np.searchsorted(self.late_changes, rows, "right") & 1)
+                hit = np.flatnonzero(self.late[rows >> 3] >> (7 - (rows & 7)) & 1)
                 if len(hit):
                     yield order[hit], left[hit] - step
 
