@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from rosterlake.llm.arrays import mixed, prefix_hashes, runs, span_hashes, words
 from rosterlake.llm.shipping import ship
 
-REPETITIONS = 16
+REPETITIONS = 24
 STEPS = 24
 SAMPLES = 6
 SHORT = 8
