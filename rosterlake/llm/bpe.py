@@ -22,13 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rosterlake.llm.arrays import list_array, prefix_hashes, ragged, runs, span_hashes
 from rosterlake.llm.letters import LETTER, SPACE, classes
 from rosterlake.llm.shipping import ship
 from rosterlake.session import materialise
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 20 << 20
+#: Words of a block that are put back at once.
+RUN_WORDS = 200_000
 BUCKET_WORDS = 400_000
 #: Occurrences in a block from which a word is numbered by frequency.
 FREQUENT = 3
@@ -315,45 +318,48 @@ def round_trip(
         ]
     )
 
-    def put_back(block: pa.Table, lists: pa.Table) -> pa.Table:
-        row = block.to_pylist()[0]
-        row_ids = block.column("row_ids").combine_chunks().flatten()
-        row_words = _unpack(row["row_words"]).astype(np.int64)
-        codes = _unpack(row["codes"]).astype(np.int64)
-        size = np.zeros(row["n_words"], np.int64)
-        at = np.zeros(row["n_words"], np.int64)
+    target = to_arrow_schema(schema)
+
+    def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        row = next(r for r in rows if r["row_ids"] is not None)
+        parts = [r for r in rows if r["row_ids"] is None]
+        row_ids = pa.array(row["row_ids"], target.field(0).type)
+        size, at = (np.zeros(row["n_words"], np.int64) for _ in range(2))
         pools, base = [], 0
-        for part in lists.to_pylist():
-            mine = np.cumsum(_unpack(part["codes"]).astype(np.int32).astype(np.int64))
+        for part in parts:
+            mine = np.cumsum(_unpack(part["codes"]).astype(np.int64))
             n_ids = _unpack(part["n_ids"]).astype(np.int64)
             size[mine] = n_ids
             at[mine] = base + np.cumsum(n_ids) - n_ids
-            pools.append(_unpack(part["ids"]))
+            pools.append(_unpack(part["ids"]).astype(np.int32))
             base += len(pools[-1])
-        pool = np.concatenate(pools) if pools else np.zeros(0, np.uint32)
+        pool = np.concatenate(pools) if pools else np.zeros(0, np.int32)
         pieces = id_pieces(path)
         spelled = [
             b"".join([pieces[i] for i in pool[a:b].tolist()]) for a, b in zip(at.tolist(), (at + size).tolist())
         ]
-        limits = np.concatenate([[0], np.cumsum(row_words)])
-        ids, counts, decoded = [], [], []
+        codes = _unpack(row["codes"])
+        limits = np.concatenate([[0], np.cumsum(_unpack(row["row_words"]).astype(np.int64))])
         first = 0
-        while first < len(row_words):  # some rows at a time: bounded working arrays
-            last = max(first + 1, int(np.searchsorted(limits, limits[first] + 500_000, "right")) - 1)
+        while first < len(row_ids):  # some rows at a time: bounded working arrays
+            last = max(first + 1, int(np.searchsorted(limits, limits[first] + RUN_WORDS, "right")) - 1)
+            last = min(last, len(row_ids))
             own = codes[limits[first] : limits[last]]
-            ids.append(ragged(pool, at[own], size[own]).astype(np.int32))
-            sums = np.concatenate([[0], np.cumsum(size[own])])
-            counts.append(np.diff(sums[limits[first : last + 1] - limits[first]]))
-            for k in range(first, last):
-                mine = codes[limits[k] : limits[k + 1]].tolist()
-                decoded.append(b"".join([spelled[c] for c in mine]).decode("utf-8", "replace"))
+            ids = ragged(pool, at[own], size[own])
+            ends = np.concatenate([[0], np.cumsum(size[own])])[limits[first : last + 1] - limits[first]]
+            listed, cuts = own.tolist(), (limits[first : last + 1] - limits[first]).tolist()
+            decoded = [
+                b"".join([spelled[c] for c in listed[a:b]]).decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])
+            ]
+            columns = [row_ids[first:last], list_array(ids, ends, pa.int32()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
             first = last
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
-        return pa.table([row_ids, list_array(flat, ends, pa.int32()), pa.array(decoded, pa.string())], names=schema.names)
 
+    # Both sides of the join by block as one list of rows, so that the result leaves piece by piece.
     stored = blocks.select("block", "row_ids", "row_words", "codes", "n_words")
-    return stored.groupBy("block").cogroup(returned.groupBy("block")).applyInArrow(put_back, schema)
+    both = stored.unionByName(returned, allowMissingColumns=True)
+    return both.groupBy("block").applyInArrow(put_back, schema)
 
 
 def decode(encoded: DataFrame, id_col: str, ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
