@@ -121,6 +121,48 @@ def test_edited_passages_reach_the_recall(spark, sf_dir):
     assert len(planted) > 150 and len(planted & hits) >= 0.95 * len(planted)
 
 
+def changed(rng, text: str, edits: int, low: int, high: int) -> str:
+    """The text with edits of one character each, at random places between low and high."""
+    own = list(text)
+    for at in rng.sample(range(low, high), edits):
+        own[at] = rng.choice(["", own[at] + rng.choice("abcxyz"), rng.choice("abcxyz")])
+    return "".join(own)
+
+
+@pytest.mark.parametrize("kind", ["ten", "fourteen", "first", "last", "short"])
+def test_passages_at_the_edge_of_the_allowed_edits(spark, sf_dir, kind):
+    """10 and 14 % of all characters, the first or last 14 % rewritten, and items of few words."""
+    rng = random.Random(kind)
+    if kind == "short":
+        listed = [(n, " ".join("".join(rng.choices("aeiourstlmn", k=rng.randrange(4, 9))) for _ in range(5))) for n in range(60)]
+        items = spark.createDataFrame(listed, "item_id long, text string")
+    else:
+        items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+        listed = [(r.item_id, r.text) for r in items.collect()]
+    rows, planted = [], set()
+    for n in range(200):
+        item, text = rng.choice(listed)
+        size, share = len(text), {"ten": 0.1, "short": 0.12}.get(kind, 0.14)
+        if kind in ("first", "last"):
+            edits = int(share * size)
+            other = "".join(rng.choices("abc xyz", k=edits))
+            copy = other + text[edits:] if kind == "first" else text[: size - edits] + other
+        else:
+            copy = changed(rng, text, int(share * size), 0, size)
+        rows.append((n, "some words stand before " * 4 + copy + " and some words follow" * 4))
+        if edit_distance(text.encode(), rows[-1][1].encode()) <= int(0.15 * len(text.encode())):
+            planted.add((n, item))
+    found = decontaminate.search(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    hits = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert len(planted) > 150 and len(planted & hits) >= 0.97 * len(planted)
+
+
+def test_recall_is_reached_by_every_item():
+    texts = [LONG_ITEM.encode(), b"the of the of the of the of", b"abcdefghij klmnopqrst", b"one two three"]
+    index = decontaminate.build(texts, lambda hashes: decontaminate.np.full(len(hashes), 0.01))
+    assert len(index.recall) == 4 and index.recall.min() >= decontaminate.RECALL
+
+
 def test_decontamination_edges(spark):
     items = spark.createDataFrame(
         [(1, None), (2, ""), (3, "one two three"), (4, LONG_ITEM), (4, LONG_ITEM)], "item_id long, text string"
