@@ -1,11 +1,13 @@
 """License scans: a trained paragraph classifier, confirmed against the templates.
 
-Paragraphs are lines, cut into overlapping windows of words where they are long. Sparse one- and
-two-word grams feed a multinomial logistic regression whose classes are the license families and
+Paragraphs end at lines without words. Windows of words are the lines, the words around every line
+feed inside a paragraph, and whole paragraphs of several lines, so that wrapped declarations stand
+together; long lines and paragraphs are cut into overlapping windows. Sparse one- and two-word grams feed a multinomial logistic regression whose classes are the license families and
 `unknown`. It learns from the templates, whole, in parts and among words of the corpus, and from a
 bounded sample of corpus paragraphs (`NEGATIVES`, taken by hash) as unknown. The chance from which a
 family is reported is set on paragraphs kept back from the sample. A prediction stands only if the
-grams of some template of the family agree with the paragraph.
+grams of some template agree with the window; its family is the one that agrees best, the likelier
+one of equals.
 
 Words are runs of letters and digits, lower case. Null and empty texts hold nothing. One row per row
 of the input and family found; repeated rows repeat.
@@ -28,6 +30,8 @@ from rosterlake.session import materialise
 UNKNOWN = "unknown"
 SLOTS = 1 << 14
 WINDOW, STRIDE = 32, 16
+#: Words on each side of a line feed that a window around it holds.
+AROUND = 8
 NEGATIVES = 4000
 #: Share of kept-back corpus paragraphs that may pass the chance of a family.
 FALSE_ALARMS = 0.001
@@ -108,7 +112,7 @@ def _bytes_table() -> np.ndarray:
 
 
 def windows(data: np.ndarray, offsets: np.ndarray):
-    """(word hashes, first word, number of words and row of every window): windows stay in a line."""
+    """(word hashes, first word, number of words and row of every window)."""
     folded = _bytes_table()[data]
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = folded != 0
@@ -119,15 +123,31 @@ def windows(data: np.ndarray, offsets: np.ndarray):
     stops[cuts - 1] |= inside[1:-1][cuts - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     hashes = span_hashes(prefix_hashes(folded), starts, ends)
-    edges = np.unique(np.concatenate([offsets, np.flatnonzero(data == 10)]))
-    at = np.unique(np.searchsorted(starts, edges))  # first words of lines, and the end
-    counts = np.diff(at)
+    if not len(starts):
+        return hashes, starts, starts, starts
+    line, owner = np.searchsorted(np.flatnonzero(data == 10), starts), np.searchsorted(offsets, starts, "right") - 1
+    apart = np.append(True, np.diff(owner) > 0)
+    lines = np.flatnonzero(apart | np.append(True, np.diff(line) > 0))
+    paragraphs = np.flatnonzero(apart | np.append(True, np.diff(line) > 1))  # a line without words before
+    ends = np.append(paragraphs[1:], len(starts))
+    several = np.searchsorted(lines, ends) - np.searchsorted(lines, paragraphs) > 1
+    breaks = np.setdiff1d(lines, paragraphs, assume_unique=True)
+    own = np.searchsorted(paragraphs, breaks, "right") - 1
+    low, high = np.maximum(breaks - AROUND, paragraphs[own]), np.minimum(breaks + AROUND, ends[own])
+    spans = [_cut(lines, np.append(lines[1:], len(starts))), _cut(paragraphs[several], ends[several]), (low, high - low)]
+    first, size = (np.concatenate(x) for x in zip(*spans))
+    _, once = np.unique(first * (WINDOW + 1) + size, return_index=True)
+    first, size = first[once], size[once]
+    return hashes, first, size, owner[first]
+
+
+def _cut(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of the windows of runs of words."""
+    counts = ends - begins
     n_windows = np.where(counts > WINDOW, -(-(counts - WINDOW) // STRIDE) + 1, 1)
     order = np.arange(n_windows.sum()) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    first = np.repeat(at[:-1], n_windows) + order * STRIDE
-    size = np.minimum(WINDOW, np.repeat(at[1:], n_windows) - first)
-    row = np.searchsorted(offsets, starts[first], "right") - 1 if len(first) else first
-    return hashes, first, size, row
+    first = np.repeat(begins, n_windows) + order * STRIDE
+    return first, np.minimum(WINDOW, np.repeat(ends, n_windows) - first)
 
 
 def grams(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +158,7 @@ def grams(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _of(texts: list[str]):
-    data = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    data = np.frombuffer("\n\n".join(texts).encode(), np.uint8)
     hashes, first, size, _ = windows(data, np.array([0, len(data)], np.int64))
     return [hashes[a : a + n] for a, n in zip(first, size)]
 
@@ -244,15 +264,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
             if not len(first):
                 continue
             chance = chances(hashes, first, size)
-            best = chance[:, 1:].argmax(1)
             likely = np.flatnonzero(1 - chance[:, 0] >= threshold)
             found: dict[tuple[int, int], list[float]] = {}
             for k in likely.tolist():
-                close = agreement(hashes[first[k] : first[k] + size[k]], templates[best[k]])
+                own = hashes[first[k] : first[k] + size[k]]
+                close, likeliest, family = max((agreement(own, t), float(chance[k, n + 1]), n) for n, t in enumerate(templates))
                 if close >= AGREEMENT:
-                    kept = found.setdefault((int(row[k]), int(best[k])), [0, 0.0, 0.0])
+                    kept = found.setdefault((int(row[k]), family), [0, 0.0, 0.0])
                     kept[0] += 1
-                    kept[1] = max(kept[1], float(chance[k, best[k] + 1]))
+                    kept[1] = max(kept[1], likeliest)
                     kept[2] = max(kept[2], close)
             if found:
                 keys, values = list(found), list(found.values())

@@ -162,6 +162,28 @@ def test_license_lines_of_the_corpus(spark, larger):
     assert len(found - expected) <= 0.05 * len(expected)
 
 
+def test_declarations_wrapped_after_every_word(spark):
+    rng = random.Random(8)
+    plain = ["".join(rng.choices("aeioubdfglmnrst", k=rng.randrange(3, 9))) for _ in range(400)]
+    rows = [(n, "\n".join(" ".join(rng.choices(plain, k=9)) for _ in range(12))) for n in range(200)]
+    expected = set()
+    for family, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            own = template.split(" ")
+            for mark, k in [(m, k) for m in ("\n", "\n# ", "\n * ") for k in range(1, len(own))]:
+                wrapped = " ".join(own[:k]) + mark + " ".join(own[k:])
+                rows.append((len(rows), f"{' '.join(rng.choices(plain, k=6))}\n\n{wrapped}\n\n{' '.join(rng.choices(plain, k=6))}"))
+                expected.add((rows[-1][0], family))
+    # Inside a paragraph, with other lines right before and after.
+    for k, family in ((2, "proprietary"), (1, "proprietary")):
+        own = "All rights reserved.".split(" ")
+        rows.append((len(rows), f"{' '.join(rng.choices(plain, k=5))}\n{' '.join(own[:k])}\n{' '.join(own[k:])}\n{' '.join(rng.choices(plain, k=5))}"))
+        expected.add((rows[-1][0], family))
+    found = {(r.doc_id, r.family) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(expected & found) >= 0.99 * len(expected)
+    assert not any(d < 200 for d, _ in found)
+
+
 def test_license_in_long_lines_and_edges(spark):
     filler = "plain words without any meaning stand here for a while and then some more of them follow "
     gpl = licenses.TEMPLATES["gpl-3.0"][0]
