@@ -5,9 +5,9 @@ feed inside a paragraph, and whole paragraphs of several lines, so that wrapped
 together; long lines and paragraphs are cut into overlapping windows. Sparse one- and two-word grams feed a multinomial logistic regression whose classes are the license families and
 `unknown`. It learns from the templates, whole, in parts and among words of the corpus, and from a
 bounded sample of corpus paragraphs (`NEGATIVES`, taken by hash) as unknown. The chance from which a
-family is reported is set on paragraphs kept back from the sample. A prediction stands only if the
+family is reported is set on all windows of the corpus that no template resembles. A prediction stands only if the
 grams of some template agree with the window; its family is the one that agrees best, the likelier
-one of equals.
+one of equals, and a part of a declaration that agrees better with another family does not count.
 
 Words are runs of letters and digits, lower case. Null and empty texts hold nothing. One row per row
 of the input and family found; repeated rows repeat.
@@ -33,8 +33,10 @@ WINDOW, STRIDE = 32, 16
 #: Words on each side of a line feed that a window around it holds.
 AROUND = 8
 NEGATIVES = 4000
-#: Share of kept-back corpus paragraphs that may pass the chance of a family.
+#: Share of the corpus windows without a template that may pass the chance of a family.
 FALSE_ALARMS = 0.001
+#: Steps in which that chance is counted.
+BINS = 10_000
 #: Share of a template sentence's grams that a paragraph must hold, or the reverse.
 AGREEMENT = 0.6
 #: Sentences by which the families are declared.
@@ -212,12 +214,50 @@ def _template_grams() -> list[list[np.ndarray]]:
 
 def agreement(words: np.ndarray, templates: list[np.ndarray]) -> float:
     """The best share of grams in common with a template, of the template's or the paragraph's."""
-    own = np.unique(grams(words)[1]) if len(words) > 1 else grams(words)[0]
-    best = 0.0
-    for theirs in templates:
-        common = len(np.intersect1d(own, theirs, assume_unique=True))
-        best = max(best, common / len(theirs), common / len(own) if len(own) >= 5 else 0.0)
-    return best
+    return float(agreements(words, np.zeros(1, np.int64), np.array([len(words)]), [templates])[0, 0])
+
+
+def agreements(hashes: np.ndarray, first: np.ndarray, size: np.ndarray, families: list[list[np.ndarray]]) -> np.ndarray:
+    """windows x families: the best share of pairs in common with a template, of the template's or
+    the window's."""
+    templates = [t for family in families for t in family]
+    slots, owners = np.concatenate(templates), np.repeat(np.arange(len(templates)), [len(t) for t in templates])
+    order = np.argsort(slots, kind="stable")
+    slots, owners = slots[order], owners[order]
+    two = grams(np.append(hashes, np.uint64(0)))[1]
+    keys = np.unique(np.repeat(np.arange(len(first)), size - 1) * SLOTS + ragged(two, first, size - 1))
+    window, slot = keys // SLOTS, keys % SLOTS
+    low, high = np.searchsorted(slots, slot, "left"), np.searchsorted(slots, slot, "right")
+    met = np.repeat(window, high - low) * len(templates) + owners[ragged(np.arange(len(slots)), low, high - low)]
+    common = np.bincount(met, minlength=len(first) * len(templates)).reshape(len(first), len(templates))
+    n_own = np.bincount(window, minlength=len(first))[:, None]
+    share = np.maximum(common / np.array([len(t) for t in templates]), np.where(n_own >= 5, common / np.maximum(n_own, 1), 0.0))
+    return np.maximum.reduceat(share, np.cumsum([0, *map(len, families[:-1])]), axis=1)
+
+
+def whole_ones(likely: list[tuple]) -> list[tuple]:
+    """(window, agreement, chance, family) of the given ones, without those whose pairs in common all
+    belong to a better agreement of another family: a window may hold only part of a declaration."""
+    likely.sort(key=lambda x: x[:2])
+    found = []
+    for n, (begin, k, best, likeliest, family, places) in enumerate(likely):
+        low, high = n, n + 1
+        while low and likely[low - 1][0] > begin - WINDOW:
+            low -= 1
+        while high < len(likely) and likely[high][0] < begin + WINDOW:
+            high += 1
+        if not any(x[2] > best and x[4] != family and places <= x[5] for x in likely[low:high]):
+            found.append((k, best, likeliest, family))
+    return found
+
+
+def chance_passed_by(counted: list[tuple[int, int]], share: float) -> float:
+    """The least bound, in steps of 1 / BINS, that at most the share of the counted windows reaches."""
+    total = np.zeros(BINS + 2, np.int64)
+    for at, n in counted:
+        total[at] += n
+    above = np.cumsum(total[::-1])[::-1]
+    return int(np.argmax(above <= share * above[0])) / BINS
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negatives: int = NEGATIVES) -> DataFrame:
@@ -226,11 +266,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
     ship(spark)
     families = list(TEMPLATES)
     templates = _template_grams()
-    sampled = materialise(_windows_of(docs, text_col).dropDuplicates(["key"]).orderBy("key").limit(2 * negatives), "license-sample")
+    sampled = materialise(_windows_of(docs, text_col).dropDuplicates(["key"]).orderBy("key").limit(negatives), "license-sample")
     plain = [np.frombuffer(r[0], np.uint64) for r in sampled.orderBy("key").select("words").collect()]
     plain = [w for w in plain if max(agreement(w, t) for t in templates) < AGREEMENT / 2]
-    learning, kept_back = plain[::2], plain[1::2]
-    rows = [(float(c), Vectors.sparse(SLOTS, s.tolist(), [1.0] * len(s))) for c, s in examples(learning)]
+    rows = [(float(c), Vectors.sparse(SLOTS, s.tolist(), [1.0] * len(s))) for c, s in examples(plain)]
     schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())])
     fitted = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=40, standardization=False).fit(
         spark.createDataFrame(rows, schema)
@@ -250,11 +289,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
         logits = np.exp(logits - logits.max(1, keepdims=True))
         return logits / logits.sum(1, keepdims=True)
 
-    threshold = 0.5
-    if kept_back:
-        sizes = np.array([len(w) for w in kept_back])
-        known = chances(np.concatenate(kept_back), np.cumsum(sizes) - sizes, sizes)
-        threshold = max(threshold, float(np.quantile(1 - known[:, 0], 1 - FALSE_ALARMS)))
+    def measure(batches):
+        total = np.zeros(BINS + 1, np.int64)
+        for _, data, offsets in runs(batches):
+            hashes, first, size, _ = windows(data, offsets)
+            if not len(first):
+                continue
+            plain = agreements(hashes, first, size, templates).max(1) < AGREEMENT / 2
+            known = 1 - chances(hashes, first[plain], size[plain])[:, 0] if plain.any() else np.zeros(0)
+            total += np.bincount((known * BINS).astype(np.int64).clip(0, BINS), minlength=BINS + 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["at", "n"])
+
+    measured = docs.select(F.col(text_col).alias("text")).mapInArrow(measure, "at long, n long")
+    threshold = max(0.5, chance_passed_by(measured.groupBy("at").agg(F.sum("n").alias("n")).collect(), FALSE_ALARMS))
+    held = [set(np.concatenate(family).tolist()) for family in templates]
+    least = min(int(np.ceil(AGREEMENT * min(len(t), 5))) for family in templates for t in family)
+    paired = np.zeros(SLOTS, np.int64)
+    paired[np.concatenate([t for family in templates for t in family])] = 1
     kind = docs.schema[id_col].dataType.simpleString()
     target = f"doc_id {kind}, family string, n_windows int, probability double, agreement double"
 
@@ -263,17 +315,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
             hashes, first, size, row = windows(data, offsets)
             if not len(first):
                 continue
-            chance = chances(hashes, first, size)
-            likely = np.flatnonzero(1 - chance[:, 0] >= threshold)
+            # A window with fewer pairs of the templates agrees with none of them.
+            pairs = np.concatenate([[0], np.cumsum(paired[grams(np.append(hashes, np.uint64(0)))[1]])])
+            near = np.flatnonzero(pairs[first + size - 1] - pairs[first] >= least)
+            close = agreements(hashes, first[near], size[near], templates)
+            agreeing = close.max(1, initial=0.0) >= AGREEMENT
+            near, close = near[agreeing], close[agreeing]
+            if not len(near):
+                continue
+            chance = chances(hashes, first[near], size[near])
+            two = grams(np.append(hashes, np.uint64(0)))[1]
+            likely = []
+            for k in np.flatnonzero(1 - chance[:, 0] >= threshold).tolist():
+                best, likeliest, family = max(zip(close[k].tolist(), chance[k, 1:].tolist(), range(len(families))))
+                begin, end = int(first[near[k]]), int(first[near[k]] + size[near[k]])
+                places = {j for j in range(begin, end - 1) if int(two[j]) in held[family]}
+                likely.append((begin, k, best, likeliest, family, places))
             found: dict[tuple[int, int], list[float]] = {}
-            for k in likely.tolist():
-                own = hashes[first[k] : first[k] + size[k]]
-                close, likeliest, family = max((agreement(own, t), float(chance[k, n + 1]), n) for n, t in enumerate(templates))
-                if close >= AGREEMENT:
-                    kept = found.setdefault((int(row[k]), family), [0, 0.0, 0.0])
-                    kept[0] += 1
-                    kept[1] = max(kept[1], likeliest)
-                    kept[2] = max(kept[2], close)
+            for k, best, likeliest, family in whole_ones(likely):
+                kept = found.setdefault((int(row[near[k]]), family), [0, 0.0, 0.0])
+                kept[0] += 1
+                kept[1] = max(kept[1], likeliest)
+                kept[2] = max(kept[2], best)
             if found:
                 keys, values = list(found), list(found.values())
                 yield pa.RecordBatch.from_arrays(

@@ -184,6 +184,15 @@ def test_declarations_wrapped_after_every_word(spark):
     assert not any(d < 200 for d, _ in found)
 
 
+def test_the_reporting_chance_counts_every_window():
+    rng = np.random.default_rng(5)
+    known = rng.random(100_000)
+    counted = [*zip(*(x.tolist() for x in np.unique((known * licenses.BINS).astype(int), return_counts=True)))]
+    bound = licenses.chance_passed_by(counted, 0.001)
+    assert (known >= bound).mean() <= 0.001 and abs(bound - np.quantile(known, 0.999)) <= 2 / licenses.BINS
+    assert licenses.chance_passed_by([], 0.001) == 0.0
+
+
 def test_license_in_long_lines_and_edges(spark):
     filler = "plain words without any meaning stand here for a while and then some more of them follow "
     gpl = licenses.TEMPLATES["gpl-3.0"][0]
