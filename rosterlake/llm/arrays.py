@@ -64,6 +64,21 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def distinct_spans(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a span for every distinct content, its number for every span), exact: spans that share a
+    hash are compared symbol by symbol, and told apart by their symbols if they differ."""
+    hashes = span_hashes(prefix_hashes(symbols), starts, ends)
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    sizes, other = ends - starts, first[number]
+    if np.array_equal(sizes, sizes[other]):
+        if np.array_equal(ragged(symbols, starts, sizes), ragged(symbols, starts[other], sizes)):
+            return first, number
+    seen: dict[bytes, int] = {}
+    spelled = [symbols[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+    number = np.array([seen.setdefault(s, len(seen)) for s in spelled], np.int64)
+    return np.unique(number, return_index=True)[1], number
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, index of the first word of every row and the total) of the runs of bytes
     outside `\\x20\\x09-\\x0D`; words never cross rows."""

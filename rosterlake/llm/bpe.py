@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rosterlake.llm.arrays import list_array, prefix_hashes, ragged, runs, span_hashes
+from rosterlake.llm.arrays import distinct_spans, list_array, prefix_hashes, ragged, runs, span_hashes
 from rosterlake.llm.letters import LETTER, SPACE, classes
 from rosterlake.llm.shipping import ship
 from rosterlake.session import materialise
@@ -128,7 +128,7 @@ def word_starts(points: np.ndarray, cuts: np.ndarray, whole: list[tuple[int, int
 
 
 def _split(data: np.ndarray, offsets: np.ndarray, special: list[str]):
-    """(text, starts and ends of words, their hashes, number of words of every row)."""
+    """(text, its code points, starts and ends of words, number of words of every row)."""
     raw = data.tobytes()
     text = raw.decode("utf-8", "replace")
     if len(text) == len(raw):
@@ -153,8 +153,7 @@ def _split(data: np.ndarray, offsets: np.ndarray, special: list[str]):
     cuts = np.unique(np.concatenate([row_at, edges])).astype(np.int64)
     starts = word_starts(points, cuts, whole)
     ends = np.append(starts[1:], len(points))[: len(starts)]
-    hashes = span_hashes(prefix_hashes(points), starts, ends)
-    return text, starts, ends, hashes, np.diff(np.searchsorted(starts, row_at))
+    return text, points, starts, ends, np.diff(np.searchsorted(starts, row_at))
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -196,14 +195,12 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame
         ]
     )
 
-    def close(number, ids, counts, uniques, texts, inverses):
-        every = np.concatenate(uniques) if uniques else np.zeros(0, np.uint64)
-        distinct, first, back = np.unique(every, return_index=True, return_inverse=True)
-        at = np.cumsum([0, *map(len, uniques)])
-        codes = np.concatenate([back[a:b][inv] for a, b, inv in zip(at[:-1], at[1:], inverses)]) if uniques else back
-        frequency = np.bincount(codes, minlength=len(distinct))
-        listed = [w for part in texts for w in part]
-        spelled = [listed[i] for i in first]
+    def close(number, ids, counts, texts, inverses):
+        seen: dict[str, int] = {}
+        numbers = [np.array([seen.setdefault(w, len(seen)) for w in part], np.int64) for part in texts]
+        codes = np.concatenate([own[inverse] for own, inverse in zip(numbers, inverses)])
+        spelled = list(seen)
+        frequency = np.bincount(codes, minlength=len(spelled))
         rare = np.flatnonzero(frequency < FREQUENT).tolist()
         rare.sort(key=spelled.__getitem__)
         common = np.flatnonzero(frequency >= FREQUENT)
@@ -219,7 +216,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame
                 pa.ListArray.from_arrays(pa.array([0, len(row_ids)], pa.int32()), row_ids),
                 pa.array([_pack(np.concatenate(counts))], pa.binary()),
                 pa.array([_pack(rank[codes])], pa.binary()),
-                pa.array([len(distinct)], pa.int64()),
+                pa.array([len(spelled)], pa.int64()),
                 pa.array([lengths], pa.binary()),
                 pa.array([packed], pa.binary()),
             ],
@@ -229,17 +226,17 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame
     def cut(batches):
         special = _special(path)
         number = TaskContext.get().partitionId() << 32
-        held, size = ([], [], [], [], []), 0
+        held, size = ([], [], [], []), 0
         for rows, data, offsets in runs(batches):
-            text, starts, ends, hashes, counts = _split(data, offsets, special)
-            distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            text, points, starts, ends, counts = _split(data, offsets, special)
+            first, inverse = distinct_spans(points, starts, ends)
             found = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-            for part, value in zip(held, (rows.column(0), counts, distinct, found, inverse.astype(np.int32))):
+            for part, value in zip(held, (rows.column(0), counts, found, inverse.astype(np.int32))):
                 part.append(value)
             size += len(data)
             if size >= BLOCK_BYTES:
                 yield close(number, *held)
-                number, held, size = number + 1, ([], [], [], [], []), 0
+                number, held, size = number + 1, ([], [], [], []), 0
         if held[0]:
             yield close(number, *held)
 

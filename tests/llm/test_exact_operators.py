@@ -64,6 +64,14 @@ def test_decode_joins_any_ids(spark, tokenizer):
     assert [found[i].decoded for i in (1, 2, 3, 4)] == ["<|endoftext|>a b", "", "", "żółć 🙂"]
 
 
+def test_words_that_share_a_hash_stay_apart(spark):
+    """Polynomial sums modulo a power of two are equal for these words, whatever the base."""
+    flips = [bin(n).count("1") % 2 for n in range(2048)]
+    rows = [(1, "".join("ab"[f] for f in flips)), (2, "".join("ba"[f] for f in flips)), (3, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.decoded for r in bpe.round_trip(docs).collect()} == dict(rows)
+
+
 def test_bpe_edges(spark):
     rows = bpe.round_trip(edge_documents(spark)).collect()
     assert sorted(r.decoded for r in rows) == sorted(t or "" for _, t in EDGE_TEXTS)
