@@ -82,9 +82,11 @@ def features(texts: pa.Array, longest: int, buckets: int) -> tuple[np.ndarray, n
     return buckets_of, row_of, np.bincount(row, minlength=len(texts))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rule: Resampling):
-    for rows, _, _ in runs(batches, limit=RUN_BYTES):
-        texts = rows.column("text").cast(pa.large_string()).fill_null("")
+def _parts(batches: Iterator[pa.RecordBatch], rule: Resampling, limit: int = RUN_BYTES):
+    for rows, data, offsets in runs(batches, limit=limit):
+        # An array of its own: `ascii_lower` misreads the offsets of a slice.
+        buffers = [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data))]
+        texts = pa.Array.from_buffers(pa.large_string(), rows.num_rows, buffers)
         yield rows, *features(texts, rule.longest, rule.buckets)
 
 

@@ -73,6 +73,22 @@ def test_longer_grams_equal_brute_force(spark, longest):
     assert {r.doc_id: [r.n_features, r.weight, r.score, r["rank"]] for r in found} == resampled(rows, target, rule)
 
 
+def test_features_of_many_runs_of_rows():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    given = [None if n % 7 == 0 else " ".join(rng.choices(["aé", "Bµ", "日", "x"], k=n % 50)) for n in range(500)]
+    batch = pa.record_batch({"id": pa.array(range(503)), "text": pa.array(["x", "y", "z", *given])}).slice(3)
+    rule, at = resample.Resampling(longest=2, buckets=97), 0
+    for rows, buckets, row, n_words in resample._parts(iter([batch]), rule, limit=100):
+        for k in range(rows.num_rows):
+            found, grams = gram_list(given[at], 2)
+            assert n_words[k] == len(found)
+            assert sorted(buckets[row == k]) == sorted(zlib.crc32(g.encode()) % 97 for g in grams)
+            at += 1
+    assert at == 500
+
+
 def test_equal_scores_go_to_the_smaller_id(spark):
     rows = [(i, "n", 25, 25, 0) for i in range(2000)]
     weighed = spark.createDataFrame(rows, "doc_id long, text string, n_words long, n_features long, weight long")
