@@ -13,25 +13,22 @@ def keep_one(df: DataFrame, keys: list, order_by: list) -> DataFrame:
     return df.withColumn("__rn", rank).filter("__rn = 1").drop("__rn")
 
 
-# Row-number filters above this are not pushed below the shuffle by default.
-_NATIVE_GROUP_LIMIT = 1000
-_SPREAD = 64
-
-
 def top_n_per_group(df: DataFrame, keys: list[str], order_by: list, n: int, rank: str) -> DataFrame:
-    """Rows ranked 1..n per group, in a total order. Beyond the native group limit the groups
-    are first cut to n in spread-out parts, so a hot group is never sorted whole in one task."""
-    if n > _NATIVE_GROUP_LIMIT:
-        part = F.pmod(F.xxhash64(*df.columns), F.lit(_SPREAD))
-        in_part = Window.partitionBy(*keys, "__part").orderBy(*order_by)
-        df = (
-            df.withColumn("__part", part)
-            .withColumn("__rn", F.row_number().over(in_part))
-            .filter(F.col("__rn") <= n)
-            .drop("__rn", "__part")
-        )
+    """Rows ranked 1..n per group, in a total order, selected in two stages for every n.
+
+    Each group is first cut to n rows within the parts of the input, one part a partition, and the
+    survivors of the parts are ranked: no task sorts more of a group than a partition's rows, or n
+    rows of every part.
+    """
+    in_part = Window.partitionBy(*keys, "__part").orderBy(*order_by)
+    survivors = (
+        df.withColumn("__part", F.spark_partition_id())
+        .withColumn("__rn", F.row_number().over(in_part))
+        .filter(F.col("__rn") <= n)
+        .drop("__rn", "__part")
+    )
     in_group = Window.partitionBy(*keys).orderBy(*order_by)
-    return df.withColumn(rank, F.row_number().over(in_group)).filter(F.col(rank) <= n)
+    return survivors.withColumn(rank, F.row_number().over(in_group)).filter(F.col(rank) <= n)
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.functions.rules import stripped
-from rosterlake.sources.snapshots import LAYERS, SnapshotStore
+from rosterlake.plans import routing
+from rosterlake.sources.tables import LAYERS, Tables
 
 # Words a query text must not contain, in checking order.
 FORBIDDEN = (
@@ -19,7 +20,6 @@ MULTI = "Multi-statement queries (containing semicolons) are prohibited."
 START = "Query must strictly begin with SELECT or WITH."
 VALID = "Valid"
 ROW_CAP = 100
-DEFAULT_LAYER = "OLAP"
 
 # Tables known under a second name.
 VIEW_ALIASES = {"fact_performance_reviews": ("Fact_PerformanceReviews",)}
@@ -116,21 +116,47 @@ def _function_names(expression):
         yield from _function_names(child)
 
 
-def refused_part(session: SparkSession, sql_text: str, views: set[str]) -> str | None:
-    """What in the text is no plain query over the given views, or None. Nothing is run."""
+def _parsed(session: SparkSession, sql_text: str) -> list:
+    """All parts of the text's plan. Nothing is run or looked up."""
     try:
         plan = session._jsparkSession.sessionState().sqlParser().parsePlan(sql_text)
     except Py4JJavaError as error:
-        return f"text that is no query ({error.java_exception.getClass().getSimpleName()})"
+        kind = error.java_exception.getClass().getSimpleName()
+        raise RejectedQuery(f"Query contains text that is no query ({kind}), which is not allowed.") from error
     except (ParseException, AnalysisException) as error:
-        return f"text that is no query ({error.getCondition()})"
-    parts = list(_plan_parts(plan))
-    named = {
+        kind = error.getCondition()
+        raise RejectedQuery(f"Query contains text that is no query ({kind}), which is not allowed.") from error
+    return list(_plan_parts(plan))
+
+
+def _own_names(parts: list) -> set[str]:
+    """The queries that the text names itself."""
+    return {
         alias.alias().lower()
         for part in parts
         if part.nodeName() == "UnresolvedWith"
         for alias in _listed(part.innerChildren())
     }
+
+
+def _field_names(expression):
+    if expression.nodeName() == "UnresolvedAttribute":
+        yield _listed(expression.nameParts())[-1]
+    for child in _listed(expression.children()):
+        yield from _field_names(child)
+
+
+def route(session: SparkSession, sql_text: str) -> tuple[str, str]:
+    """(layer, reason) of one query, from the fields and tables of its parsed plan."""
+    parts = _parsed(session, sql_text.strip().rstrip(";"))
+    fields = {f for part in parts for e in _listed(part.expressions()) for f in _field_names(e)}
+    relations = [_listed(p.multipartIdentifier())[-1].lower() for p in parts if p.nodeName() == "UnresolvedRelation"]
+    return routing.layer_of(fields, set(relations) - _own_names(parts))
+
+
+def refused_part(parts: list, views: set[str]) -> str | None:
+    """What in a parsed text is no plain query over the given views, or None."""
+    named = _own_names(parts)
     for part in parts:
         if part.nodeName() not in _PLAN_NODES:
             return part.nodeName()
@@ -146,13 +172,14 @@ def refused_part(session: SparkSession, sql_text: str, views: set[str]) -> str |
 
 
 def run_guarded(
-    store: SnapshotStore, sql_text: str, layer: str = DEFAULT_LAYER, cap: int = ROW_CAP
+    store: Tables, sql_text: str, layer: str | None = None, cap: int = ROW_CAP
 ) -> DataFrame:
     """Run one audited query against the current tables of one layer.
 
-    Without a limit of its own it returns at most ``cap`` rows. Anything that is not the star
-    schema goes to the operational layer. The text is parsed before anything runs: only the
-    layer's views, the text's own named queries and listed functions may occur.
+    Without a limit of its own it returns at most ``cap`` rows. The layer follows from the fields
+    that the text needs, unless it is given; anything given that is not the star schema means the
+    operational layer. The text is parsed before anything runs: only the layer's views, the text's
+    own named queries and listed functions may occur.
     """
     text = store.spark.range(1).select(F.lit(sql_text).alias("sql_text"))
     verdict = text.select(
@@ -163,11 +190,14 @@ def run_guarded(
         raise RejectedQuery(verdict["reason"])
     session = store.spark.newSession()
     session.conf.set("spark.sql.runSQLOnFiles", "false")
-    names = LAYERS["OLAP" if layer.upper() == "OLAP" else "OLTP"]
-    tables = SnapshotStore(session, store.root).tables(names)
-    views = {view: t for name, t in tables.items() for view in (name, *VIEW_ALIASES.get(name, ()))}
     bare = sql_text.strip().rstrip(";")
-    refused = refused_part(session, bare, {view.lower() for view in views})
+    parts = _parsed(session, bare)
+    if layer is None:
+        layer, _ = route(session, bare)
+    names = LAYERS[routing.STAR if layer.upper() == routing.STAR else routing.OPERATIONAL]
+    tables = Tables(session, store.root).tables(names)
+    views = {view: t for name, t in tables.items() for view in (name, *VIEW_ALIASES.get(name, ()))}
+    refused = refused_part(parts, {view.lower() for view in views})
     if refused:
         raise RejectedQuery(f"Query contains {refused}, which is not allowed.")
     for view, table in views.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,12 @@ from pyspark.sql import functions as F
 from rosterlake.functions import labels
 from rosterlake.functions.measures import exact_avg, or_zero
 from rosterlake.operators.merge import top_n_per_group
+from rosterlake.session import materialise
+from rosterlake.sources.tables import LAYERS, Tables
 
 TOP_RATING = 4
+# Fixed value: how long a bundle of results is kept.
+CACHE_SECONDS = 300
 
 
 def current(dim_employee: DataFrame) -> DataFrame:
@@ -48,6 +53,12 @@ def combined_kpis(dim_employee: DataFrame, fact: DataFrame) -> DataFrame:
         exact_avg("performance_rating").alias("avg_rating"),
         exact_avg("job_satisfaction").alias("avg_satisfaction"),
     )
+    return _kpis_of(staff, scores)
+
+
+def _kpis_of(staff: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row from a row of staff and a row of scores, either of which may be missing."""
+    staff, scores = staff.select("active_count", "avg_income"), scores.select("avg_rating", "avg_satisfaction")
     both = staff.unionByName(scores, allowMissingColumns=True)
     return both.agg(
         F.coalesce(F.max("active_count"), F.lit(0)).alias("active_count"),
@@ -104,7 +115,7 @@ def attrition_risk_flags(
         "review_fact_id", "emp_key", "dept_key", "review_date_key", "job_satisfaction"
     )
     staff = current(dim_employee).select("emp_key", "employee_id", "job_role")
-    return (
+    people = (
         low.join(staff, "emp_key")
         .join(dim_department.select("dept_key", "department_name"), "dept_key")
         .join(
@@ -113,7 +124,14 @@ def attrition_risk_flags(
             ),
             "review_date_key",
         )
-        .orderBy("job_satisfaction", F.desc("review_date"), "employee_id", "review_fact_id")
+    )
+    return least_satisfied(people, limit)
+
+
+def least_satisfied(people: DataFrame, limit: int) -> DataFrame:
+    """The first of the reviews joined with their employees and departments."""
+    return (
+        people.orderBy("job_satisfaction", F.desc("review_date"), "employee_id", "review_fact_id")
         .limit(limit)
         .select("employee_id", "department_name", "job_role", "job_satisfaction", "review_date")
     )
@@ -137,6 +155,11 @@ def _current_reviews(fact: DataFrame, dim_employee: DataFrame, dim_department: D
 def top_performers_by_department(
     fact: DataFrame, dim_employee: DataFrame, dim_department: DataFrame, top_n: int = 5
 ) -> DataFrame:
+    return ranked_performers(_current_reviews(fact, dim_employee, dim_department), top_n)
+
+
+def ranked_performers(people: DataFrame, top_n: int) -> DataFrame:
+    """The best of every department, of the reviews joined with their employees and departments."""
     best_first = [
         F.desc_nulls_last("performance_rating"),
         F.desc_nulls_last("percent_salary_hike"),
@@ -144,8 +167,7 @@ def top_performers_by_department(
         F.col("emp_key"),
         F.col("review_fact_id"),
     ]
-    reviews = _current_reviews(fact, dim_employee, dim_department)
-    ranked = top_n_per_group(reviews, ["department_name"], best_first, top_n, "rnk")
+    ranked = top_n_per_group(people, ["department_name"], best_first, top_n, "rnk")
     return ranked.select(
         "department_name", "full_name", "employee_id", "performance_rating",
         "percent_salary_hike", "rnk",
@@ -283,28 +305,78 @@ def lookup_labels(departments: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 class Dashboard:
-    """All dashboard frames over one star schema, cached unless told otherwise; ``close`` when the
-    schema changes."""
-
-    def __init__(self, tables: dict[str, DataFrame], cached: bool = True):
-        dim_department, dim_date = tables["dim_department"], tables["dim_date"]
-        self._staff, self._fact = current(tables["dim_employee"]), tables["fact_performance_reviews"]
-        if cached:
-            self._staff, self._fact = self._staff.persist(), self._fact.persist()
-        rates = attrition_rate_by_department(self._staff, dim_department)
+    """All dashboard frames over one star schema, from one scan of each of its tables.
+
+    The scans leave slim copies, of which the frames are made: indicators that share a table come from
+    one aggregation with grouping sets, the two lists of people from one join of the copies.
+    """
+
+    def __init__(self, tables: dict[str, DataFrame], top_n: int = 5, threshold: int = 2, limit: int = 50):
+        self.departments = materialise(
+            tables["dim_department"].select("dept_key", "department_id", "department_name"), "dashboard-departments"
+        )
+        staff = current(tables["dim_employee"]).select(
+            "emp_key", "employee_id", "full_name", "job_role", "department_id", "attrition", "monthly_income"
+        )
+        self.staff = materialise(staff, "dashboard-staff")
+        dates = tables["dim_date"].select(
+            F.col("date_key").alias("review_date_key"), "year", F.col("full_date").alias("review_date")
+        )
+        fact = tables["fact_performance_reviews"].select(
+            "review_fact_id", "emp_key", "dept_key", "review_date_key", "performance_rating", "job_satisfaction",
+            "percent_salary_hike", "monthly_income",
+        )
+        self.reviews = materialise(fact.join(dates, "review_date_key", "left"), "dashboard-reviews")
+        by_staff, by_review = self._staff_groups(), self._review_groups()
+        people = self.reviews.join(self.staff.drop("monthly_income", "department_id", "attrition"), "emp_key")
+        people = people.join(self.departments.drop("department_id"), "dept_key")
         self.frames = {
-            "combined_kpis": combined_kpis(self._staff, self._fact),
-            "top_performers_by_department": top_performers_by_department(
-                self._fact, self._staff, dim_department
+            "combined_kpis": _kpis_of(by_staff.filter("kind = 'all'"), by_review.filter("kind = 'all'")),
+            "top_performers_by_department": ranked_performers(people, top_n),
+            "attrition_rate_by_department": by_staff.filter("kind = 'department'").select(
+                "department_name", "attrition_rate_pct"
             ),
-            "attrition_rate_by_department": rates,
-            "avg_income_by_role": avg_income_by_role(self._staff),
-            "attrition_risk_flags": attrition_risk_flags(
-                self._fact, self._staff, dim_department, dim_date
+            "avg_income_by_role": by_staff.filter("kind = 'role'")
+            .select("job_role", "avg_income")
+            .orderBy(F.desc_nulls_last("avg_income"), "job_role"),
+            "attrition_risk_flags": least_satisfied(
+                people.filter((F.col("job_satisfaction") <= threshold) & F.col("review_date").isNotNull()), limit
             ),
-            "yearly_trends": yearly_trends(self._fact, dim_date),
+            "yearly_trends": by_review.filter("kind = 'year'")
+            .select("year", "review_count", "avg_rating", "avg_satisfaction", "avg_income", "avg_salary_hike")
+            .orderBy("year"),
         }
 
+    def _staff_groups(self) -> DataFrame:
+        """Headcount, pay and attrition over all current versions, by department and by role."""
+        names = self.departments.select("department_id", "department_name", F.lit(True).alias("named"))
+        keys = [F.col("department_name"), F.col("job_role")]
+        leaves = F.count_if(F.col("attrition") == "Yes").cast("decimal(20,0)")
+        groups = (
+            self.staff.join(names, "department_id", "left")
+            .groupingSets([[], [keys[0]], [keys[1]]], *keys)
+            .agg(
+                _kind(F.grouping("department_name"), F.grouping("job_role"), "department", "role"),
+                F.count(F.lit(1)).alias("active_count"),
+                F.count_if(F.col("named")).alias("named"),
+                exact_avg("monthly_income").alias("avg_income"),
+                F.round(F.lit(100) * leaves / F.count(F.lit(1)), 2).cast("double").alias("attrition_rate_pct"),
+            )
+        )
+        return materialise(groups.filter("kind <> 'department' OR named > 0"), "dashboard-staff-groups")
+
+    def _review_groups(self) -> DataFrame:
+        """Scores over all reviews and by year."""
+        groups = self.reviews.groupingSets([[], [F.col("year")]], F.col("year")).agg(
+            F.when(F.grouping("year") == 1, "all").otherwise("year").alias("kind"),
+            F.count(F.lit(1)).alias("review_count"),
+            exact_avg("performance_rating").alias("avg_rating"),
+            exact_avg("job_satisfaction").alias("avg_satisfaction"),
+            exact_avg("monthly_income").alias("avg_income"),
+            exact_avg("percent_salary_hike").alias("avg_salary_hike"),
+        )
+        return materialise(groups.filter("kind = 'all' OR year IS NOT NULL"), "dashboard-review-groups")
+
     def bundle(self) -> DataFrame:
         """All frames as one: (metric, key, value)."""
         frames = self.frames
@@ -339,12 +411,27 @@ class Dashboard:
         )
         return reduce(DataFrame.unionByName, parts)
 
-    def close(self) -> None:
-        self._staff.unpersist()
-        self._fact.unpersist()
 
-    def __enter__(self) -> dict[str, DataFrame]:
-        return self.frames
+def _kind(first: Column, second: Column, if_first: str, if_second: str) -> Column:
+    """Which grouping set a row belongs to: all rows, the first key or the second."""
+    both = (first == 1) & (second == 1)
+    return F.when(both, "all").when(first == 0, if_first).otherwise(if_second).alias("kind")
+
+
+class CachedBundle:
+    """The bundle of a store's star schema, kept until it is too old or the store has changed.
+
+    Changes made through the same store are seen at once, those of other sessions when the bundle
+    is too old.
+    """
+
+    def __init__(self, store: Tables, seconds: float = CACHE_SECONDS, clock=time.monotonic):
+        self.store, self.seconds, self._clock = store, seconds, clock
+        self._kept: tuple[float, int, DataFrame] | None = None
 
-    def __exit__(self, *_) -> None:
-        self.close()
+    def rows(self) -> DataFrame:
+        now = self._clock()
+        if not self._kept or now - self._kept[0] >= self.seconds or self._kept[1] != self.store.changes:
+            found = Dashboard(self.store.tables(LAYERS["OLAP"])).bundle()
+            self._kept = (now, self.store.changes, materialise(found, "dashboard-bundle"))
+        return self._kept[2]

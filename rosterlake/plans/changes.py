@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +43,32 @@ def _with_job_text(df: DataFrame, jobs: DataFrame, job_id: str, unknown: str) ->
     )
 
 
+def with_fallback_job(
+    requests: DataFrame, jobs: DataFrame, job_id: str, role: str
+) -> tuple[DataFrame, DataFrame]:
+    """(requests, jobs) with one job for all ids that no job has, so that both layers name the same.
+
+    The job carries the fallback text and level and the next free id; a job of that text and level
+    serves again. Without unknown ids both stay as they are. Missing ids stay missing.
+    """
+    known = jobs.select(F.col("job_id").alias(job_id))
+    unknown = requests.filter(F.col(job_id).isNotNull()).join(known, job_id, "left_anti")
+    fallback = (F.col("job_role") == role) & (F.col("job_level") == UNKNOWN_JOB_LEVEL)
+    found = jobs.agg(F.max(F.when(fallback, F.col("job_id"))).alias("is"), F.max("job_id").alias("last")).first()
+    own = found["is"] or (found["last"] or 0) + 1
+    row = jobs.sparkSession.range(1).select(
+        F.lit(own).cast("long").alias("job_id"), F.lit(role).alias("job_role"),
+        F.lit(UNKNOWN_JOB_LEVEL).cast("int").alias("job_level"),
+    )
+    extended = jobs
+    if not found["is"] and not unknown.isEmpty():
+        extended = jobs.unionByName(row)
+    marked = requests.join(known.withColumn("__job", F.lit(True)), job_id, "left")
+    kept = F.when(F.col(job_id).isNull() | F.col("__job").isNotNull(), F.col(job_id)).otherwise(F.lit(own))
+    kind = requests.schema[job_id].dataType
+    return marked.withColumn(job_id, kept.cast(kind)).select(*requests.columns), materialise(extended, "jobs")
+
+
 def _existing(df: DataFrame, table: DataFrame, column: str, key: str) -> DataFrame:
     return df.join(table.select(F.col(key).alias(column)), column, "left_semi")
 
@@ -89,7 +114,10 @@ def describe_changes(changes: DataFrame, jobs: DataFrame, employees: DataFrame)
 
 
 def apply_scd2_changes(
-    dim: DataFrame, changes: DataFrame, default_attrition: str | None = "No"
+    dim: DataFrame,
+    changes: DataFrame,
+    default_attrition: str | None = "No",
+    first_key: int | None = None,
 ) -> ScdChange:
     """Expire the current version at the first change, add one version per change.
 
@@ -98,6 +126,7 @@ def apply_scd2_changes(
     (ts, change_id) order: several changes of a day leave zero-length versions. A change
     without a date, or dated before the current version began, is rejected: it would give a
     version of negative length. Expired versions are passed through unread by any join.
+    ``first_key`` is the next free ``emp_key``, where ``dim`` holds a part of the versions only.
     """
     current = dim.filter("is_current = 1")
     newest = current.groupBy("employee_id").agg(
@@ -151,7 +180,7 @@ def apply_scd2_changes(
         "change_reason",
         F.coalesce("attrition", F.lit(default_attrition)).alias("attrition"),
     )
-    keyed = assign_keys(versions, ["ts", "change_id"], "emp_key", next_key(dim, "emp_key"))
+    keyed = assign_keys(versions, ["ts", "change_id"], "emp_key", first_key or next_key(dim, "emp_key"))
     touched = base.unionByName(keyed.select(*_DIM))
     expired = dim.filter("is_current = 0").select(*_DIM)
     return ScdChange(expired.unionByName(touched), touched, accepted, rejected)
@@ -171,13 +200,19 @@ def update_employee_roles(
     departments: DataFrame,
     jobs: DataFrame,
     dim_employee: DataFrame,
+    first_key: int | None = None,
 ) -> RoleUpdate:
-    """Valid changes of known employees to known departments and jobs, in both layers."""
+    """Valid changes of known employees to known departments and jobs, in both layers.
+
+    The two tables of employees may be the blocks that the changes fall into; ``first_key`` is then
+    the next free ``emp_key``.
+    """
     valid = changes.filter(_no_errors(rules.role_update_errors()))
     valid = _existing(valid, employees, "employee_id", "employee_id")
     valid = _existing(valid, departments, "new_department_id", "department_id")
     valid = materialise(_existing(valid, jobs, "new_job_id", "job_id"), "role-updates")
-    applied = apply_scd2_changes(dim_employee, describe_changes(valid, jobs, employees))
+    described = describe_changes(valid, jobs, employees)
+    applied = apply_scd2_changes(dim_employee, described, first_key=first_key)
     done = applied.accepted.select("change_id")
     rejected = changes.join(done, "change_id", "left_anti")
 
@@ -208,6 +243,8 @@ def onboard(
     jobs: DataFrame,
     dim_employee: DataFrame,
     today: Column,
+    first_id: int | None = None,
+    first_key: int | None = None,
 ) -> Onboarding:
     """New rows of both layers for valid candidates whose references exist."""
     valid = candidates.filter(_no_errors(rules.onboarding_errors(today)))
@@ -225,7 +262,7 @@ def onboard(
         ),
         "attrition": F.lit("No"),
     }
-    ids = assign_keys(valid, ["candidate_id"], "employee_id", next_key(employees, "employee_id"))
+    ids = assign_keys(valid, ["candidate_id"], "employee_id", first_id or next_key(employees, "employee_id"))
     hires = ids.select("candidate_id", *_row(OLTP["employees"], ids, normalised))
     hires = materialise(hires, "hires")
 
@@ -237,7 +274,7 @@ def onboard(
         "change_reason": F.lit(REASON_NEW_HIRE),
     }
     texts = _with_job_text(hires, jobs, "job_id", UNKNOWN_JOB_HIRE)
-    versions = assign_keys(texts, ["candidate_id"], "emp_key", next_key(dim_employee, "emp_key"))
+    versions = assign_keys(texts, ["candidate_id"], "emp_key", first_key or next_key(dim_employee, "emp_key"))
     return Onboarding(
         hires.select(*OLTP["employees"].columns),
         versions.select(*_row(OLAP["dim_employee"], versions, described)),
@@ -266,7 +303,11 @@ class ProjectAssignments:
 
 
 def assign_projects(
-    requests: DataFrame, assignments: DataFrame, employees: DataFrame, projects: DataFrame
+    requests: DataFrame,
+    assignments: DataFrame,
+    employees: DataFrame,
+    projects: DataFrame,
+    first_id: int | None = None,
 ) -> ProjectAssignments:
     """Insert or update per (employee, project): the last role and allocation win, the first
     date stays."""
@@ -299,7 +340,9 @@ def assign_projects(
         F.col("__allocation").alias("allocation_percentage"),
         F.col("__date").alias("assigned_date"),
     )
-    keyed = assign_keys(fresh, ["__first"], "assignment_id", next_key(assignments, "assignment_id"))
+    keyed = assign_keys(
+        fresh, ["__first"], "assignment_id", first_id or next_key(assignments, "assignment_id")
+    )
     known = wanted.select(*pair, F.lit(True).alias("__known"))
     refused = checked.join(known, pair, "left").filter("NOT (__ok AND __known IS NOT NULL)")
     return ProjectAssignments(
@@ -317,7 +360,12 @@ class SubmittedReviews:
     rejected: DataFrame
 
 
-def submit_reviews(requests: DataFrame, tables: dict[str, DataFrame]) -> SubmittedReviews:
+def submit_reviews(
+    requests: DataFrame,
+    tables: dict[str, DataFrame],
+    first_id: int | None = None,
+    first_fact: int | None = None,
+) -> SubmittedReviews:
     """New rows of both layers; a review without project carries the unknown member."""
     employees = tables["employees"].select("employee_id", "department_id")
     valid = requests.filter(_no_errors(rules.review_errors())).join(employees, "employee_id")
@@ -326,7 +374,7 @@ def submit_reviews(requests: DataFrame, tables: dict[str, DataFrame]) -> Submitt
     order = ["ts", "request_id"]
 
     own = {"performance_rating": F.col("rating")}
-    start = next_key(tables["performance_reviews"], "review_id")
+    start = first_id or next_key(tables["performance_reviews"], "review_id")
     reviews = assign_keys(valid, order, "review_id", start)
 
     current = tables["dim_employee"].filter("is_current = 1")
@@ -343,7 +391,7 @@ def submit_reviews(requests: DataFrame, tables: dict[str, DataFrame]) -> Submitt
         )
         .withColumn("project_key", F.lit(UNKNOWN_PROJECT_KEY))
     )
-    start = next_key(tables["fact_performance_reviews"], "review_fact_id")
+    start = first_fact or next_key(tables["fact_performance_reviews"], "review_fact_id")
     facts = assign_keys(synced, order, "review_fact_id", start)
     return SubmittedReviews(
         reviews.select(*_row(OLTP["performance_reviews"], reviews, own)),
@@ -354,8 +402,6 @@ def submit_reviews(requests: DataFrame, tables: dict[str, DataFrame]) -> Submitt
 
 # --- raises -----------------------------------------------------------------------------
 
-# Raises of one employee that are folded together; results do not depend on it.
-RAISE_RUN = 1_000
 # Fixed value: the largest income the column holds.
 MAX_INCOME = "99999999.99"
 NOT_POSITIVE = "percent must be positive"
@@ -373,13 +419,14 @@ class Raises:
     rejected: DataFrame
 
 
-def apply_raises(requests: DataFrame, employees: DataFrame, run: int = RAISE_RUN) -> Raises:
+def apply_raises(requests: DataFrame, employees: DataFrame) -> Raises:
     """Positive raises, compounded and rounded one after the other in (ts, request_id) order.
 
-    Rounding at every step makes the order count. The raises of an employee are numbered and cut
-    into runs of fixed length; run r of all employees is folded at once and hands the incomes to
-    run r + 1, so that no task holds more than a run of an employee. Every request is applied or
-    rejected: a raise beyond the column's range changes nothing and is rejected.
+    Rounding at every step makes the order count, so the raises of an employee are one sequence. One
+    sorted pass over the requests carries the income on: the number of jobs does not depend on the
+    number of raises, and a task holds one batch of rows, however many raises an employee gets.
+    Every request is applied or rejected: a raise beyond the column's range changes nothing and is
+    rejected.
     """
     income = employees.select("employee_id", "monthly_income", F.lit(True).alias("__known"))
     reason = (
@@ -388,35 +435,21 @@ def apply_raises(requests: DataFrame, employees: DataFrame, run: int = RAISE_RUN
         .when(F.col("percent") <= 0, NOT_POSITIVE)
         .when(F.col("monthly_income").isNull(), NO_INCOME)
     )
+    # Written before the pass: the join may split a hot employee, the pass has to keep it together.
     checked = requests.join(income, "employee_id", "left").withColumn("reason", reason)
     checked = materialise(checked, "raise-requests")
-    valid = checked.filter("reason IS NULL")
-    order = ["employee_id", "ts", "request_id"]
-    placed = materialise(assign_keys(valid.select(*order, "percent"), order, "__at"), "raises")
-    first = placed.groupBy("employee_id").agg(F.min("__at").alias("__first"))
-    runs = (
-        placed.join(first, "employee_id")
-        .withColumn("__run", F.expr(f"(__at - __first) div {run}"))
-        .groupBy("employee_id", "__run")
-        .agg(F.array_sort(F.collect_list(F.struct("__at", "request_id", "percent"))).alias("__steps"))
-    )
-    runs = materialise(runs, "raise-runs")
-    incomes = employees.select("employee_id", F.col("monthly_income").cast("decimal(10,2)").alias("__income"))
-    folds, last = [], runs.agg(F.max("__run")).first()[0]
-    for number in range(0 if last is None else last + 1):
-        own = runs.filter(F.col("__run") == number).join(incomes, "employee_id")
-        folded = own.select("employee_id", "__run", _folded(F.col("__income"), F.col("__steps")).alias("f"))
-        folded = folded.select("employee_id", "__run", "f.income", "f.refused")
-        folds.append(materialise(folded, "raise-fold"))
-        incomes = folds[-1].select("employee_id", F.col("income").alias("__income"))
+    valid = checked.filter("reason IS NULL").select(
+        "employee_id", "ts", "request_id",
+        F.col("monthly_income").cast("decimal(10,2)").alias("income"),
+        F.col("percent").try_cast("decimal(16,8)").alias("percent"),
+    )
+    sequences = valid.repartition("employee_id").sortWithinPartitions("employee_id", "ts", "request_id")
+    folded = materialise(sequences.mapInArrow(_fold(), _FOLDED), "raise-fold")
+    final = folded.filter("request_id IS NULL").select("employee_id", F.col("income").alias("__income"))
+    beyond = checked.filter("reason IS NULL").join(folded.select("request_id"), "request_id", "left_semi")
+    beyond = beyond.withColumn("reason", F.lit(OUT_OF_RANGE))
     columns = [*requests.columns, "reason"]
     rejected = checked.filter("reason IS NOT NULL").select(*columns)
-    if not folds:
-        return Raises(employees.select(*OLTP["employees"].columns), rejected)
-    every = reduce(DataFrame.unionByName, folds)
-    final = every.groupBy("employee_id").agg(F.max_by("income", "__run").alias("__income"))
-    refused = every.select(F.explode("refused").alias("request_id"))
-    beyond = valid.join(refused, "request_id", "left_semi").withColumn("reason", F.lit(OUT_OF_RANGE))
     raised = employees.join(final, "employee_id", "left").withColumn(
         "monthly_income", F.coalesce("__income", "monthly_income")
     )
@@ -425,19 +458,45 @@ def apply_raises(requests: DataFrame, employees: DataFrame, run: int = RAISE_RUN
     )
 
 
-def _folded(income: Column, steps: Column) -> Column:
-    """(income, refused): the income after all steps, and the ids of those beyond the range."""
-    limit = F.lit(MAX_INCOME).cast("decimal(10,2)")
-
-    def step(state: Column, raise_: Column) -> Column:
-        factor = (raise_["percent"].try_cast("decimal(16,8)") + 100) * F.lit("0.01").cast("decimal(3,2)")
-        raised = F.bround(state["income"] * factor, 2)
-        taken = F.struct(raised.try_cast("decimal(10,2)").alias("income"), state["refused"].alias("refused"))
-        kept = F.struct(
-            state["income"].alias("income"),
-            F.concat(state["refused"], F.array(raise_["request_id"].cast("long"))).alias("refused"),
-        )
-        return F.when(raised <= limit, taken).otherwise(kept)
-
-    nothing = F.array().cast("array<bigint>")
-    return F.aggregate(steps, F.struct(income.alias("income"), nothing.alias("refused")), step)
+_FOLDED = "employee_id INT, request_id LONG, income DECIMAL(10,2)"
+
+
+def _fold():
+    """A pass over rows sorted by employee: one row per employee with the income after all raises,
+    and one per raise that would leave the range. Nested, so that workers need no package."""
+    most = MAX_INCOME
+
+    def fold(batches):
+        from decimal import ROUND_HALF_EVEN, Context, Decimal
+
+        import pyarrow as pa
+
+        kinds = [pa.int32(), pa.int64(), pa.decimal128(10, 2)]
+        context, limit, cent = Context(prec=60, rounding=ROUND_HALF_EVEN), Decimal(most), Decimal("0.01")
+        employee = income = None
+
+        def rows(found):
+            columns = [pa.array(c, k) for c, k in zip(zip(*found), kinds)]
+            return pa.RecordBatch.from_arrays(columns, names=["employee_id", "request_id", "income"])
+
+        for batch in batches:
+            found = []
+            columns = [batch.column(n).to_pylist() for n in ("employee_id", "request_id", "income", "percent")]
+            for own, request, start, percent in zip(*columns):
+                if own != employee:
+                    if employee is not None:
+                        found.append((employee, None, income))
+                    employee, income = own, start
+                if percent is not None:
+                    raised = context.multiply(income, context.multiply(percent + 100, cent))
+                    raised = raised.quantize(cent, context=context)
+                if percent is None or raised > limit:
+                    found.append((own, request, None))
+                else:
+                    income = raised
+            if found:
+                yield rows(found)
+        if employee is not None:
+            yield rows([(employee, None, income)])
+
+    return fold

@@ -1,4 +1,4 @@
-"""The full load: staging -> operational layer -> star schema, committed as one generation."""
+"""The full load: staging -> operational layer -> star schema, in a folder of its own."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from rosterlake.plans import olap, oltp
 from rosterlake.schemas import STAGING_TABLE
 from rosterlake.session import materialise, scratch_scope
 from rosterlake.sources.calendar import CALENDAR_V2, calendar
-from rosterlake.sources.snapshots import Entry, SnapshotStore
+from rosterlake.sources.tables import Tables
 
 
 @dataclass(frozen=True)
@@ -26,32 +26,35 @@ class LoadConfig:
 
 @dataclass(frozen=True)
 class LoadResult:
-    generation: int
+    folder: str
     status: str
     tables: dict[str, DataFrame] = field(repr=False)
 
 
 def run_full_load(
-    spark: SparkSession, staging: DataFrame, store: SnapshotStore, config: LoadConfig = LoadConfig()
+    spark: SparkSession,
+    staging: DataFrame,
+    store: Tables,
+    config: LoadConfig = LoadConfig(),
+    previous: Tables | None = None,
 ) -> LoadResult:
-    """Reload every table from staging; readers keep the previous generation until the end.
+    """Fill every table of the folder from staging, the calendar from the previous load as well.
 
-    The operational tables, the employee versions and the calendar depend only on staging, so
-    their jobs are submitted side by side. Intermediate tables are removed after the commit.
+    Give each load a new folder: readers of the previous one are not disturbed. The operational
+    tables, the employee versions and the calendar depend only on staging, so their jobs are
+    submitted side by side. Intermediate tables are removed at the end.
     """
     with scratch_scope(spark):
-        return _full_load(spark, staging, store, config)
+        return _full_load(spark, staging, store, config, previous)
 
 
 def _full_load(
-    spark: SparkSession, staging: DataFrame, store: SnapshotStore, config: LoadConfig
+    spark: SparkSession, staging: DataFrame, store: Tables, config: LoadConfig, previous: Tables | None
 ) -> LoadResult:
-    written: dict[str, Entry] = {}
     tables: dict[str, DataFrame] = {}
 
     def save(name: str, df: DataFrame) -> DataFrame:
-        written[name] = store.write(name, df)
-        tables[name] = store.open(name, written[name])
+        tables[name] = store.reload(name, df)
         return tables[name]
 
     staging = save(STAGING_TABLE, staging)
@@ -72,7 +75,7 @@ def _full_load(
         pool = _Inheriting(threads, spark)
         keyed = pool.submit(versions)
         jobs = pool.submit(lambda: save("jobs", oltp.with_job_ids(oltp.distinct_jobs(staging))))
-        dates = pool.submit(lambda: save("dim_date", _calendar(spark, store, config)))
+        dates = pool.submit(lambda: save("dim_date", _calendar(spark, previous, config)))
         departments = save("departments", oltp.departments(staging))
         projects = save("projects", oltp.projects(spark, departments))
         dimensions = pool.submit(small_dimensions)
@@ -93,7 +96,7 @@ def _full_load(
             ),
         )
         reviewed.result()
-    return LoadResult(store.commit(written), "SUCCESS: full load completed", tables)
+    return LoadResult(store.root, "SUCCESS: full load completed", tables)
 
 
 class _Inheriting:
@@ -107,11 +110,10 @@ class _Inheriting:
         return self.threads.submit(inheritable_thread_target(self.spark)(lambda: context.run(job)))
 
 
-def _calendar(spark: SparkSession, store: SnapshotStore, config: LoadConfig) -> DataFrame:
-    """The stored calendar, extended by the days of the configured range it lacks."""
+def _calendar(spark: SparkSession, previous: Tables | None, config: LoadConfig) -> DataFrame:
+    """The previous calendar, extended by the days of the configured range it lacks."""
     days = calendar(spark, config.first_day, config.last_day)
-    existing = store.tables(["dim_date"]).get("dim_date")
-    return days if existing is None else olap.extend_dim_date(existing, days)
+    return olap.extend_dim_date(previous.read("dim_date"), days) if previous else days
 
 
 def load_row_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -43,6 +43,13 @@ def extend_dim_date(existing: DataFrame, days: DataFrame) -> DataFrame:
     return insert_ignore(existing, days, ["date_key"])
 
 
+def populate_dim_date(existing: DataFrame, days: DataFrame) -> DataFrame:
+    """The calendar as it is, or all days where it is empty. The test is a scalar subquery of the
+    plan: the days are generated only if it holds."""
+    held = existing.agg(F.count(F.lit(1))).scalar()
+    return existing.unionByName(days.filter(held == 0))
+
+
 def dedup_staging(staging: DataFrame) -> DataFrame:
     """One row per employee and start date."""
     rows = staging.filter("employee_id IS NOT NULL AND effective_start_date IS NOT NULL")

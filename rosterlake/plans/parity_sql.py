@@ -556,6 +556,25 @@ _ASSIGN = {
 }
 
 
+_ROUTED_TEXTS = """SELECT event_id AS query_id, CASE event_id % 11
+  WHEN 0 THEN 'SELECT full_name, monthly_income FROM DIM_EMPLOYEE WHERE employee_id = ' || (user_id + 10001)
+  WHEN 1 THEN 'SELECT phone_number FROM EMPLOYEES WHERE employee_id = ' || (user_id + 10001) || ';'
+  WHEN 2 THEN 'select e.Manager_ID, e.total_working_years from employees e where e.employee_id = ' || (user_id + 10001)
+  WHEN 3 THEN 'SELECT ''the phone_number of ' || (user_id + 10001) || ''' AS note, full_name FROM dim_employee'
+  WHEN 4 THEN 'SELECT department_name FROM departments WHERE department_id = ' || event_id || ' % 5'
+  WHEN 5 THEN 'WITH a AS (SELECT allocation_percentage FROM project_assignments WHERE employee_id = ' || (user_id + 10001)
+    || ') SELECT max(allocation_percentage) FROM a'
+  WHEN 6 THEN 'SELECT full_name AS phone_number FROM DIM_EMPLOYEE -- not the manager_id of ' || event_id
+  WHEN 7 THEN 'SELECT ' || event_id
+  WHEN 8 THEN 'WITH projects AS (SELECT project_name FROM dim_project WHERE project_key = ' || event_id || ') SELECT * FROM projects'
+  WHEN 9 THEN 'SELECT f.performance_rating /* no age */ FROM fact_performance_reviews f WHERE f.emp_key = ' || event_id
+  ELSE '' END AS sql_text FROM events"""
+# What each template needs, stated rather than derived.
+_ROUTED = """SELECT query_id, sql_text, CASE WHEN query_id % 11 IN (1, 2, 4, 5) THEN 'OLTP' ELSE 'OLAP' END AS layer,
+  CASE query_id % 11 WHEN 1 THEN 'needs phone_number' WHEN 2 THEN 'needs manager_id, total_working_years' WHEN 4 THEN 'reads departments'
+  WHEN 5 THEN 'needs allocation_percentage' ELSE 'default' END AS reason FROM routed_texts"""
+
+
 def parity_sql() -> dict[str, str]:
     texts = {"texts": _TEXTS}
     jobs_v1 = {"jobs_v1": _JOBS_V1}
@@ -636,6 +655,9 @@ def parity_sql() -> dict[str, str]:
               JOIN dim_department d ON f.dept_key = d.dept_key JOIN dim_date dt ON f.review_date_key = dt.date_key
               WHERE f.job_satisfaction <= 2 ORDER BY f.job_satisfaction, dt.full_date DESC, e.employee_id, f.review_fact_id LIMIT 50)
               GROUP BY department_name""",
+        "dim_date_populate": f"""SELECT 'empty' AS calendar, year, count(*) AS n_days FROM (
+            {_calendar(_first_of_year('min(hire_date)'))}) GROUP BY year
+            UNION ALL SELECT 'filled', year, count(*) FROM dim_date WHERE year >= 2000 GROUP BY year""",
         "dim_employee_scd2": _as("dim_employee"),
         "dim_employee_v1": _as("dim_employee_v1", "dim_employee"),
         "fact_reviews": _as("fact_performance_reviews"),
@@ -663,6 +685,37 @@ def parity_sql() -> dict[str, str]:
             SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY ts DESC, change_id DESC) AS rn FROM valid_changes) l
             ON e.employee_id = l.employee_id AND l.rn = 1)""",
         "update_employee_roles_dim": (_as("changed_dim", "dim_employee"), _scd2("valid_changes")),
+        "update_employee_roles_stored": (_as("changed_dim", "dim_employee"), _scd2("valid_changes")),
+        "role_changes_stream": (_as("changed_dim", "dim_employee"), _scd2("valid_changes")),
+        "update_unknown_jobs": (
+            """SELECT e.employee_id, w.new_job_id AS job_id, w.job_role AS oltp_role, w.job_level AS oltp_level,
+            w.job_role AS olap_role, w.job_level AS olap_level FROM employees e JOIN (SELECT *, row_number() OVER (
+            PARTITION BY employee_id ORDER BY ts DESC, change_id DESC) AS rn FROM fitting) w
+            ON w.employee_id = e.employee_id AND w.rn = 1""",
+            {
+                "fitting": """SELECT c.change_id, c.ts, c.employee_id, coalesce(j.job_id, (SELECT max(job_id) + 1 FROM jobs)) AS new_job_id,
+                coalesce(j.job_role, 'Updated Role') AS job_role, coalesce(j.job_level, 1) AS job_level
+                FROM role_changes c JOIN (SELECT employee_id, max(effective_start_date) AS began FROM dim_employee
+                WHERE is_current = 1 GROUP BY employee_id) d ON d.employee_id = c.employee_id AND c.change_date >= began
+                LEFT JOIN jobs j ON j.job_id = c.change_id % 29 + 1
+                WHERE new_monthly_income BETWEEN 1000 AND 500000 AND c.employee_id IN (SELECT employee_id FROM employees)
+                AND new_department_id IN (SELECT department_id FROM departments)"""
+            },
+        ),
+        "onboard_unknown_jobs": f"""SELECT CAST(employee_id AS INTEGER) AS employee_id,
+            coalesce(j.job_id, (SELECT max(job_id) + 1 FROM jobs)) AS job_id,
+            coalesce(j.job_role, 'Unassigned') AS oltp_role, coalesce(j.job_level, 1) AS oltp_level,
+            coalesce(j.job_role, 'Unassigned') AS olap_role, coalesce(j.job_level, 1) AS olap_level FROM (
+            SELECT row_number() OVER (ORDER BY candidate_id) + (SELECT max(employee_id) FROM employees) AS employee_id, *
+            FROM hireable WHERE len({_ONBOARDING_ERRORS}) = 0 AND department_id IN (SELECT department_id FROM departments)
+            AND manager_id IN (SELECT employee_id FROM employees)) h LEFT JOIN jobs j ON h.job_id = j.job_id""",
+        "reload_tables": """SELECT 'departments' AS table_name, count(*) AS n FROM departments WHERE department_id <> 3
+            UNION ALL SELECT 'jobs', count(*) FROM jobs UNION ALL SELECT 'projects', count(*) FROM projects WHERE department_id <> 3
+            UNION ALL SELECT 'employees', count(*) FROM employees WHERE department_id <> 3""",
+        "append_reviews_stored": f"SELECT {_shown('fact_performance_reviews')} FROM fact_performance_reviews UNION ALL ",
+        "staging_quarantine": """SELECT CASE WHEN src_key % 97 = 5 OR src_key % 89 = 7 OR src_key % 101 = 3 THEN 'quarantined'
+            ELSE 'loaded' END AS kind, count(*) AS n, CAST(sum(src_key) AS BIGINT) AS key_sum FROM staging GROUP BY ALL""",
+        "routed_sql": (_ROUTED, {"routed_texts": _ROUTED_TEXTS}),
         "onboard_employees": f"""SELECT {_shown('employees')} FROM (SELECT CAST(employee_id AS INTEGER) AS employee_id,
             trim(first_name) AS first_name, trim(last_name) AS last_name, lower(trim(email)) AS email, trim(phone_number) AS phone_number,
             age, CAST(NULL AS VARCHAR) AS gender, CAST(NULL AS VARCHAR) AS marital_status, CAST(NULL AS INTEGER) AS education,
@@ -793,6 +846,8 @@ def parity_sql() -> dict[str, str]:
         "guarded_sql_oltp": """SELECT employee_id, phone_number, manager_id, total_working_years FROM employees
             WHERE manager_id IS NOT NULL ORDER BY total_working_years DESC, employee_id LIMIT 100""",
     }
+    columns = ", ".join(TABLES["fact_performance_reviews"].columns)
+    statements["append_reviews_stored"] += f"SELECT {columns} FROM ({statements['submit_reviews']})"
     built = {}
     for name, statement in statements.items():
         body, extra = statement if isinstance(statement, tuple) else (statement, None)

@@ -82,17 +82,20 @@ def fk_violations(
 ) -> DataFrame:
     """Violations per declared reference, and per reference of the incoming feeds in ``extra``.
 
-    Keys are integers. Each child and each parent is read once for all its references.
+    Keys are integers. Each child and each parent is read once for all its references. Parent keys
+    are unique, or else a value that occurs n times in its parent counts n times where it is known,
+    which adds nothing.
     """
     checks = [
-        (f"{name}.{column}->{parent}", tables[name], column, parent, key)
+        (f"{name}.{column}->{parent}", name, column, parent, key)
         for name, table in TABLES.items()
         for column, parent, key in table.references
     ]
-    checks += [(f"{n}.{c}->{p}", df, c, p, k) for n, (df, c, p, k) in (extra or {}).items()]
-    children: dict[int, tuple[DataFrame, list]] = {}
+    checks += [(f"{n}.{c}->{p}", n, c, p, k) for n, (_, c, p, k) in (extra or {}).items()]
+    frames = {**tables, **{n: df for n, (df, *_) in (extra or {}).items()}}
+    children: dict[str, list[tuple[str, str, str]]] = {}
     for label, child, column, parent, key in checks:
-        children.setdefault(id(child), (child, []))[1].append((label, column, f"{parent}.{key}"))
+        children.setdefault(child, []).append((label, column, f"{parent}.{key}"))
 
     def reference(label: str, target: str, value: Column) -> Column:
         value = value.cast("long").alias("value")
@@ -100,9 +103,9 @@ def fk_violations(
 
     # Every child is read once: its references as rows, counted per value before the join.
     values = []
-    for child, references in children.values():
+    for name, references in children.items():
         rows = F.explode(F.array(*[reference(label, t, F.col(c)) for label, c, t in references]))
-        given = child.select(rows.alias("r")).select("r.*").filter("value IS NOT NULL")
+        given = frames[name].select(rows.alias("r")).select("r.*").filter("value IS NOT NULL")
         values.append(given.groupBy("relation", "target", "value").agg(F.count(F.lit(1)).alias("n")))
     targets = {(parent, key): None for _, _, _, parent, key in checks}
     keys = [
@@ -111,11 +114,11 @@ def fk_violations(
         )
         for parent, key in targets
     ]
-    found = _union(keys).distinct().withColumn("known", F.lit(True))
+    found = _union(keys).withColumn("known", F.lit(True))
     joined = _union(values).join(found, ["target", "value"], "left")
     broken = F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0))
     counted = joined.groupBy("relation").agg(broken.cast("long").alias("violations"))
-    spark = checks[0][1].sparkSession
+    spark = tables[checks[0][1]].sparkSession
     labels = F.explode(F.array(*[F.lit(label) for label, *_ in checks])).alias("relation")
     none = spark.range(1).select(labels, F.lit(0).cast("long").alias("violations"))
     return none.unionByName(counted).groupBy("relation").agg(F.sum("violations").alias("violations"))

@@ -1,7 +1,7 @@
 """Every query by name, as (spark, sf_dir) -> DataFrame over the driver's tables.
 
 Load jobs run from staging, change jobs and analytics on the loaded warehouse. The warehouse of
-a folder is loaded once per application and read from its committed snapshots after that.
+a folder is loaded once per application and read from its stored tables after that.
 Results carry money and measures as DOUBLE, dates as ISO text and message lists joined by '; ',
 which reads the same in every engine.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +21,16 @@ from rosterlake.operators import expand
 from rosterlake.operators.keys import assign_keys
 from rosterlake.operators.merge import split_known
 from rosterlake.operators.timeline import version_as_of
-from rosterlake.plans import adhoc, analytics, changes, olap, oltp, quality
+from rosterlake.plans import adhoc, analytics, changes, olap, oltp, quality, routing
 from rosterlake.plans.load import LoadConfig, load_row_counts, run_full_load
-from rosterlake.schemas import STAGING_TABLE, STAGING_WITH_KEY
+from rosterlake.plans.operations import Workforce
+from rosterlake.schemas import SOURCE_KEY, STAGING_TABLE, STAGING_WITH_KEY, TABLES
 from rosterlake.session import materialise, scratch_path
 from rosterlake.sources import driver_tables as source
 from rosterlake.sources.calendar import CALENDAR_V1, CALENDAR_V2, calendar, calendar_between
-from rosterlake.sources.csv_staging import read_staging_csv, write_staging_csv
-from rosterlake.sources.snapshots import SnapshotStore
+from rosterlake.sources.csv_staging import RAW_LINE, read_staging_csv, split_staging_csv, write_staging_csv
+from rosterlake.sources.tables import Tables
+from rosterlake.streaming.change_stream import apply_batch, follow_role_changes
 
 # The driver's orders start in 1995, before the default calendar.
 FIXTURE_LOAD = LoadConfig(first_day="1995-01-01", last_day="2035-12-31")
@@ -54,7 +57,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 class Warehouse:
     spark: SparkSession
     sf_dir: str
-    store: SnapshotStore
+    store: Tables
     tables: dict[str, DataFrame]
 
     @property
@@ -70,13 +73,13 @@ _loaded: dict[tuple[str, str], Warehouse] = {}
 
 def load_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """A fresh load of the folder's tables."""
-    store = SnapshotStore(spark, scratch_path(spark, "warehouse"))
+    store = Tables(spark, scratch_path(spark, "warehouse"))
     result = run_full_load(spark, source.staging_rows(spark, sf_dir), store, FIXTURE_LOAD)
     return Warehouse(spark, sf_dir, store, result.tables)
 
 
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """The folder's warehouse, loaded on first use. Its snapshots are never rewritten."""
+    """The folder's warehouse, loaded on first use. Its tables are never rewritten."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _loaded:
         _loaded[key] = load_warehouse(spark, sf_dir)
@@ -214,8 +217,8 @@ def surrogate_keys(w):
 
 @_query
 def next_employee_id(w):
-    ids = w["employees"]
-    return ids.agg((F.coalesce(F.max("employee_id"), F.lit(0)) + 1).cast("long").alias("next_id"))
+    highest = w.store.highest("employees", "employee_id")
+    return highest.select((F.coalesce("highest", F.lit(0)) + 1).cast("long").alias("next_id"))
 
 
 @_query
@@ -340,7 +343,7 @@ def dim_date_v2(w):
 
 @_query
 def dashboard_bundle(w):
-    return analytics.Dashboard(w.tables, cached=False).bundle()
+    return analytics.Dashboard(w.tables).bundle()
 
 
 @_query
@@ -352,6 +355,19 @@ def dim_date_extend(w):
     return olap.extend_dim_date(existing, _calendar_since(w, "hire_date"))
 
 
+@_query
+def dim_date_populate(w):
+    """The scalar-subquery branch, both ways: an empty calendar is filled, a filled one stays."""
+    stored, days = w["dim_date"], _calendar_since(w, "hire_date")
+    calendars = {"empty": stored.filter("year IS NULL"), "filled": stored.filter("year >= 2000")}
+    found = [
+        olap.populate_dim_date(existing, days).groupBy("year").agg(F.count(F.lit(1)).alias("n_days"))
+        .select(F.lit(name).alias("calendar"), "year", "n_days")
+        for name, existing in calendars.items()
+    ]
+    return found[0].unionByName(found[1])
+
+
 @_query
 def dim_employee_scd2(w):
     return olap.dim_employee(olap.employee_versions(w.staging))
@@ -405,13 +421,19 @@ def pipeline_row_counts(w):
 def _scd2(w):
     requests = source.role_changes(w.spark, w.sf_dir)
     described = changes.describe_changes(requests, w["jobs"], w["employees"])
-    return changes.apply_scd2_changes(w["dim_employee"], described)
+    return changes.apply_scd2_changes(w["dim_employee"], described, first_key=_next(w, "dim_employee"))
 
 
-def _role_update(w):
-    requests = source.role_changes(w.spark, w.sf_dir)
+def _next(w, table):
+    """The next free id of a table, from the footers of its files."""
+    return w.store.next_id(table, TABLES[table].primary_key[0])
+
+
+def _role_update(w, requests=None, jobs=None):
+    requests = source.role_changes(w.spark, w.sf_dir) if requests is None else requests
     return changes.update_employee_roles(
-        requests, w["employees"], w["departments"], w["jobs"], w["dim_employee"]
+        requests, w["employees"], w["departments"], w["jobs"] if jobs is None else jobs,
+        w["dim_employee"], _next(w, "dim_employee"),
     )
 
 
@@ -422,15 +444,20 @@ def _candidates(w):
     return candidates.withColumn("manager_id", F.coalesce(manager, F.lit(0)))
 
 
-def _onboarding(w):
+def _onboarding(w, candidates=None, jobs=None):
     today = F.lit(AS_OF).cast("date")
     return changes.onboard(
-        _candidates(w), w["employees"], w["departments"], w["jobs"], w["dim_employee"], today
+        _candidates(w) if candidates is None else candidates, w["employees"], w["departments"],
+        w["jobs"] if jobs is None else jobs, w["dim_employee"], today,
+        _next(w, "employees"), _next(w, "dim_employee"),
     )
 
 
 def _submitted(w):
-    return changes.submit_reviews(source.review_requests(w.spark, w.sf_dir), w.tables)
+    return changes.submit_reviews(
+        source.review_requests(w.spark, w.sf_dir), w.tables,
+        _next(w, "performance_reviews"), _next(w, "fact_performance_reviews"),
+    )
 
 
 @_query
@@ -474,10 +501,119 @@ def onboard_dim_rows(w):
 def assign_projects_upsert(w):
     requests = source.assignment_requests(w.spark, w.sf_dir)
     return changes.assign_projects(
-        requests, w["project_assignments"], w["employees"], w["projects"]
+        requests, w["project_assignments"], w["employees"], w["projects"], _next(w, "project_assignments")
     ).snapshot
 
 
+def _both_layers(employees, jobs, versions):
+    """The job of every employee as either layer has it."""
+    named = employees.join(jobs, "job_id").select(
+        "employee_id", "job_id", F.col("job_role").alias("oltp_role"), F.col("job_level").alias("oltp_level")
+    )
+    latest = versions.filter("is_current = 1").select(
+        "employee_id", F.col("job_role").alias("olap_role"), F.col("job_level").alias("olap_level")
+    )
+    return named.join(latest, "employee_id")
+
+
+@_query
+def onboard_unknown_jobs(w):
+    """Hires for jobs that no table has get the fallback job in both layers."""
+    candidates, jobs = changes.with_fallback_job(_candidates(w), w["jobs"], "job_id", changes.UNKNOWN_JOB_HIRE)
+    hired = _onboarding(w, candidates, jobs)
+    return _both_layers(hired.employees, jobs, hired.dim_employee)
+
+
+@_query
+def update_unknown_jobs(w):
+    """Role changes to jobs that no table has get the fallback job in both layers."""
+    asked = source.role_changes(w.spark, w.sf_dir).withColumn("new_job_id", F.col("change_id") % 29 + 1)
+    requests, jobs = changes.with_fallback_job(asked, w["jobs"], "new_job_id", changes.UNKNOWN_JOB_UPDATE)
+    updated = _role_update(w, requests, jobs)
+    changed = updated.dim_employee.filter(F.col("change_reason") == changes.REASON_UPDATE).select("employee_id")
+    found = _both_layers(updated.employees, jobs, updated.dim_employee)
+    return found.join(changed, "employee_id", "left_semi")
+
+
+# --- stored tables: reloaded, appended to, rewritten by blocks, followed by a stream ---------
+
+
+def _copied(w, *names):
+    """Some of the warehouse's tables in a folder of their own, for a query that changes them."""
+    store = Tables(w.spark, scratch_path(w.spark, "changed"))
+    for name in names:
+        store.reload(name, w[name])
+    return store
+
+
+@_query
+def reload_tables(w):
+    """A second load into the same tables leaves the rows of the second only."""
+    store = _copied(w, "departments", "jobs", "projects", "employees")
+    kept = {
+        "departments": w["departments"].filter("department_id <> 3"),
+        "jobs": w["jobs"],
+        "projects": w["projects"].filter("department_id <> 3"),
+        "employees": w["employees"].filter("department_id <> 3"),
+    }
+    counts = [
+        store.reload(name, rows).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        for name, rows in kept.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@_query
+def append_reviews_stored(w):
+    """The fact table after a batch of reviews was appended, read back."""
+    names = "employees departments dim_employee dim_department dim_date performance_reviews fact_performance_reviews"
+    store = _copied(w, *names.split())
+    Workforce(store).submit_reviews(source.review_requests(w.spark, w.sf_dir))
+    return store.read("fact_performance_reviews")
+
+
+_CHANGED = ("employees", "departments", "jobs", "dim_employee")
+
+
+@_query
+def update_employee_roles_stored(w):
+    """The stored dimension after a batch rewrote the blocks of its employees."""
+    store = _copied(w, *_CHANGED)
+    Workforce(store).update_roles(source.role_changes(w.spark, w.sf_dir))
+    return store.read("dim_employee")
+
+
+@_query
+def role_changes_stream(w):
+    """The stored dimension after the changes came as files, period by period, and the last one twice."""
+    store, feed = _copied(w, *_CHANGED), scratch_path(w.spark, "change-feed")
+    requests = materialise(source.role_changes(w.spark, w.sf_dir), "change-feed-rows")
+    edges = requests.agg(F.percentile_approx("change_date", [0.4, 0.7]).alias("e")).first()["e"] or []
+    period = reduce(lambda n, edge: n + (F.col("change_date") > F.lit(edge)).cast("int"), edges, F.lit(0))
+    checkpoint, batch = scratch_path(w.spark, "change-checkpoint"), requests
+    for number in range(len(edges) + 1):
+        batch = requests.filter(period == number)
+        batch.write.mode("append").parquet(feed)
+        follow_role_changes(w.spark, feed, store.root, checkpoint, once=True).awaitTermination()
+    apply_batch(store, batch, len(edges))
+    return store.read("dim_employee")
+
+
+@_raw_query
+def staging_quarantine(spark, sf_dir):
+    """Good and bad lines of a damaged file, and what their keys add up to."""
+    path = scratch_path(spark, "damaged-csv")
+    write_staging_csv(source.damaged_staging(spark, sf_dir), path)
+    staged = split_staging_csv(spark, path, STAGING_WITH_KEY)
+    key = F.element_at(F.split(RAW_LINE, ","), -1).cast("long")
+    kinds = {"loaded": staged.rows.select(SOURCE_KEY), "quarantined": staged.quarantine.select(key.alias(SOURCE_KEY))}
+    counts = [
+        rows.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum(SOURCE_KEY).alias("key_sum"))
+        for kind, rows in kinds.items()
+    ]
+    return counts[0].unionByName(counts[1])
+
+
 @_query
 def submit_reviews(w):
     return _submitted(w).facts
@@ -638,6 +774,11 @@ def sql_audit(spark, sf_dir):
     return adhoc.sql_audit(source.query_texts(spark, sf_dir))
 
 
+@_raw_query
+def routed_sql(spark, sf_dir):
+    return routing.routed(source.routed_texts(spark, sf_dir))
+
+
 # --- analytics ----------------------------------------------------------------------------
 
 
@@ -769,4 +910,4 @@ def guarded_sql_olap(w):
 
 @_query
 def guarded_sql_oltp(w):
-    return adhoc.run_guarded(w.store, GUARDED_OLTP, layer="OLTP")
+    return adhoc.run_guarded(w.store, GUARDED_OLTP)

@@ -49,6 +49,7 @@ class Table:
     required: tuple[str, ...]
     unique: tuple[tuple[str, ...], ...] = ()
     references: tuple[tuple[str, str, str], ...] = ()  # (column, table, column)
+    # Folders of the stored table: a declared column, the block of employee ids, the writing batch.
     partition_by: tuple[str, ...] = ()
 
     @property
@@ -85,6 +86,7 @@ OLTP = {
             ("job_id", "jobs", "job_id"),
             ("manager_id", "employees", "employee_id"),
         ),
+        partition_by=("id_block",),
     ),
     "projects": Table(
         """project_id LONG, project_name STRING, department_id INT, start_date DATE,
@@ -102,6 +104,7 @@ OLTP = {
             ("employee_id", "employees", "employee_id"),
             ("project_id", "projects", "project_id"),
         ),
+        partition_by=("id_block",),
     ),
     "performance_reviews": Table(
         """review_id LONG, employee_id INT, review_date DATE, environment_satisfaction INT,
@@ -144,7 +147,7 @@ OLAP = {
             "emp_key", "employee_id", "full_name", "email", "effective_start_date",
             "effective_end_date", "is_current",
         ),
-        partition_by=("is_current",),
+        partition_by=("is_current", "id_block", "written_by"),
     ),
     "fact_performance_reviews": Table(
         """review_fact_id LONG, emp_key LONG, dept_key LONG, project_key LONG,

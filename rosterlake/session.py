@@ -44,9 +44,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+def write_table(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
     """Write parquet and read it back: lineage ends here and Catalyst sees the real size."""
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    df.write.mode(mode).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 

@@ -264,6 +264,46 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def routed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query per event over either layer, with the event's own values."""
+    number = F.col("event_id").cast("string")
+    person = employee_id("user_id").cast("string")
+    templates = [
+        ("SELECT full_name, monthly_income FROM DIM_EMPLOYEE WHERE employee_id = ", person, ""),
+        ("SELECT phone_number FROM EMPLOYEES WHERE employee_id = ", person, ";"),
+        ("select e.Manager_ID, e.total_working_years from employees e where e.employee_id = ", person, ""),
+        ("SELECT 'the phone_number of ", person, "' AS note, full_name FROM dim_employee"),
+        ("SELECT department_name FROM departments WHERE department_id = ", number, " % 5"),
+        ("WITH a AS (SELECT allocation_percentage FROM project_assignments WHERE employee_id = ", person,
+         ") SELECT max(allocation_percentage) FROM a"),
+        ("SELECT full_name AS phone_number FROM DIM_EMPLOYEE -- not the manager_id of ", number, ""),
+        ("SELECT ", number, ""),
+        ("WITH projects AS (SELECT project_name FROM dim_project WHERE project_key = ", number,
+         ") SELECT * FROM projects"),
+        ("SELECT f.performance_rating /* no age */ FROM fact_performance_reviews f WHERE f.emp_key = ", number, ""),
+    ]
+    text = F
+    for nth, (before, value, after) in enumerate(templates):
+        text = text.when(F.col("event_id") % 11 == nth, F.concat(F.lit(before), value, F.lit(after)))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("query_id"), text.otherwise("").alias("sql_text")
+    )
+
+
+def damaged_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staging rows as text: some with a word for a number, some with a day that does not exist, some
+    with a decimal point too many."""
+    rows = staging_rows(spark, sf_dir, with_staged_end=True)
+    key = F.col(SOURCE_KEY)
+    damage = {
+        "Age": F.when(key % 97 == 5, "forty"),
+        "hire_date": F.when(key % 89 == 7, "2020-02-31"),
+        "MonthlyIncome": F.when(key % 101 == 3, "1.000.50"),
+    }
+    text = {name: F.col(name).cast("string") for name in rows.columns}
+    return rows.select(*[F.coalesce(damage.get(n, F.lit(None)), t).alias(n) for n, t in text.items()])
+
+
 def version_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(employee, day) pairs that fall before, inside and after the known versions."""
     return table(spark, sf_dir, "orders").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from conftest import rows
 
-from rosterlake.plans import adhoc
+from rosterlake.plans import adhoc, routing
 
 MULTI, START, VALID = adhoc.MULTI, adhoc.START, adhoc.VALID
 
@@ -50,6 +50,39 @@ def test_guarded_query_sees_one_layer(loaded):
         adhoc.run_guarded(loaded.store, "SELECT * FROM EMPLOYEES", layer="OLAP")
 
 
+ROUTES = {
+    "SELECT full_name FROM DIM_EMPLOYEE": ("OLAP", "default"),
+    "SELECT e.Phone_Number, e.AGE FROM employees e": ("OLTP", "needs age, phone_number"),
+    "SELECT email FROM employees": ("OLTP", "reads employees"),
+    "SELECT count(*) FROM (SELECT 1 FROM jobs j JOIN departments d ON true) x": ("OLTP", "reads departments, jobs"),
+    "SELECT full_name AS phone_number FROM dim_employee": ("OLAP", "default"),
+    "SELECT 'phone_number', full_name FROM dim_employee -- manager_id": ("OLAP", "default"),
+    "SELECT full_name /* of all\n employees */ FROM dim_employee": ("OLAP", "default"),
+    "WITH employees AS (SELECT full_name FROM dim_employee) SELECT * FROM employees": ("OLAP", "default"),
+    "WITH a AS (SELECT manager_id FROM employees) SELECT * FROM a": ("OLTP", "needs manager_id"),
+    "SELECT full_name FROM dim_employee WHERE employee_id IN (SELECT employee_id FROM employees WHERE age > 40)":
+        ("OLTP", "needs age"),
+    "SELECT max(`marital_status`) OVER (PARTITION BY department_id) FROM employees ORDER BY gender;":
+        ("OLTP", "needs gender, marital_status"),
+    "SELECT 1": ("OLAP", "default"),
+}
+
+
+def test_texts_and_plans_route_alike(spark):
+    df = spark.createDataFrame([(t,) for t in [*ROUTES, "", None]], "sql_text STRING")
+    found = {r.sql_text: (r.layer, r.reason) for r in routing.routed(df).collect()}
+    assert found == {**ROUTES, "": ("OLAP", "default"), None: ("OLAP", "default")}
+    assert {text: adhoc.route(spark, text) for text in ROUTES} == ROUTES
+
+
+def test_guarded_query_finds_its_layer(loaded):
+    found = adhoc.run_guarded(loaded.store, "SELECT employee_id, total_working_years FROM EMPLOYEES LIMIT 7")
+    assert found.count() == 7
+    assert adhoc.run_guarded(loaded.store, "SELECT COUNT(*) AS n FROM DIM_EMPLOYEE").first().n > 0
+    with pytest.raises(adhoc.RejectedQuery):  # needs both layers at once
+        adhoc.run_guarded(loaded.store, "SELECT e.age FROM employees e JOIN dim_employee d ON true")
+
+
 def test_guarded_query_leaves_no_views_behind(spark, loaded):
     adhoc.run_guarded(loaded.store, "SELECT 1")
     assert "dim_employee" not in {t.name for t in spark.catalog.listTables()}

@@ -130,8 +130,8 @@ def test_raises_compound_with_rounding_at_every_step(spark):
                 expected[employee] = raised
     wanted = sorted(((i, v) for i, v in expected.items()), key=repr)
     employees = _employees(spark, incomes)
-    for run in (1000, 30):  # one round, several
-        raised = changes.apply_raises(_raises(spark, requests).repartition(5), employees, run)
+    for parts in (1, 5):
+        raised = changes.apply_raises(_raises(spark, requests).repartition(parts), employees)
         assert rows(raised.employees, "employee_id", "monthly_income") == wanted
         reasons = {(r.employee_id, r.reason) for r in raised.rejected.collect()}
         assert (9, changes.NO_EMPLOYEE) in reasons and (1, changes.NOT_POSITIVE) in reasons
@@ -168,8 +168,8 @@ def test_changes_before_the_current_version_are_rejected(spark):
 
 def test_half_cents_round_to_even(spark):
     employees = _employees(spark, {1: "0.50", 2: "1.50"})
-    for run in (10, 1):
-        raised = changes.apply_raises(_raises(spark, [(1, "1"), (2, "1")]), employees, run)
+    for parts in (1, 3):
+        raised = changes.apply_raises(_raises(spark, [(1, "1"), (2, "1")]).repartition(parts), employees)
         assert rows(raised.employees, "employee_id", "monthly_income") == [(1, Decimal("0.50")), (2, Decimal("1.52"))]
 
 
@@ -226,3 +226,28 @@ def test_role_updates_change_both_layers_together(spark, loaded):
     job = loaded["jobs"].filter("job_id = 2").first()
     assert len(version) == 1 and version[0].job_role == job.job_role and version[0].department_id == 2
     assert version[0].attrition == employee.attrition
+
+
+def test_a_million_raises_of_one_employee_take_no_more_jobs(spark):
+    employees = _employees(spark, {1: "1000.00", 2: "2000.00"})
+
+    def run(n):
+        requests = spark.range(n).select(
+            F.col("id").alias("request_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+            F.when(F.col("id") == 7, 2).otherwise(1).alias("employee_id"),
+            ((F.col("id") % 3 + 1) / 1000).cast("decimal(6,3)").alias("percent"),
+        )
+        group = f"raises-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        found = dict(rows(changes.apply_raises(requests, employees).employees, "employee_id", "monthly_income"))
+        spark.sparkContext.setJobGroup("", "")
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    income, cent = Decimal("1000.00"), Decimal("0.01")
+    for i in range(1_000_000):
+        if i != 7:
+            raised = (income * (100 + Decimal(i % 3 + 1) / 1000) / 100).quantize(cent, ROUND_HALF_EVEN)
+            income = raised if raised <= Decimal("99999999.99") else income
+    (_, few), (found, many) = run(1000), run(1_000_000)
+    assert found == {1: income, 2: Decimal("2000.04")}
+    assert many <= few + 1

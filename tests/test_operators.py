@@ -55,7 +55,7 @@ def test_keep_one_prefers_the_order(spark):
     assert rows(one) == [(1, 1, 5), (2, 0, 1)]
 
 
-@pytest.mark.parametrize("n", [3, merge._NATIVE_GROUP_LIMIT + 200])
+@pytest.mark.parametrize("n", [3, 1200])
 def test_top_n_below_and_beyond_the_native_limit(spark, n):
     df = spark.range(4000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
     top = merge.top_n_per_group(df, ["g"], [F.desc("v")], n, "rnk")

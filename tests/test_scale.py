@@ -15,7 +15,7 @@ from rosterlake.operators.merge import keep_one
 from rosterlake.plans import olap, oltp, quality, registry
 from rosterlake.plans.load import LoadConfig, run_full_load
 from rosterlake.sources import driver_tables as source
-from rosterlake.sources.snapshots import SnapshotStore
+from rosterlake.sources.tables import Tables
 
 
 def plan_of(df) -> str:
@@ -109,7 +109,7 @@ def hot_staging(spark, sf_dir):
 
 
 def test_hot_employee_loads_whole(spark, hot_staging, store_root):
-    store = SnapshotStore(spark, store_root)
+    store = Tables(spark, store_root)
     tables = run_full_load(spark, hot_staging, store, LoadConfig("1990-01-01", "2035-12-31")).tables
     days = hot_staging.select("employee_id", "effective_start_date").distinct()
     assert tables["dim_employee"].count() == days.count()
