@@ -448,6 +448,7 @@ def _searcher(names: list, texts: list[bytes], index: Index, schema: T.StructTyp
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no item, all columns; rows with a null id are judged by their text."""
-    marked = docs.withColumn("__key", F.to_json(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("t"))))
-    found = search(marked, items, "__key", text_col).select(F.col("doc_id").alias("__key")).distinct()
-    return marked.join(found, "__key", "left_anti").select(*docs.columns)
+    key = F.to_json(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("t")))
+    marked = docs.select(F.struct("*").alias("doc"), key.alias("key"), F.col(text_col).alias("text"))
+    found = search(marked, items, "key", "text").select(F.col("doc_id").alias("key")).distinct()
+    return marked.join(found, "key", "left_anti").select("doc.*")

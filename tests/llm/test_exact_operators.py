@@ -72,6 +72,52 @@ def test_words_that_share_a_hash_stay_apart(spark):
     assert {r.doc_id: r.decoded for r in bpe.round_trip(docs).collect()} == dict(rows)
 
 
+def test_many_secrets_in_one_long_text(spark):
+    """Positions, overlaps and redaction of 100,000 matches of all kinds in one text."""
+    rng = random.Random(9)
+    kinds = [
+        lambda: "password: " + "".join(rng.choices("abcXYZ019", k=9)),
+        lambda: "AKIA" + "".join(rng.choices("ABC789", k=16)),
+        lambda: "".join(rng.choices("0123456789abcdef", k=24)),
+        lambda: "Zé" + "".join(rng.choices("ghXY12-_", k=22)),
+        lambda: "token=" + "".join(rng.choices("0123456789abcdef", k=30)),
+    ]
+    text = " ü ".join(kinds[n % 5]() for n in range(100_000))
+    docs = spark.createDataFrame([(1, text, "a"), (2, "none", "b")], "doc_id long, text string, source string")
+    row = by_id(secret_scan.scan(docs).collect())[1]
+    shown = ",".join(f"{secret_scan.KINDS[s.kind]}:{s.start}:{s.end}" for s in row.base)
+    assert shown == base_spans(text)
+    spans = [(s.start, s.end) for s in row.spans if s.kind == 3]
+    assert len(spans) > 15_000 and all(len(text[a:b]) >= 20 for a, b in spans)
+    held = by_id(secret_scan.redact(docs).collect())
+    assert held[2].text == "none"
+    covered = bytearray(len(text))
+    for s in row.spans:
+        covered[s.start : s.end] = b"\1" * (s.end - s.start)
+    expected, at = [], 0
+    while at < len(text):
+        if covered[at]:
+            expected.append("[SECRET]")
+            while at < len(text) and covered[at]:
+                at += 1
+        else:
+            expected.append(text[at])
+            at += 1
+    # Spans that only touch are two marks.
+    assert held[1].text.replace("[SECRET][SECRET]", "[SECRET]") == "".join(expected)
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["__id", "__text", "__i", "__t", "__spans", "key", "doc", "wide", "spans", "hidden", "row", "__key", "item"]
+    values = [f"own {n}" for n in names]
+    docs = spark.createDataFrame([(1, "password: hunter2hunter2 x", "s", *values)], ["doc_id", "text", "source", *names])
+    (row,) = secret_scan.redact(docs).collect()
+    assert row.text == "[SECRET] x" and [row[n] for n in names] == values
+    items = spark.createDataFrame([(1, "a benchmark item that is nowhere else")], "item_id long, text string")
+    (row,) = decontaminate.clean(docs, items).collect()
+    assert [row[n] for n in names] == values and row.text == "password: hunter2hunter2 x"
+
+
 def test_bpe_edges(spark):
     rows = bpe.round_trip(edge_documents(spark)).collect()
     assert sorted(r.decoded for r in rows) == sorted(t or "" for _, t in EDGE_TEXTS)
