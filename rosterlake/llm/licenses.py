@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rosterlake.llm import sums
 from rosterlake.llm.arrays import prefix_hashes, ragged, runs, span_hashes
 from rosterlake.llm.shipping import ship
 from rosterlake.session import materialise
@@ -207,6 +209,38 @@ def _windows_of(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(cut, "key long, words binary")
 
 
+def _distinct_sums(slots: np.ndarray, first: np.ndarray, size: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sums of the weights of the distinct slots of every window: differences of running sums, less
+    the slots that stand in the window before."""
+    sums = np.zeros((len(slots) + 1, weights.shape[1]))
+    np.cumsum(weights[slots], axis=0, out=sums[1:])
+    found = sums[first + size] - sums[first]
+    order = np.argsort(slots.astype(np.uint16), kind="stable")
+    same = np.flatnonzero(slots[order[1:]] == slots[order[:-1]])
+    before = np.full(len(slots), -1)
+    before[order[same + 1]] = order[same]
+    again = np.flatnonzero((before >= 0) & (np.arange(len(slots)) - before < WINDOW))
+    low, high = np.searchsorted(again, first), np.searchsorted(again, first + size)
+    window, at = np.repeat(np.arange(len(first)), high - low), ragged(again, low, high - low)
+    inside = before[at] >= first[window]
+    window, at = window[inside], at[inside]
+    if len(window):
+        begins = np.flatnonzero(np.diff(window, prepend=-1))
+        found[window[begins]] -= np.add.reduceat(weights[slots[at]], begins, axis=0)
+    return found
+
+
+def class_chances(
+    hashes: np.ndarray, first: np.ndarray, size: np.ndarray, weights: np.ndarray, bias: np.ndarray
+) -> np.ndarray:
+    """windows x classes; a gram counts once in a window."""
+    one, two = grams(np.append(hashes, np.uint64(0)))
+    logits = _distinct_sums(one[: len(hashes)], first, size, weights) + bias
+    logits += _distinct_sums(two, first, size - 1, weights)
+    logits = np.exp(logits - logits.max(1, keepdims=True))
+    return logits / logits.sum(1, keepdims=True)
+
+
 def _template_grams() -> list[list[np.ndarray]]:
     """For every family, the pairs of words of each template sentence."""
     return [[np.unique(grams(words)[1]) if len(words) > 1 else grams(words)[0] for words in _of(list(t))] for t in TEMPLATES.values()]
@@ -275,19 +309,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
         spark.createDataFrame(rows, schema)
     )
     n_classes = fitted.numClasses
-    weights = fitted.coefficientMatrix.toArray().T.astype(np.float32)
-    bias = fitted.interceptVector.toArray().astype(np.float32)
+    weights = fitted.coefficientMatrix.toArray().T.astype(np.float64)
+    bias = fitted.interceptVector.toArray()
+    paired = np.zeros(SLOTS, np.int64)
+    paired[np.concatenate([t for family in templates for t in family])] = 1
 
     def chances(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """windows x classes; a gram counts once in a window."""
-        one, two = grams(np.append(hashes, np.uint64(0)))
-        owner = np.arange(len(first))
-        keys = np.concatenate([np.repeat(owner, size) * SLOTS + ragged(one, first, size), np.repeat(owner, size - 1) * SLOTS + ragged(two, first, size - 1)])
-        keys = np.unique(keys)
-        at = np.searchsorted(keys, owner * SLOTS)
-        logits = np.add.reduceat(weights[keys % SLOTS], at, axis=0) + bias
-        logits = np.exp(logits - logits.max(1, keepdims=True))
-        return logits / logits.sum(1, keepdims=True)
+        return class_chances(hashes, first, size, weights, bias)
+
+    def template_pairs(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Pairs of words in every window that some template has too."""
+        pairs = np.concatenate([[0], np.cumsum(paired[grams(np.append(hashes, np.uint64(0)))[1]])])
+        return pairs[first + size - 1] - pairs[first]
 
     def measure(batches):
         total = np.zeros(BINS + 1, np.int64)
@@ -295,18 +328,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
             hashes, first, size, _ = windows(data, offsets)
             if not len(first):
                 continue
-            plain = agreements(hashes, first, size, templates).max(1) < AGREEMENT / 2
-            known = 1 - chances(hashes, first[plain], size[plain])[:, 0] if plain.any() else np.zeros(0)
-            total += np.bincount((known * BINS).astype(np.int64).clip(0, BINS), minlength=BINS + 1)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["at", "n"])
-
-    measured = docs.select(F.col(text_col).alias("text")).mapInArrow(measure, "at long, n long")
-    threshold = max(0.5, chance_passed_by(measured.groupBy("at").agg(F.sum("n").alias("n")).collect(), FALSE_ALARMS))
+            plain = np.ones(len(first), bool)
+            # A window without a pair of a template resembles none.
+            some = np.flatnonzero(template_pairs(hashes, first, size))
+            plain[some] = agreements(hashes, first[some], size[some], templates).max(1, initial=0.0) < AGREEMENT / 2
+            if plain.any():
+                known = 1 - chances(hashes, first[plain], size[plain])[:, 0]
+                total += np.bincount((known * BINS).astype(np.int64).clip(0, BINS), minlength=BINS + 1)
+        yield from sums.packed(TaskContext.get().partitionId(), total)
+
+    measured = docs.select(F.col(text_col).alias("text")).mapInArrow(measure, sums.SCHEMA)
+    threshold = max(0.5, chance_passed_by(list(enumerate(sums.total(measured, BINS + 1).tolist())), FALSE_ALARMS))
     held = [set(np.concatenate(family).tolist()) for family in templates]
     least = min(int(np.ceil(AGREEMENT * min(len(t), 5))) for family in templates for t in family)
-    paired = np.zeros(SLOTS, np.int64)
-    paired[np.concatenate([t for family in templates for t in family])] = 1
     kind = docs.schema[id_col].dataType.simpleString()
     target = f"doc_id {kind}, family string, n_windows int, probability double, agreement double"
 
@@ -316,8 +350,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
             if not len(first):
                 continue
             # A window with fewer pairs of the templates agrees with none of them.
-            pairs = np.concatenate([[0], np.cumsum(paired[grams(np.append(hashes, np.uint64(0)))[1]])])
-            near = np.flatnonzero(pairs[first + size - 1] - pairs[first] >= least)
+            near = np.flatnonzero(template_pairs(hashes, first, size) >= least)
             close = agreements(hashes, first[near], size[near], templates)
             agreeing = close.max(1, initial=0.0) >= AGREEMENT
             near, close = near[agreeing], close[agreeing]

@@ -193,6 +193,23 @@ def test_the_reporting_chance_counts_every_window():
     assert licenses.chance_passed_by([], 0.001) == 0.0
 
 
+def test_chances_of_windows_equal_a_scan_of_each():
+    rng = np.random.default_rng(8)
+    text = " ".join(rng.choice(["the", "license", "of", "mit", "granted", "xyz", "under", "a"], 900)) + "\n"
+    data = np.frombuffer((text + text[:300] + "\n\n" + "the the the the\nmit mit").encode(), np.uint8)
+    hashes, first, size, _ = licenses.windows(data, np.array([0, len(text), len(data)], np.int64))
+    weights, bias = rng.normal(size=(licenses.SLOTS, 4)), rng.normal(size=4)
+    found = licenses.class_chances(hashes, first, size, weights, bias)
+    assert len(first) > 50
+    for k in range(len(first)):
+        words = hashes[first[k] : first[k] + size[k]]
+        slots = {*licenses.grams(words)[0].tolist()}
+        pairs = {*licenses.grams(words)[1].tolist()} if len(words) > 1 else set()
+        logits = bias + sum(weights[s] for s in slots) + sum(weights[s] for s in pairs)
+        expected = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert np.allclose(found[k], expected)
+
+
 def test_license_in_long_lines_and_edges(spark):
     filler = "plain words without any meaning stand here for a while and then some more of them follow "
     gpl = licenses.TEMPLATES["gpl-3.0"][0]
