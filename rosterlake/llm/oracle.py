@@ -8,7 +8,7 @@ _STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
 
 _QUALITY = rf"""
 WITH split AS (
-  SELECT doc_id, coalesce(text, '') AS text,
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang IN ('en', 'de', 'fr', 'es'), false) AS covered,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
     list_filter(string_split(coalesce(text, ''), chr(10)),
       lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
@@ -23,7 +23,7 @@ covered AS (
   SELECT doc_id, count(DISTINCT p)::BIGINT AS n
   FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM repeated) GROUP BY doc_id),
 measured AS (
-  SELECT words.doc_id, n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+  SELECT words.doc_id, covered, n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
@@ -36,8 +36,8 @@ measured AS (
 judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words <= 1000000 AND word_chars / per_word BETWEEN 2.0 AND 25.0
-    AND n_symbols / per_word <= 0.25 AND shouts / per_word <= 0.25 AND stop_words / per_word >= 0.02
+  NOT base_failed AND word_chars / per_word BETWEEN 2.0 AND 25.0
+    AND n_symbols / per_word <= 0.25 AND shouts / per_word <= 0.25 AND (NOT covered OR stop_words / per_word >= 0.02)
     AND n_dup_lines / per_line <= 0.5 AND bullets / per_line <= 0.9 AND ellipses / per_line <= 0.5 AS kept
 FROM judged"""
 

@@ -1,7 +1,9 @@
 """Quality rules: a threshold table compiled into one projection, without user functions.
 
 Words are runs of `[^\\x20\\x09-\\x0D]`. A null text counts as empty: it has no words and is
-rejected. Rows are judged one by one, so repeated rows and empty tables need no special case.
+rejected. Rows are judged one by one, so repeated rows and empty tables need no special case. No text
+goes for its length, and the stop-word rule judges only texts whose language column names one of the
+languages that the list covers; without that column it judges none.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.llm.columns import total, whole_text, words_of
+from rosterlake.llm.columns import total, words_of
 
 WINDOW = 8
 #: Frequent words of English, German, French and Spanish.
@@ -19,10 +21,10 @@ STOP_WORDS = (
     "le la les de des et un une est que qui dans pour pas sur du au avec elle il ne se "
     "el los las del y en que por con para una su al lo como más o"
 ).split()
-#: (rule, metric, kind of bound, bound). A text is kept if no rule fails.
+STOP_WORD_LANGUAGES = ("en", "de", "fr", "es")
+#: (rule, metric, kind of bound, bound). A text is kept if no rule fails; a missing metric breaks none.
 THRESHOLDS = (
     ("too_few_words", "n_words", "min", 20),
-    ("too_many_words", "n_words", "max", 1_000_000),
     ("short_words", "mean_word_chars", "min", 2.0),
     ("long_words", "mean_word_chars", "max", 25.0),
     ("symbols", "symbols_per_word", "max", 0.25),
@@ -60,8 +62,12 @@ def _covered(starts: Column) -> Column:
     )
 
 
-def text_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_metrics(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
     """One row per row of docs: the id and the metrics that the thresholds name."""
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None)
+    covered = F.coalesce(lang.isin(*STOP_WORD_LANGUAGES), F.lit(False))
     words = F.col("words")
     starts = F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW)
     long_enough = F.col("n_words") >= WINDOW
@@ -71,9 +77,10 @@ def text_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.slice(words, i + 1, WINDOW)
 
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    split = whole_text(docs, id_col, text_col).select(
-        "doc_id", "text", words_of(F.col("text")).alias("words"), lines.alias("lines")
+    split = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), covered.alias("covered")
     )
+    split = split.select("doc_id", "text", "covered", words_of(F.col("text")).alias("words"), lines.alias("lines"))
     sized = split.withColumn("n_words", F.size("words").cast("long"))
     # Equal windows have equal hashes: only texts with a repeated hash need the windows themselves.
     # Hashes of 8 words come from hashes of 4, 2 and 1, so that a word is read once.
@@ -101,7 +108,7 @@ def text_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         dup_lines.alias("n_dup_lines"),
         F.coalesce(F.when(F.col("suspect"), _covered(F.col("starts"))), F.lit(0)).cast("long").alias("n_repeat_words"),
         ((F.char_length("text") - F.char_length(F.replace("text", F.lit("!"), F.lit("")))) / per_word).alias("shouts_per_word"),
-        (F.size(stop) / per_word).alias("stop_word_ratio"),
+        F.when(F.col("covered"), F.size(stop) / per_word).alias("stop_word_ratio"),
         (dup_lines / per_line).alias("dup_line_ratio"),
         (F.size(F.filter("lines", lambda x: x.rlike(r"^\s*[-*•]"))) / per_line).alias("bullet_line_ratio"),
         (F.size(F.filter("lines", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))) / per_line).alias("ellipsis_line_ratio"),
@@ -126,20 +133,23 @@ def failed_rules(thresholds=THRESHOLDS) -> Column:
     return F.filter(found, lambda name: name.isNotNull())
 
 
-def judge(docs: DataFrame, thresholds=THRESHOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(
+    docs: DataFrame, thresholds=THRESHOLDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
     """Metrics, base verdict, broken rules and `kept` for every row of docs."""
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    judged = text_metrics(docs, id_col, text_col).withColumns(
+    judged = text_metrics(docs, id_col, text_col, lang_col).withColumns(
         {"base_failed": base, "failed_rules": failed_rules(thresholds)}
     )
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
-
-
-def keep(docs: DataFrame, thresholds=THRESHOLDS, text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, thresholds=THRESHOLDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that no rule rejects, all columns."""
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"), lang.alias("lang")
+    )
     # The row number keeps the filter above the projections: pushed through them, it would repeat
     # every shared expression.
     judged = judge(rows, thresholds, "row", "text").select("doc_id", "kept", F.monotonically_increasing_id().alias("n"))

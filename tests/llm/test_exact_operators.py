@@ -118,6 +118,19 @@ def test_columns_of_any_name_stay(spark):
     assert [row[n] for n in names] == values and row.text == "password: hunter2hunter2 x"
 
 
+def test_long_texts_and_other_languages_are_kept(spark):
+    russian = "Утром она вышла из дома и увидела, что на улице идёт снег, а дети уже лепят большую снежную бабу у ворот старого дома"
+    unlike = "crash quartz jumped vexing blighted dwarfs symphony lapsed frozen gulp " * 3
+    rows = [(1, russian, "ru"), (2, russian, None), (3, unlike, "en"), (4, unlike, "pl"),
+            (5, " ".join(f"the{n} word{n}" for n in range(600_000)), "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    thresholds = [t for t in quality_rules.THRESHOLDS if t[0] != "repeated_lines"]
+    kept = {r.doc_id: (r.base_failed, r.failed_rules) for r in quality_rules.judge(docs, thresholds).collect()}
+    assert kept[1] == kept[2] == kept[5] == (False, [])
+    assert kept[3][1] == ["few_stop_words"] and kept[4][1] == []
+    assert {r.doc_id for r in quality_rules.keep(docs.filter("doc_id < 3").drop("lang")).collect()} == {1, 2}
+
+
 def test_bpe_edges(spark):
     rows = bpe.round_trip(edge_documents(spark)).collect()
     assert sorted(r.decoded for r in rows) == sorted(t or "" for _, t in EDGE_TEXTS)
