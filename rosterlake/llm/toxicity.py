@@ -1,11 +1,16 @@
 """Toxicity: one Kneser-Ney model of characters for toxic text and one for ordinary text.
 
-Texts are folded to 32 symbols (a to z, four classes of other letters, digits, and one sign for
-all else). Counts of four-symbol runs per class come from all labelled documents; both models back
-off to the same continuation counts over both classes, so that rare expressions, seen in neither,
-say nothing. A document's score is the difference of its log-likelihoods per symbol, calibrated by
-isotonic regression on binned values of the learning documents, each measured by models of the other
-half of them, as a model flatters what it has seen. A model has 32**4 entries.
+Symbols are code points in lower case, white space as one blank. Runs of `ORDER` symbols are counted per class in all
+labelled documents; the counts are rows of a table that grows with the labelled text. Both models
+back off to the same continuation counts over both classes, so that rare expressions, seen in
+neither, say nothing but how open their context is. A passage of `PASSAGE` runs is measured by the
+difference of its log-likelihoods per run, and a document by its most toxic passage, since a few words
+make a long text toxic. Isotonic regression over the learning documents turns that into a
+chance; each of them is measured by models of the other half, as a model flatters what it has seen.
+
+Documents travel in blocks of bounded size, each with its distinct runs. Runs are dealt by their
+context to parts, where they meet the model and go back with their ratios; neither the model nor the
+runs of the corpus are gathered anywhere. Runs are told apart by 64-bit hashes.
 
 Without labelled rows of both classes every score is 0. A text without symbols scores as a
 difference of 0. One row per row of the input; repeated rows get equal scores.
@@ -13,117 +18,379 @@ difference of 0. One row per row of the input; repeated rows get equal scores.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from rosterlake.llm.arrays import runs
+from rosterlake.llm.arrays import mixed, runs
 from rosterlake.llm.labels import isotonic
-from rosterlake.llm.letters import LETTER, NUMBER, classes, folded
+from rosterlake.llm.letters import SPACE, classes
 from rosterlake.llm.shipping import ship
 from rosterlake.session import materialise
 
-SYMBOLS = 32
 ORDER = 4
 DISCOUNT = 0.75
+PASSAGE = 20
 BINS = 20_000
+BLOCK_BYTES = 8 << 20
+#: Distinct runs of blocks for each part.
+PART_RUNS = 2_000_000
 _COUNTS = ("toxic", "ordinary", "toxic_half", "ordinary_half")
+_SYMBOLS = ("s0", "s1", "s2", "s3")
+_MODELS = ("whole", "apart_0", "apart_1")
 _TABLE: dict[str, np.ndarray] = {}
 
 
+# --- runs of symbols ---------------------------------------------------------------------
+
+
 def _symbol_table() -> np.ndarray:
     if "symbols" not in _TABLE:
-        low, kinds = folded(), classes()
-        table = np.zeros(len(low), np.uint8)
-        letters = kinds == LETTER
-        table[letters] = 27 + low[letters] % 4
-        latin = letters & (low >= 97) & (low <= 122)
-        table[latin] = low[latin] - 96
-        table[kinds == NUMBER] = 31
-        _TABLE["symbols"] = table
+        found = np.arange(0x110000, dtype=np.uint32)
+        for c in range(0x1E944):
+            if not 0xD800 <= c < 0xE000 and len(low := chr(c).lower()) == 1:
+                found[c] = ord(low)
+        found[classes() == SPACE] = 32
+        found[0] = 32
+        _TABLE["symbols"] = found
     return _TABLE["symbols"]
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, rows) of all runs of ORDER symbols; every text is padded in front."""
-    listed = ["" if t is None else t for t in texts.to_pylist()]
-    joined = " " + " ".join(listed) + " "
-    symbols = _symbol_table()[np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
-    rows = np.concatenate([[0], np.repeat(np.arange(len(listed) + 1), np.array([*map(len, listed), 0]) + 1)])
-    rows = rows[: len(symbols)]
+def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of every run, ORDER to each; its row) of rows of bytes. A run ends at every symbol of
+    a text but leading blanks; 0 stands before a text."""
+    text = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
+    points = np.frombuffer("".join(text).encode("utf-32-le", "replace"), np.uint32)
+    rows = np.repeat(np.arange(len(text)), [len(t) for t in text])
+    symbols = _symbol_table()[points]
     kept = np.ones(len(symbols), bool)
-    kept[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0)
-    symbols, rows = symbols[kept].astype(np.int64), rows[kept]
-    n = len(symbols)
-    padded = np.concatenate([np.zeros(ORDER - 1, np.int64), symbols])
-    owners = np.concatenate([np.full(ORDER - 1, -1), rows])
-    codes = np.zeros(n, np.int64)
-    for k in range(ORDER):  # symbols of the text before count as none
-        before = np.where(owners[k : k + n] == rows, padded[k : k + n], 0)
-        codes = codes * SYMBOLS + before
-    real = codes % SYMBOLS**2 != 0  # no sign after a sign, and no sign before a text
-    return codes[real], np.minimum(rows[real], max(len(listed) - 1, 0))
-
-
-def counts(labelled: DataFrame, text_col: str = "text", label_col: str = "label", half_col: str = "half") -> DataFrame:
-    """(code, toxic, ordinary, toxic_half, ordinary_half): counts of the runs over all labelled
+    first = np.append(True, rows[1:] != rows[:-1]) if len(rows) else np.zeros(0, bool)
+    kept[1:] = (symbols[1:] != 32) | (symbols[:-1] != 32)
+    kept[first] = symbols[first] != 32  # no blank after a blank, nor before a text
+    symbols, rows = symbols[kept], rows[kept]
+    columns = np.zeros((len(symbols), ORDER), np.uint32)
+    for k in range(ORDER):
+        back = ORDER - 1 - k
+        columns[back:, k] = symbols[: len(symbols) - back] if back else symbols
+        columns[back:, k][rows[back:] != rows[: len(rows) - back]] = 0
+    return columns, rows
+
+
+def keys_of(columns: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs; those of a context leave out the last symbol."""
+    found = np.zeros(len(columns), np.uint64)
+    for k in range(columns.shape[1]):
+        found = mixed(found + columns[:, k].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
+    return found
+
+
+def _distinct(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys ascending, symbols, number of every run)."""
+    keys, first, number = np.unique(keys_of(columns), return_index=True, return_inverse=True)
+    return keys, columns[first], number
+
+
+def _squeeze(numbers: np.ndarray) -> bytes:
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(planes)
+
+
+def _spread(packed: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+# --- the corpus in blocks ----------------------------------------------------------------
+
+
+def _blocks(labelled: DataFrame) -> DataFrame:
+    """One row per block of (doc_id, label, half, text): its rows, their texts, and its distinct runs
+    with their counts in the labelled rows of each class and half."""
+    binary = T.BinaryType()
+    fields = {
+        "block": T.LongType(), "doc_ids": T.ArrayType(labelled.schema["doc_id"].dataType),
+        "labels": T.ArrayType(T.DoubleType()), "halves": T.ArrayType(T.IntegerType()),
+        "sizes": binary, "texts": binary, "symbols": binary, "counts": binary, "n_runs": T.LongType(),
+    }
+    schema = T.StructType([T.StructField(n, k) for n, k in fields.items()])
+    target = to_arrow_schema(schema)
+
+    def close(number, rows, texts, sizes, symbols, counts):
+        every, totals = np.concatenate(symbols), np.concatenate(counts, axis=1)
+        _, distinct, position = _distinct(every)
+        summed = np.zeros((len(_COUNTS), len(distinct)), np.uint32)
+        for k in range(len(_COUNTS)):
+            summed[k] = np.bincount(position, totals[k], minlength=len(distinct))
+        columns = [pa.concat_arrays([r.column(k) for r in rows]) for k in range(3)]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+        packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        values = [_squeeze(np.concatenate(sizes)), packed, _squeeze(distinct.ravel()), _squeeze(summed.ravel())]
+        arrays = [pa.array([number], pa.int64()), *lists, *(pa.array([v], pa.binary()) for v in values)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([len(distinct)], pa.int64())], schema=target)
+
+    def cut(batches):
+        number = TaskContext.get().partitionId() << 32
+        held, size = ([], [], [], [], []), 0
+        for batch, data, offsets in runs(batches):
+            columns, rows = grams(data, offsets)
+            _, distinct, position = _distinct(columns)
+            label = batch.column(1).to_numpy(zero_copy_only=False)
+            toxic, ordinary = label >= 0.5, label < 0.5  # neither without a label
+            half = batch.column(2).to_numpy(zero_copy_only=False) == 1
+            members = (toxic, ordinary, toxic & half, ordinary & half)
+            counts = np.stack([np.bincount(position[m[rows]], minlength=len(distinct)) for m in members])
+            for part, value in zip(held, (batch, data.tobytes(), np.diff(offsets), distinct, counts)):
+                part.append(value)
+            size += len(data)
+            if size >= BLOCK_BYTES:
+                yield close(number, *held)
+                number, held, size = number + 1, ([], [], [], [], []), 0
+        if held[0]:
+            yield close(number, *held)
+
+    return materialise(labelled.select("doc_id", "label", "half", "text").mapInArrow(cut, schema), "toxicity-blocks")
+
+
+def _part(symbols: np.ndarray, parts: int) -> np.ndarray:
+    """Where a run meets the model: by its context, so that runs of a context are together."""
+    return (keys_of(symbols[:, :-1]) % np.uint64(parts)).astype(np.int64)
+
+
+def counts(blocks: DataFrame, parts: int) -> DataFrame:
+    """(s0 .. s3, toxic, ordinary, toxic_half, ordinary_half): counts of the runs over all labelled
     rows, and over those of half 1."""
 
-    def count(batches):
-        total = np.zeros((4, SYMBOLS**ORDER), np.int64)
-        for batch, _, _ in runs(batches):
-            ordinary, half = np.asarray(batch.column(0)) < 0.5, np.asarray(batch.column(1)) == 1
-            codes, rows = grams(batch.column(2))
-            for k, members in enumerate((~ordinary, ordinary, ~ordinary & half, ordinary & half)):
-                total[k] += np.bincount(codes[members[rows]], minlength=SYMBOLS**ORDER)
-        used = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (used, *total[:, used])], names=["code", *_COUNTS])
-
-    rows = labelled.select(F.col(label_col).alias("label"), F.col(half_col).alias("half"), F.col(text_col).alias("text"))
-    parts = rows.mapInArrow(count, "code long, " + ", ".join(f"{c} long" for c in _COUNTS))
-    return parts.groupBy("code").agg(*[F.sum(c).alias(c) for c in _COUNTS])
-
-
-def shared_backoff(pooled: np.ndarray) -> np.ndarray:
-    """Kneser-Ney probabilities of the last symbol after ORDER - 2 others, from the number of
-    different symbols before each run, for both classes together."""
-    kinds = pooled.reshape([SYMBOLS] * ORDER) > 0
-    lower = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    for order in range(1, ORDER):
-        # Distinct longer runs that end in this one.
-        seen = kinds.any(tuple(range(ORDER - 1 - order))) if order < ORDER - 1 else kinds
-        continued = seen.sum(0).astype(np.float64)
-        total = continued.sum(-1, keepdims=True)
-        left = DISCOUNT * (continued > 0).sum(-1, keepdims=True)
-        found = np.where(
-            total > 0, (np.maximum(continued - DISCOUNT, 0) + left * lower) / np.maximum(total, 1), lower
-        )
-        lower = np.broadcast_to(found, [SYMBOLS] * order)
-        if order < ORDER - 1:
-            lower = lower[None]
-    return lower
-
-
-def class_model(own: np.ndarray, backoff: np.ndarray) -> np.ndarray:
-    own = own.reshape([SYMBOLS] * ORDER).astype(np.float64)
-    total = own.sum(-1, keepdims=True)
-    left = DISCOUNT * (own > 0).sum(-1, keepdims=True)
-    return np.where(total > 0, (np.maximum(own - DISCOUNT, 0) + left * backoff) / np.maximum(total, 1), backoff)
-
-
-def difference(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of every run."""
-    backoff = shared_backoff(toxic + ordinary)
-    ratio = np.log(class_model(toxic, backoff)) - np.log(class_model(ordinary, backoff))
-    return ratio.ravel().astype(np.float32)
-
-
-def _means(texts: pa.Array, ratios: np.ndarray) -> list[np.ndarray]:
-    """Mean ratio per run of every text, for each of the models."""
-    codes, rows = grams(texts)
-    n = np.maximum(np.bincount(rows, minlength=len(texts)), 1)
-    return [np.bincount(rows, ratio[codes], minlength=len(texts)) / n for ratio in ratios]
+    def deal(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                symbols = _spread(row["symbols"], np.uint32).reshape(-1, ORDER)
+                numbers = _spread(row["counts"], np.uint32).reshape(len(_COUNTS), -1)
+                used = numbers.any(0)
+                symbols, numbers = symbols[used], numbers[:, used]
+                part = _part(symbols, parts)
+                for p in np.unique(part).tolist():
+                    mine = part == p
+                    packed = [_squeeze(symbols[mine].ravel()), _squeeze(numbers[:, mine].ravel())]
+                    arrays = [pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["part", "symbols", "counts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, numbers = np.zeros((0, ORDER), np.uint32), np.zeros((len(_COUNTS), 0))
+        for batch in batches:
+            rows = batch.to_pylist()
+            every = np.concatenate([symbols, *(_spread(r["symbols"], np.uint32).reshape(-1, ORDER) for r in rows)])
+            own = [_spread(r["counts"], np.uint32).reshape(len(_COUNTS), -1) for r in rows]
+            totals = np.concatenate([numbers, *own], axis=1)
+            _, symbols, position = _distinct(every)
+            numbers = np.stack([np.bincount(position, t, minlength=len(symbols)) for t in totals])
+        columns = [pa.array(symbols[:, k].astype(np.int32)) for k in range(ORDER)]
+        columns += [pa.array(t.astype(np.int64)) for t in numbers]
+        yield pa.RecordBatch.from_arrays(columns, names=[*_SYMBOLS, *_COUNTS])
+
+    dealt = blocks.select("symbols", "counts").mapInArrow(deal, "part int, symbols binary, counts binary")
+    schema = ", ".join([f"{s} int" for s in _SYMBOLS] + [f"{c} long" for c in _COUNTS])
+    return dealt.groupBy("part").applyInArrow(merge, schema)
+
+
+# --- the models --------------------------------------------------------------------------
+
+
+def _smoothed(count: Column, total: Column, kinds: Column, lower: Column) -> Column:
+    """Absolute discounting: what is taken from the counts goes to the lower order."""
+    left = F.greatest(count - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * lower
+    return F.when(total > 0, left / total).otherwise(lower)
+
+
+def shared_backoff(seen: DataFrame) -> DataFrame:
+    """(s1, s2, s3, backoff): Kneser-Ney probabilities of the last symbol after two others, from the
+    number of different symbols before each run, for both classes together."""
+    s1, s2 = (Window.partitionBy(*c) for c in (("s1", "s2"), ("s2",)))
+
+    def level(df: DataFrame, keys: list[str], context, count: str) -> DataFrame:
+        found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
+        total, kinds = F.sum(count).over(context), F.count(F.lit(1)).over(context)
+        return found.withColumns({f"n{count}": total, f"k{count}": kinds})
+
+    three = level(seen.select("s1", "s2", "s3"), ["s1", "s2", "s3"], s1, "c3")
+    two = level(three.select("s2", "s3"), ["s2", "s3"], s2, "c2")
+    one = two.groupBy("s3").agg(F.count(F.lit(1)).alias("c1"))
+    sums = one.agg(F.sum("c1").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    n, k = float(sums["n"] or 0), float(sums["k"] or 0)
+    last = _smoothed(F.col("c1"), F.lit(n), F.lit(k), F.lit(1.0 / (k + 1)))
+    one = one.select("s3", last.alias("p1"))
+    two = two.join(one, "s3")
+    two = two.select("s2", "s3", _smoothed(F.col("c2"), F.col("nc2"), F.col("kc2"), F.col("p1")).alias("p2"))
+    three = three.join(two, ["s2", "s3"])
+    found = _smoothed(F.col("c3"), F.col("nc3"), F.col("kc3"), F.col("p2"))
+    return three.select("s1", "s2", "s3", found.alias("backoff"))
+
+
+def ratios(counted: DataFrame, toxic: Column, ordinary: Column) -> DataFrame:
+    """(s0 .. s3, toxic_p, ordinary_p, ratio, open): probabilities and log-likelihood ratio of every
+    run seen in a class, and the ratio of runs of its context that neither class has."""
+    seen = counted.select(*_SYMBOLS, toxic.alias("t"), ordinary.alias("o")).filter("t + o > 0")
+    seen = materialise(seen, "toxicity-seen")
+    context = Window.partitionBy("s0", "s1", "s2")
+    found = seen.join(shared_backoff(seen), ["s1", "s2", "s3"])
+    for c in ("t", "o"):
+        total, kinds = F.sum(c).over(context), F.count_if(F.col(c) > 0).over(context)
+        found = found.withColumns({f"n{c}": total, f"k{c}": kinds})
+    p = [_smoothed(F.col(c), F.col(f"n{c}"), F.col(f"k{c}"), F.col("backoff")) for c in ("t", "o")]
+    free = [F.when(F.col(f"n{c}") > 0, DISCOUNT * F.col(f"k{c}") / F.col(f"n{c}")).otherwise(1.0) for c in ("t", "o")]
+    return found.select(
+        *_SYMBOLS, p[0].alias("toxic_p"), p[1].alias("ordinary_p"), F.log(p[0] / p[1]).alias("ratio"),
+        F.log(free[0] / free[1]).alias("open"),
+    )
+
+
+def model(counted: DataFrame) -> DataFrame:
+    """(s0 .. s3 and, for each of `_MODELS`, the ratio and its context's): the model of all labelled rows, the one
+    that measures half 0, of the rows of half 1, and the reverse. NULL where a model has not seen a run."""
+    half = F.col("toxic_half"), F.col("ordinary_half")
+    rest = F.col("toxic") - half[0], F.col("ordinary") - half[1]
+    classes_of = {"whole": (F.col("toxic"), F.col("ordinary")), "apart_0": half, "apart_1": rest}
+    sums = counted.agg(*[F.sum(c).alias(f"{n}_{i}") for n, pair in classes_of.items() for i, c in enumerate(pair)])
+    sums = sums.first()
+    joined = None
+    for name, pair in classes_of.items():
+        # A half without both classes measures like the whole.
+        own = pair if sums[f"{name}_0"] and sums[f"{name}_1"] else classes_of["whole"]
+        found = ratios(counted, *own).select(*_SYMBOLS, F.col("ratio").alias(name), F.col("open").alias(f"{name}_open"))
+        joined = found if joined is None else joined.join(found, list(_SYMBOLS), "left")
+    return joined
+
+
+def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """Values of the keys among the known ones, ascending; missing keys and values stay as given."""
+    if not len(known):
+        return otherwise
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    hit = (known[at] == keys) & ~np.isnan(values[at])
+    return np.where(hit, values[at], otherwise)
+
+
+def _answered(blocks: DataFrame, learned: DataFrame, parts: int) -> DataFrame:
+    """(block, part, answers): the ratios of every block's runs in each of the models."""
+    names = [c for m in _MODELS for c in (m, f"{m}_open")]
+    fields = "part int, block long, symbols binary, " + ", ".join(f"{n} double" for n in names)
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                symbols = _spread(row["symbols"], np.uint32).reshape(-1, ORDER)
+                part = _part(symbols, parts)
+                for p in np.unique(part).tolist():
+                    packed = _squeeze(symbols[part == p].ravel())
+                    arrays = [pa.array([p], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([packed], pa.binary())]
+                    arrays += [pa.nulls(1, pa.float64()) for _ in names]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["part", "block", "symbols", *names])
+
+    def place(batches):
+        for batch in batches:
+            symbols = np.stack([batch.column(k).to_numpy().astype(np.uint32) for k in range(ORDER)], axis=1)
+            arrays = [pa.array(_part(symbols, parts).astype(np.int32)), pa.nulls(len(symbols), pa.int64())]
+            arrays.append(pa.array([s.tobytes() for s in symbols], pa.binary()))
+            yield pa.RecordBatch.from_arrays(
+                [*arrays, *(batch.column(n) for n in names)], names=["part", "block", "symbols", *names]
+            )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, part, known, values = [], 0, [], []
+        for batch in batches:
+            mine = batch.column("block").is_valid().to_numpy(zero_copy_only=False)
+            asked += batch.select(["part", "block", "symbols"]).filter(pa.array(mine)).to_pylist()
+            rest = batch.filter(pa.array(~mine))
+            if rest.num_rows:
+                raw = b"".join(rest.column("symbols").to_pylist())
+                known.append(np.frombuffer(raw, np.uint32).reshape(-1, ORDER))
+                values.append([rest.column(n).to_numpy(zero_copy_only=False) for n in names])
+        symbols = np.concatenate(known) if known else np.zeros((0, ORDER), np.uint32)
+        table = [np.concatenate(c) for c in zip(*values)] if values else [np.zeros(0)] * len(names)
+        whole, context = keys_of(symbols), keys_of(symbols[:, :-1])
+        order, inner = np.argsort(whole), np.argsort(context)
+        for row in asked:
+            own = _spread(row["symbols"], np.uint32).reshape(-1, ORDER)
+            own_keys, own_context = keys_of(own), keys_of(own[:, :-1])
+            found = []
+            for k in range(len(_MODELS)):
+                opened = table[2 * k + 1][inner]
+                seen = ~np.isnan(opened)
+                nothing = np.zeros(len(own))
+                default = _looked_up(own_context, context[inner][seen], opened[seen], nothing)
+                found.append(_looked_up(own_keys, whole[order], table[2 * k][order], default).astype(np.float32))
+            packed = _squeeze(np.concatenate(found))
+            arrays = [pa.array([row["block"]], pa.int64()), pa.array([row["part"]], pa.int32()), pa.array([packed], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", "part", "answers"])
+
+    placed = learned.select(*_SYMBOLS, *names).mapInArrow(place, fields)
+    both = blocks.select("block", "symbols").mapInArrow(ask, fields).union(placed)
+    return both.groupBy("part").applyInArrow(answer, "block long, part int, answers binary")
+
+
+def passages(values: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+    """The highest mean of PASSAGE runs in a row of every row, of all its runs where they are fewer; 0
+    without runs."""
+    sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    size = np.bincount(rows, minlength=n_rows)
+    begin = np.cumsum(size) - size
+    width = np.minimum(size, PASSAGE)
+    at = np.arange(len(values))
+    own = rows
+    inside = at + width[own] <= begin[own] + size[own]
+    at, own = at[inside], own[inside]
+    means = (sums[at + width[own]] - sums[at]) / np.maximum(width[own], 1)
+    found = np.zeros(n_rows)
+    held = np.flatnonzero(size)
+    if len(held):
+        found[held] = np.maximum.reduceat(means, np.searchsorted(own, held))
+    return found
+
+
+def _measured(blocks: DataFrame, answered: DataFrame, parts: int, kind: T.DataType) -> DataFrame:
+    """(doc_id, label, half, ratio, ratio_0, ratio_1): the most toxic passage by each of the models."""
+    names = ["ratio", "ratio_0", "ratio_1"]
+    schema = T.StructType(
+        [T.StructField("doc_id", kind), T.StructField("label", T.DoubleType()), T.StructField("half", T.IntegerType())]
+        + [T.StructField(n, T.DoubleType()) for n in names]
+    )
+    target = to_arrow_schema(schema)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        block = next(r for r in rows if r["doc_ids"] is not None)
+        symbols = _spread(block["symbols"], np.uint32).reshape(-1, ORDER)
+        part, keys = _part(symbols, parts), keys_of(symbols)
+        answers = np.zeros((len(_MODELS), len(keys)), np.float32)
+        for r in rows:
+            if r["doc_ids"] is None:
+                answers[:, part == r["part"]] = _spread(r["answers"], np.float32).reshape(len(_MODELS), -1)
+        texts = pa.array([zstandard.ZstdDecompressor().decompress(block["texts"])], pa.binary())
+        data = np.frombuffer(texts[0].as_buffer(), np.uint8)
+        sizes = _spread(block["sizes"], np.int64)
+        ends = np.cumsum(sizes)
+        first, found = 0, []
+        while first < len(sizes):  # some rows at a time: bounded working arrays
+            low = ends[first] - sizes[first]
+            last = max(first + 1, int(np.searchsorted(ends, low + (1 << 20), "right")))
+            offsets = np.concatenate([[0], ends[first:last] - low])
+            columns, owner = grams(data[low : ends[last - 1]], offsets)
+            at = np.searchsorted(keys, keys_of(columns))
+            found.append(np.stack([passages(a[at], owner, last - first) for a in answers]))
+            first = last
+        means = np.concatenate(found, axis=1) if found else np.zeros((len(_MODELS), 0))
+        columns = [pa.array(block[n], target.field(k).type) for k, n in enumerate(("doc_ids", "labels", "halves"))]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(m, pa.float64()) for m in means)], schema=target)
+
+    stored = blocks.select("block", "doc_ids", "labels", "halves", "sizes", "texts", "symbols")
+    return stored.unionByName(answered, allowMissingColumns=True).groupBy("block").applyInArrow(measure, schema)
 
 
 def classify(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,31 +399,19 @@ def classify(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = known.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
     # Labels grow with the documents: both sides are sorted and merged at every size.
-    labelled = rows.join(known.hint("merge"), "doc_id")
-    table = counts(labelled).toPandas()  # at most SYMBOLS ** ORDER rows
-    seen = np.zeros((4, SYMBOLS**ORDER), np.int64)
-    seen[:, table["code"]] = table[list(_COUNTS)].to_numpy().T
-    toxic, ordinary, *half = seen
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    if not toxic.any() or not ordinary.any():
+    blocks = _blocks(rows.join(known.hint("merge"), "doc_id", "left"))
+    size = blocks.agg(F.sum("n_runs")).first()[0] or 0
+    parts = size // PART_RUNS + 1
+    counted = materialise(counts(blocks, parts), "toxicity-counts")
+    classes_seen = counted.agg(F.sum("toxic"), F.sum("ordinary")).first()
+    if not classes_seen[0] or not classes_seen[1]:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
-    whole = difference(toxic, ordinary)
-    halves = [(half[0], half[1]), (toxic - half[0], ordinary - half[1])]  # of half 1, of half 0
+    learned = materialise(model(counted), "toxicity-model")
+    kind = rows.schema["doc_id"].dataType
+    measured = materialise(_measured(blocks, _answered(blocks, learned, parts), parts, kind), "toxicity-ratios")
     # A document of half 0 is measured by the model of half 1, and the reverse.
-    parts = [difference(*h) if h[0].any() and h[1].any() else whole for h in halves]
-    ratios = np.stack([whole, *parts])
-
-    def measure(batches):
-        for batch, _, _ in runs(batches):
-            means = _means(batch.column(1), ratios)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(m, pa.float64()) for m in means]], names=["doc_id", "ratio", "ratio_0", "ratio_1"]
-            )
-
-    schema = f"doc_id {kind}, ratio double, ratio_0 double, ratio_1 double"
-    measured = materialise(rows.mapInArrow(measure, schema), "toxicity-ratios")
     apart = F.when(F.col("half") == 0, F.col("ratio_0")).otherwise(F.col("ratio_1"))
-    placed = measured.join(known, "doc_id").select(F.rint(apart * BINS).alias("at"), "label")
+    placed = measured.filter("label IS NOT NULL").select(F.rint(apart * BINS).alias("at"), "label")
     bins = placed.groupBy("at").agg(F.avg("label").alias("y"), F.count(F.lit(1)).alias("n")).toPandas()
     bins = bins.sort_values("at")
     steps = bins["at"].to_numpy() / BINS
@@ -167,4 +422,4 @@ def classify(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col
             scores = np.interp(np.asarray(batch.column("ratio")), steps, chances)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
-    return measured.select("doc_id", "ratio").mapInArrow(score, f"doc_id {kind}, score double")
+    return measured.select("doc_id", "ratio").mapInArrow(score, f"doc_id {kind.simpleString()}, score double")

@@ -108,26 +108,130 @@ def test_quality_edges(spark):
 # --- toxicity ----------------------------------------------------------------------------
 
 
-def test_kneser_ney_models_are_distributions():
-    rng = np.random.default_rng(4)
-    own = (rng.random(32**4) < 0.001) * rng.integers(1, 9, 32**4)
-    backoff = toxicity.shared_backoff(own)
-    assert np.allclose(backoff.reshape(-1, 32).sum(1), 1)
-    assert np.allclose(toxicity.class_model(own, backoff).sum(-1), 1)
+def plain_ratios(counts, discount=0.75):
+    """Kneser-Ney as the papers define it, from {run: (toxic, ordinary)}, term by term."""
+    pooled = {g for g, n in counts.items() if sum(n)}
+    tables = {3: Counter(g[1:] for g in pooled)}
+    tables[2] = Counter(g[1:] for g in tables[3])
+    tables[1] = Counter(g[1:] for g in tables[2])
+
+    def lower(g):
+        if not g:
+            return 1 / (len(tables[1]) + 1)
+        table = tables[len(g)]
+        context = [n for h, n in table.items() if h[:-1] == g[:-1]]
+        if not context:
+            return lower(g[1:])
+        return (max(table[g] - discount, 0) + discount * len(context) * lower(g[1:])) / sum(context)
+
+    def own(g, k):
+        context = [n[k] for h, n in counts.items() if h[:-1] == g[:-1] and n[k]]
+        if not context:
+            return lower(g[1:])
+        return (max(counts.get(g, (0, 0))[k] - discount, 0) + discount * len(context) * lower(g[1:])) / sum(context)
+
+    return {g: (own(g, 0), own(g, 1)) for g in pooled}, own
+
+
+def test_models_equal_kneser_ney_and_are_distributions(spark):
+    rng = random.Random(4)
+    counts = Counter()
+    for _ in range(300):
+        counts[tuple(rng.choices([1, 2, 3, 900, 0x1F642], weights=[5, 3, 2, 1, 1], k=4)), rng.randrange(2)] += 1
+    both = {g: (counts[g, 0], counts[g, 1]) for g, _ in counts}
+    rows = [(*g, *n) for g, n in both.items()]
+    table = spark.createDataFrame(rows, "s0 int, s1 int, s2 int, s3 int, t long, o long")
+    expected, own = plain_ratios(both)
+    found = toxicity.ratios(table, toxicity.F.col("t"), toxicity.F.col("o")).collect()
+    assert len(found) == len(expected)
+    for r in found:
+        g = (r.s0, r.s1, r.s2, r.s3)
+        assert np.allclose((r.toxic_p, r.ordinary_p), expected[g])
+        assert math.isclose(r.ratio, math.log(expected[g][0] / expected[g][1]), abs_tol=1e-9)
+        unseen = (*g[:3], 77)  # a last symbol that no run has: what is left over, from the same backoff
+        assert math.isclose(r.open, math.log(own(unseen, 0) / own(unseen, 1)), abs_tol=1e-9)
+    symbols = {g[3] for g in both}
+    for context in {g[:3] for g in both}:
+        for k in (0, 1):
+            # All known last symbols and the share of the unknown one.
+            total = sum(own((*context, s), k) for s in symbols) + own((*context, 77), k)
+            assert math.isclose(total, 1, abs_tol=1e-9)
+
+
+def byte_rows(texts):
+    raw = [("" if t is None else t).encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
 
 
 def test_grams_count_every_run():
-    codes, rows = toxicity.grams(pa.array(["ab, b", None, "", "b"]))
-    symbols = {"a": 1, "b": 2, " ": 0}
+    texts = ["Ab,  b", None, "", " \n", " é1", "b "]
+    columns, rows = toxicity.grams(*byte_rows(texts))
+    expected = []
+    for row, folded in enumerate(["ab, b", "", "", "", "é1", "b "]):
+        padded = "\0\0\0" + folded
+        expected += [(row, padded[k : k + 4]) for k in range(len(folded))]
+    found = [(r, "".join(map(chr, c))) for r, c in zip(rows.tolist(), columns.tolist())]
+    assert found == expected
+
+
+def test_passages_are_the_highest_means():
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 19, 20, 21, 0, 200, 5]
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    values = rng.normal(size=len(rows))
+    found, at = toxicity.passages(values, rows, len(sizes)), 0
+    for n, size in enumerate(sizes):
+        own, at = values[at : at + size], at + size
+        width = min(size, toxicity.PASSAGE)
+        means = [own[k : k + width].mean() for k in range(size - width + 1)] if size else [0.0]
+        assert math.isclose(found[n], max(means), abs_tol=1e-9)
+    assert toxicity.passages(np.zeros(0), np.zeros(0, int), 2).tolist() == [0.0, 0.0]
+
+
+def test_counts_meet_over_many_blocks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 1)
+    rng = random.Random(2)
+    rows = [(n, rng.choice([0.0, 1.0, None]), n % 2, " ".join(rng.choices(["ab", "é", "1488", "x!"], k=9))) for n in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, label double, half int, text string").repartition(3)
     expected = Counter()
-    for row, text in ((0, "   ab b"), (3, "   b")):
-        for k in range(3, len(text)):
-            code = 0
-            for c in text[k - 3 : k + 1]:
-                code = code * 32 + symbols[c]
-            expected[row, code] += 1
-    found = Counter((r, c) for r, c in zip(rows.tolist(), codes.tolist()) if c % 32)
-    assert found == Counter({k: n for k, n in expected.items() if k[1] % 32})
+    for _, label, half, text in rows:
+        columns, _ = toxicity.grams(*byte_rows([text]))
+        for c in map(tuple, columns.tolist()):
+            if label is not None:
+                expected[c, "toxic" if label else "ordinary"] += 1
+                expected[c, "toxic_half" if label else "ordinary_half"] += half
+    found = Counter()
+    for r in toxicity.counts(toxicity._blocks(docs), 5).collect():
+        for name in toxicity._COUNTS:
+            found[(r.s0, r.s1, r.s2, r.s3), name] += r[name]
+    assert +found == +expected
+
+
+def test_toxic_documents_are_found_and_others_left_alone(spark, larger):
+    """Recall and precision, which an answer that is always the same does not reach."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    rows = [r for r in QUERIES["op9_toxicity"](spark, larger).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    toxic = [r for r in rows if labels[r.doc_id]]
+    found = [r for r in rows if r.predicted]
+    hits = sum(labels[r.doc_id] for r in found)
+    assert len(toxic) >= 5 and hits >= 0.8 * len(toxic) and hits >= 0.7 * len(found)
+
+
+@pytest.mark.parametrize("mark", ["1488", "żmija", "гад", "n0x!"])
+def test_digits_signs_and_other_letters_are_told_apart(spark, mark):
+    rng = random.Random(8)
+    plain = ["house", "река", "2024", "1977", "płot", "1350!", "été", "99"]
+    rows = []
+    for n in range(400):
+        own = rng.choices(plain, k=30)
+        if n % 4 == 0:
+            own[rng.randrange(30)] = mark
+        rows.append((n, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = known(spark, [(n, float(n % 4 == 0)) for n in range(100, 400)])
+    scores = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    assert sum(scores[n] >= 0.5 for n in range(0, 100, 4)) >= 24
+    assert sum(scores[n] >= 0.5 for n in range(100) if n % 4) <= 2
 
 
 def test_toxicity_learns_and_edges(spark):
