@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rosterlake.llm import sums
 from rosterlake.llm.arrays import mixed, runs
 from rosterlake.llm.letters import letter_runs
 from rosterlake.llm.shipping import ship
@@ -37,8 +39,9 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (hashed >> np.uint64(48)).astype(np.int64), rows[middle]
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, slot, n): trigram counts of the languages."""
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+    """Trigram counts of the languages, one array of `SLOTS` numbers each."""
+    ship(docs.sparkSession)
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
@@ -49,23 +52,16 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
                 own = slots[(langs == lang)[rows]]
                 totals[lang] = totals.get(lang, 0) + np.bincount(own, minlength=SLOTS)
         for lang, counts in totals.items():
-            used = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())],
-                names=["lang", "slot", "n"],
-            )
+            yield from sums.packed(TaskContext.get().partitionId(), counts, lang)
 
     rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counted = rows.mapInArrow(count, "lang string, slot int, n long")
-    return counted.groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    found = sums.total(rows.mapInArrow(count, sums.SCHEMA), SLOTS)
+    return {lang: counts for lang, counts in found.items() if counts.any()}
 
 
-def _model(counts: DataFrame) -> tuple[list[str], np.ndarray]:
-    table = counts.toPandas()  # at most languages x SLOTS rows
-    langs = sorted(table["lang"].unique())
-    number = {lang: n for n, lang in enumerate(langs)}
-    seen = np.zeros((SLOTS, len(langs)))
-    seen[table["slot"].to_numpy(np.int64), table["lang"].map(number).to_numpy(np.int64)] = table["n"]
+def _model(counts: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    langs = sorted(counts)
+    seen = np.stack([counts[lang] for lang in langs], 1).astype(float) if langs else np.zeros((SLOTS, 0))
     smooth = 0.1
     return langs, ((seen + smooth) / (seen.sum(0) + smooth * SLOTS)).astype(np.float32)
 
@@ -118,7 +114,7 @@ def infer(chances: np.ndarray, slots: np.ndarray, rows: np.ndarray):
     return found, share, chosen
 
 
-def identify(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, counts: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, languages) of every row; `languages` is the chosen set, by share."""
     ship(docs.sparkSession)
     langs, chances = _model(counts)

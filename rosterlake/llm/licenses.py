@@ -338,7 +338,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
         yield from sums.packed(TaskContext.get().partitionId(), total)
 
     measured = docs.select(F.col(text_col).alias("text")).mapInArrow(measure, sums.SCHEMA)
-    threshold = max(0.5, chance_passed_by(list(enumerate(sums.total(measured, BINS + 1).tolist())), FALSE_ALARMS))
+    counted = sums.total(measured, BINS + 1).get("", np.zeros(0, np.int64))
+    threshold = max(0.5, chance_passed_by(list(enumerate(counted.tolist())), FALSE_ALARMS))
     held = [set(np.concatenate(family).tolist()) for family in templates]
     least = min(int(np.ceil(AGREEMENT * min(len(t), 5))) for family in templates for t in family)
     kind = docs.schema[id_col].dataType.simpleString()

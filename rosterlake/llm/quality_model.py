@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterlake.llm import sums
 from rosterlake.llm.arrays import prefix_hashes, rows_of, runs, span_hashes, words
 from rosterlake.llm.labels import isotonic
 from rosterlake.llm.shipping import ship
@@ -143,6 +145,15 @@ class Model:
         return np.clip(np.interp(self.raw(x), self.steps, self.chances), 0, 1)
 
 
+def solved(equations: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge weights from the sums of products, the last row and the last but one column for the constant,
+    whose own product is the number of rows."""
+    n = len(equations)
+    penalty = ridge * equations[-1, -2] * np.eye(n) / (n - 1)
+    penalty[-1, -1] = 0
+    return np.linalg.solve(equations[:, :-1] + penalty + 1e-9 * np.eye(n), equations[:, -1])
+
+
 def fit(learning: DataFrame, n_fourier: int = N_FOURIER, ridge: float = RIDGE) -> Model:
     """A model from (x, label), label between 0 and 1."""
     width = len(FEATURES)
@@ -156,33 +167,35 @@ def fit(learning: DataFrame, n_fourier: int = N_FOURIER, ridge: float = RIDGE) -
     scale = np.array(moments[1 + width :], float)
     model = Model(np.array(moments[1 : 1 + width], float), np.where(scale > 1e-9, scale, 1.0), n_fourier)
 
+    shape = (n_fourier + 1, n_fourier + 2)
+    # By statistics, so that copies of a text are in one half.
+    halves = learning.select("x", "label", F.pmod(F.xxhash64("x"), F.lit(2)).cast("int").alias("half"))
+
     def add_up(batches):
-        total = np.zeros((n_fourier + 1, n_fourier + 2))
+        totals = np.zeros((2, *shape))
         for batch in batches:
-            z = model.fourier(_matrix(batch.column("x")))
-            y = np.asarray(batch.column("label"))
-            total[:, :-1] += z.T @ z
-            total[:, -1] += z.T @ y
-        rows, columns = np.indices(total.shape)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows.ravel(), pa.int32()), pa.array(columns.ravel(), pa.int32()), pa.array(total.ravel())],
-            names=["i", "j", "v"],
-        )
-
-    parts = learning.select("x", "label").mapInArrow(add_up, "i int, j int, v double")
-    summed = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()  # n_fourier squared rows
-    equations = np.zeros((n_fourier + 1, n_fourier + 2))
-    equations[summed["i"], summed["j"]] = summed["v"]
-    penalty = ridge * moments[0] * np.eye(n_fourier + 1) / n_fourier
-    penalty[-1, -1] = 0
-    model.weights = np.linalg.solve(equations[:, :-1] + penalty + 1e-9 * np.eye(n_fourier + 1), equations[:, -1])
+            z, y, half = model.fourier(_matrix(batch.column("x"))), np.asarray(batch.column("label")), np.asarray(batch.column("half"))
+            for h in (0, 1):
+                own = z[half == h]
+                totals[h, :, :-1] += own.T @ own
+                totals[h, :, -1] += own.T @ y[half == h]
+        for h in (0, 1):
+            yield from sums.packed(TaskContext.get().partitionId(), totals[h].ravel(), str(h))
+
+    found = sums.total(halves.mapInArrow(add_up, sums.SCHEMA), shape[0] * shape[1], whole=False)
+    equations = [found.get(str(h), np.zeros(shape[0] * shape[1])).reshape(shape) for h in (0, 1)]
+    model.weights = solved(equations[0] + equations[1], ridge)
+    # A row of one half is placed by the weights of the other: what has been fitted flatters itself.
+    other = [solved(e, ridge) if e[-1, -2] else model.weights for e in (equations[1], equations[0])]
 
     def place(batches):
         for batch in batches:
-            at = np.rint(np.clip(model.raw(_matrix(batch.column("x"))), -1, 2) * BINS)
+            half, z = np.asarray(batch.column("half")), model.fourier(_matrix(batch.column("x")))
+            raw = np.where(half == 0, z @ other[0], z @ other[1])
+            at = np.rint(np.clip(raw, -1, 2) * BINS)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.float64()), batch.column("label")], names=["at", "label"])
 
-    placed = learning.select("x", "label").mapInArrow(place, "at double, label double")
+    placed = halves.mapInArrow(place, "at double, label double")
     bins = placed.groupBy("at").agg(F.avg("label").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("at").toPandas()
     model.steps = bins["at"].to_numpy() / BINS
     model.chances = isotonic(model.steps, bins["y"].to_numpy(), bins["n"].to_numpy(float))

@@ -102,7 +102,7 @@ def bucket_counts(texts: DataFrame, rule: Resampling, text_col: str = "text") ->
             yield from sums.packed(TaskContext.get().partitionId(), counts)
 
     rows = texts.select(F.col(text_col).alias("text")).mapInArrow(count, sums.SCHEMA)
-    return sums.total(rows, rule.buckets)
+    return sums.total(rows, rule.buckets).get("", np.zeros(rule.buckets, np.int64))
 
 
 def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:

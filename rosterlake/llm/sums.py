@@ -12,37 +12,49 @@ from pyspark.sql import functions as F
 #: Numbers in a slice, and tasks whose slices meet first.
 SLICE = 512
 FAN_IN = 32
-SCHEMA = "task int, slice int, numbers binary"
+SCHEMA = "key string, task int, slice int, numbers binary"
 
 
-def packed(task: int, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of `SCHEMA` for the array of one task."""
-    cut = [numbers[a : a + SLICE].astype("<i8").tobytes() for a in range(0, len(numbers), SLICE)]
-    columns = [pa.array([task] * len(cut), pa.int32()), pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())]
-    yield pa.RecordBatch.from_arrays(columns, names=["task", "slice", "numbers"])
+def _kind(whole: bool) -> str:
+    return "<i8" if whole else "<f8"
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums, task, number = None, 0, 0
-    for batch in batches:
-        for row in batch.to_pylist():
-            mine = np.frombuffer(row["numbers"], "<i8")
-            sums = mine.copy() if sums is None else sums + mine
-            task, number = row["task"], row["slice"]
-    columns = [pa.array([task // FAN_IN], pa.int32()), pa.array([number], pa.int32()), pa.array([sums.tobytes()], pa.binary())]
-    yield pa.RecordBatch.from_arrays(columns, names=["task", "slice", "numbers"])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "task", "slice", "numbers"])
 
 
-def total(rows: DataFrame, length: int) -> np.ndarray:
-    """The sum of all arrays of `length` numbers; zeros without rows.
+def packed(task: int, numbers: np.ndarray, key: str = "") -> Iterator[pa.RecordBatch]:
+    """Rows of `SCHEMA` for the array of one task, of whole numbers or of floats."""
+    numbers = numbers.astype(_kind(np.issubdtype(numbers.dtype, np.integer)))
+    cut = [numbers[a : a + SLICE] for a in range(0, len(numbers), SLICE)]
+    if cut:
+        yield _batch([(key, task, n, c.tobytes()) for n, c in enumerate(cut)])
+
+
+def total(rows: DataFrame, length: int, whole: bool = True) -> dict[str, np.ndarray]:
+    """The sum of all arrays of `length` numbers with each key.
 
     Slices are added in two steps, `FAN_IN` tasks at a time and then all of them, so that no task
-    reads more than a part of one slice. The driver gets one array.
+    reads more than a part of one slice. The driver gets one array for a key. Floats are added in
+    the order of the tasks.
     """
-    first = rows.groupBy(F.expr(f"task div {FAN_IN}").alias("part"), "slice").applyInArrow(_add, SCHEMA)
-    found = first.groupBy("slice").applyInArrow(_add, SCHEMA).collect()
-    sums = np.zeros(length, np.int64)
-    for row in found:
-        part = np.frombuffer(bytes(row["numbers"]), "<i8")
+    kind = _kind(whole)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                held[row["task"]] = np.frombuffer(row["numbers"], kind)
+                key, number = row["key"], row["slice"]
+        summed = sum(held[t] for t in sorted(held))
+        yield _batch([(key, min(held) // FAN_IN, number, summed.tobytes())])
+
+    first = rows.groupBy("key", F.expr(f"task div {FAN_IN}").alias("part"), "slice").applyInArrow(add, SCHEMA)
+    found: dict[str, np.ndarray] = {}
+    for row in first.groupBy("key", "slice").applyInArrow(add, SCHEMA).collect():
+        part = np.frombuffer(bytes(row["numbers"]), kind)
+        sums = found.setdefault(row["key"], np.zeros(length, kind))
         sums[row["slice"] * SLICE : row["slice"] * SLICE + len(part)] = part
-    return sums
+    return found

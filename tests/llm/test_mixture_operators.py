@@ -116,8 +116,16 @@ def test_sums_of_many_tasks(spark):
                 yield from sums.packed(row["id"], np.arange(1300) * row["id"])
 
     rows = spark.range(200).mapInArrow(give, sums.SCHEMA)
-    assert sums.total(rows, 1300).tolist() == [19_900 * n for n in range(1300)]
-    assert not sums.total(rows.limit(0), 5).any()
+    assert sums.total(rows, 1300)[""].tolist() == [19_900 * n for n in range(1300)]
+    assert sums.total(rows.limit(0), 5) == {}
+
+    def halves(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from sums.packed(row["id"], np.arange(3) * 0.5, "ab"[row["id"] % 2])
+
+    found = sums.total(spark.range(100).mapInArrow(halves, sums.SCHEMA), 3, whole=False)
+    assert {k: v.tolist() for k, v in found.items()} == {"a": [0, 25, 50], "b": [0, 25, 50]}
 
 
 # --- alignment ---------------------------------------------------------------------------

@@ -61,6 +61,50 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.identify(edge_documents(spark), nothing).collect()} == {"und"}
 
 
+def test_mixtures_equal_a_plain_expectation_maximisation():
+    """Every document by itself, every set of languages, term by term."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(7)
+    n_langs, n_slots = 3, 40
+    chances = rng.dirichlet(np.full(n_slots, 0.2), n_langs).T + 1e-4
+    chances /= chances.sum(0)
+    table = np.full((language_id.SLOTS, n_langs), 1e-6)
+    table[:n_slots] = chances
+    rows, slots = [], []
+    for row in range(25):
+        shares = rng.dirichlet([0.4] * n_langs)
+        for lang in rng.choice(n_langs, rng.integers(1, 400), p=shares):
+            rows.append(row)
+            slots.append(rng.choice(n_slots, p=chances[:, lang]))
+    rows, slots = np.array(rows), np.array(slots)
+    found, share, chosen = language_id.infer(table, slots, rows)
+    assert found.tolist() == list(range(25))
+    for row in range(25):
+        own = [chances[s] for s in slots[rows == row]]
+        fee = language_id.PENALTY * math.log(len(own) + 1)
+
+        def em(langs):
+            mix = {k: 1 / len(langs) for k in langs}
+            for _ in range(language_id.ROUNDS):
+                parts = [{k: c[k] * mix[k] for k in langs} for c in own]
+                mix = {k: sum(p[k] / sum(p.values()) for p in parts) / len(own) for k in langs}
+            return mix, sum(math.log(sum(c[k] * mix[k] for k in langs)) for c in own)
+
+        by_share = sorted(range(n_langs), key=lambda k: -em(range(n_langs))[0][k])
+        best = max(combinations(range(n_langs), 1), key=lambda s: em(s)[1])
+        value = em(best)[1] - fee
+        for size in range(2, n_langs + 1):  # the languages with the greatest shares, while they gain
+            langs = by_share[:size]
+            if em(langs)[1] - size * fee <= value:
+                break
+            best, value = langs, em(langs)[1] - size * fee
+        assert set(np.flatnonzero(chosen[row]).tolist()) == set(best), row
+        if len(best) > 1:
+            mix = em(best)[0]
+            assert all(math.isclose(share[row, k], mix[k], abs_tol=1e-6) for k in best)
+
+
 # --- quality -----------------------------------------------------------------------------
 
 
@@ -97,6 +141,24 @@ def test_held_out_accuracy(spark, larger, name, label, least):
     assert held_out and sum(p == y for p, y in held_out) >= least * len(held_out)
 
 
+def test_ridge_equals_a_plain_solution(spark):
+    rng = np.random.default_rng(5)
+    width, n, n_fourier = len(quality_model.FEATURES), 300, 12
+    x = rng.normal(size=(n, width))
+    y = (x[:, 0] + 0.5 * rng.normal(size=n) > 0).astype(float)
+    learning = spark.createDataFrame([(v.tolist(), float(k)) for v, k in zip(x, y)], "x array<double>, label double")
+    model = quality_model.fit(learning.repartition(5), n_fourier, ridge=0.3)
+    z = model.fourier(x)
+    penalty = 0.3 * n / n_fourier
+    # The same objective by augmented least squares: the constant is not punished.
+    extra = np.sqrt(penalty) * np.eye(n_fourier + 1)
+    extra[-1] = 0
+    plain = np.linalg.lstsq(np.vstack([z, extra]), np.append(y, np.zeros(n_fourier + 1)), rcond=None)[0]
+    assert np.allclose(model.weights, plain, atol=1e-5)
+    assert np.all(np.diff(model.chances) >= 0) and ((model.chances >= 0) & (model.chances <= 1)).all()
+    assert np.allclose(x.mean(0), model.mean) and np.allclose(x.std(0), model.scale)
+
+
 def test_quality_edges(spark):
     labels = known(spark, [(5, 1.0), (4, 0.0), (99, 1.0)])
     assert quality_model.classify(edge_documents(spark), labels).count() == len(EDGE_TEXTS)
@@ -314,6 +376,39 @@ def test_chances_of_windows_equal_a_scan_of_each():
         assert np.allclose(found[k], expected)
 
 
+def test_scan_equals_every_window_by_itself(spark):
+    """The agreement of each window with each template as sets of pairs, without shortcuts."""
+    rng = random.Random(12)
+    plain = ["river", "stone", "under", "the", "license", "granted", "house", "of", "rights"]
+    rows = []
+    for n in range(80):
+        words = rng.choices(plain, k=60)
+        if n % 4 == 0:
+            family = rng.choice(list(licenses.TEMPLATES))
+            words[20:20] = rng.choice(licenses.TEMPLATES[family]).split()
+        rows.append((n, " ".join(words).replace("stone", "stone\n", 1)))
+    templates = licenses._template_grams()
+    agreed: dict[int, set[str]] = {}
+    for n, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        hashes, first, size, _ = licenses.windows(data, np.array([0, len(data)], np.int64))
+        for a, k in zip(first, size):
+            words = hashes[a : a + k]
+            own = set(licenses.grams(words)[1].tolist()) if k > 1 else set()
+            for family, sentences in zip(licenses.TEMPLATES, templates):
+                for sentence in sentences:
+                    common = len(own & set(sentence.tolist()))
+                    share = max(common / len(sentence), common / len(own) if len(own) >= 5 else 0)
+                    if share >= licenses.AGREEMENT:
+                        agreed.setdefault(n, set()).add(family)
+    found: dict[int, set[str]] = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.agreement >= licenses.AGREEMENT
+        found.setdefault(r.doc_id, set()).add(r.family)
+    assert set(found) == set(agreed)  # every document with a window that agrees, and no other
+    assert all(found[n] <= agreed[n] for n in found)
+
+
 def test_license_in_long_lines_and_edges(spark):
     filler = "plain words without any meaning stand here for a while and then some more of them follow "
     gpl = licenses.TEMPLATES["gpl-3.0"][0]
