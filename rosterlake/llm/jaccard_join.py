@@ -1,10 +1,13 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact set comparison decides.
+"""N-gram Jaccard join: MinHash prefixes propose, exact set comparison decides.
 
 Texts are sets of hashes of five consecutive words (runs of `[^\\x20\\x09-\\x0D]`, case kept); a
 text of one to four words is one shingle. Texts with equal sets form one class, represented by its
-least id, and only representatives are compared. Every tree of the forest orders signatures by
-its own hashes; texts that share a prefix in a tree meet. The prefix starts at the full label and is
-shortened until a pair at the threshold meets somewhere with the target probability.
+least id, and only representatives are compared. Every tree has its own hashes, and texts that share
+a prefix of them meet. A forest would shorten the prefixes of each text until it has met enough
+others. A join has to find every pair at the threshold with the target probability, also that of a
+text which has met many closer ones, so that shortening ends at the same length for all: the one that
+`prefix_length` gives. Longer labels and tries that are descended step by step would find no other
+pairs; only prefixes of that length are built.
 
 Texts that met, directly or through others, are compared exactly, in tiles of bounded size: a group
 of any size is cut into tiles, all pairs of tiles are compared, and each yields one count and one

@@ -7,12 +7,16 @@ id, or earlier in the same text. Strings are judged on the input.
    bytes names the window, so that equal windows have equal names, and windows of one name stand
    side by side in short contexts. Names that occur once in the corpus cannot repeat.
 2. Contexts of repeated names meet in buckets by name; equal contexts collapse to the first.
-   Each bucket builds the suffix order of its contexts, keeps the Burrows-Wheeler transform as runs
-   with a suffix sample at each run end, and the matching statistic of every row (reaches `length`
-   against an earlier start, or not) as a bit. All contexts are streamed backwards through the
-   runs, and rows that reach the length mark their windows.
+   Each bucket builds the suffix order of its contexts, keeps the Burrows-Wheeler transform as runs,
+   and the matching statistic of every row (reaches `length` against an earlier start, or not) as a
+   bit, for which the suffix order is read once, while it is there. All contexts are streamed
+   backwards through the runs, and rows that reach the length mark their windows. The streamed
+   contexts are the indexed ones, so that no row has to be located: suffix samples at run ends are
+   not needed and not kept.
 3. Names of very many contexts (frequent phrases) would fill one bucket. Their windows meet by the
-   hash of the whole window instead, which spreads over all buckets.
+   digest of the whole window instead, which spreads over all buckets. A block sends the first of
+   its equal windows only and marks the others itself, so that a passage of a third of all rows costs
+   a row per block.
 4. The marks return to the blocks.
 
 Null texts are empty; texts shorter than `length` keep all. Rows that repeat an id follow the order
@@ -21,6 +25,7 @@ in which they were stored; null ids follow all others. One row per row of the in
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -244,7 +249,6 @@ class RunIndex:
         change = np.flatnonzero(before[1:] != before[:-1]) + 1
         self.run_starts = np.concatenate([[0], change])
         run_ends = np.append(change, n)
-        self.samples = order[run_ends - 1]
         symbols = before[self.run_starts]
         by_symbol = np.argsort(symbols, kind="stable")
         sizes = (run_ends - self.run_starts)[by_symbol]
@@ -323,17 +327,42 @@ def _mark_bucket(parts: list[dict], length: int) -> Iterator[pa.RecordBatch]:
 
 
 def _mark_windows(parts: list[dict], length: int) -> Iterator[pa.RecordBatch]:
-    """Parts of one bucket: a ids, b rows, c starts, d hashes of single windows."""
+    """Parts of one bucket: a ids, b rows, c starts, d digests of single windows, 16 bytes each; without
+    digests the windows are late already."""
     block = np.repeat([p["block"] for p in parts], [len(_unzip(p["b"])) for p in parts])
     ids, row, start = (np.concatenate([_unzip(p[c]) for p in parts]) for c in "abc")
-    named = np.concatenate([_unzip(p["d"], np.uint64) for p in parts])
-    order = np.lexsort((start, row, block, ids, named))
-    late = np.zeros(len(order), bool)
-    late[1:] = named[order][1:] == named[order][:-1]
+    known = np.repeat([p["d"] is None for p in parts], [len(_unzip(p["b"])) for p in parts])
+    named = np.zeros((len(block), 2), np.uint64)
+    if not known.all():
+        named[~known] = np.concatenate([_unzip(p["d"], np.uint64) for p in parts if p["d"] is not None]).reshape(-1, 2)
+    order = np.lexsort((start, row, block, ids, named[:, 1], named[:, 0], known))
+    late = known[order]
+    late[1:] |= ~known[order][1:] & (named[order][1:] == named[order][:-1]).all(1)
     which = order[late]
     yield from _to_blocks(block[which], row[which], start[which], start[which] + length)
 
 
+def _hot_parts(data: bytes, hot: list[list[np.ndarray]], n_buckets: int, block: int, length: int) -> Iterator[dict]:
+    """The windows of frequent names in a block: of equal ones, the first goes to the bucket of its
+    digest and the others are late. `hot` has hashes, places in the block, ids, rows and starts."""
+    hashed, at, ids, row, start = (np.concatenate(x) for x in zip(*hot))
+    order = np.lexsort((start, row, ids, hashed))
+    hashed, at, ids, row, start = (x[order] for x in (hashed, at, ids, row, start))
+    first = np.ones(len(hashed), bool)
+    first[1:] = hashed[1:] != hashed[:-1]
+    if not first.all():
+        values = {c: _zip(x[~first]) for c, x in zip("abc", (ids, row, start))}
+        yield {"bucket": block % n_buckets, "block": block, **values, "d": None, "e": None}
+    places = at[first].tolist()
+    digests = b"".join([hashlib.blake2b(data[p : p + length], digest_size=16).digest() for p in places])
+    named = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    bucket = (named[:, 0] % np.uint64(n_buckets)).astype(np.int64)
+    for b in np.unique(bucket).tolist():
+        mine = bucket == b
+        values = {c: _zip(x[first][mine]) for c, x in zip("abc", (ids, row, start))}
+        yield {"bucket": b, "block": block, **values, "d": _zip(named[mine].ravel()), "e": None}
+
+
 def _to_blocks(block: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((a, row, block))
     block, row, a, b = (x[order] for x in (block, row, a, b))
@@ -368,7 +397,7 @@ def dedup(
             order = np.argsort(wanted)
             wanted, frequent = wanted[order], frequent[order]
             ids = np.array([_LAST if i is None else i for i in row["ids"]], np.int64)
-            rare, bodies, hot = [], [], []
+            rare, bodies, hot, held, base = [], [], [], [], 0
             for first, data, offsets, (name, start, end, _) in _contexts_of(row, length):
                 place = np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)
                 kept = wanted[place] == name
@@ -382,7 +411,9 @@ def dedup(
                     at = ragged(np.arange(len(data)), start[busy], n_windows)
                     of = np.repeat(np.flatnonzero(busy), n_windows)
                     hashed = span_hashes(prefix_hashes(data), at, at + length)
-                    hot.append([hashed, ids[text[of]], text[of], at - start[of] + begin[of]])
+                    hot.append([hashed, at + base, ids[text[of]], text[of], at - start[of] + begin[of]])
+                    held.append(data.tobytes())
+                    base += len(data)
             name, *values = (np.concatenate(x) for x in zip(*rare))
             body, at = np.concatenate(bodies), np.cumsum(values[-1]) - values[-1]
             for batch in _deal(name, n_buckets, row["block"], (*values, np.arange(len(name)))):
@@ -390,9 +421,7 @@ def dedup(
                 own = _unzip(listed["e"])
                 out.append(listed | {"e": _zip(ragged(body, at[own], values[-1][own]))})
             if hot:
-                hashed, *values = (np.concatenate(x) for x in zip(*hot))
-                for batch in _deal(hashed, n_buckets, row["block"], (*values, hashed)):
-                    out.append(batch.to_pylist()[0] | {"e": None})
+                out += _hot_parts(b"".join(held), hot, n_buckets, row["block"], length)
         return pa.Table.from_pylist(out, schema=_SELECTED)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
