@@ -19,19 +19,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def test_names_are_registered():
     names = driver.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(ORACLE) <= set(names)
 
 
 @pytest.mark.parametrize("name", list(ORACLE))
 def test_equal_to_duckdb(spark, sf_dir, name):
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     cursor = connection.execute(ORACLE[name])
     columns = [c[0] for c in cursor.description]
     result = driver.queries()[name](spark, sf_dir)
     assert sorted(result.columns) == sorted(columns)
-    assert sorted(map(tuple, result.select(*columns).collect())) == sorted(cursor.fetchall())
+    found = map(tuple, result.select(*columns).collect())
+    assert sorted(found, key=repr) == sorted(cursor.fetchall(), key=repr)
 
 
 def test_stages_equal_brute_force(spark, sf_dir):
