@@ -8,9 +8,10 @@ difference of its log-likelihoods per run, and a document by its most toxic pass
 make a long text toxic. Isotonic regression over the learning documents turns that into a
 chance; each of them is measured by models of the other half, as a model flatters what it has seen.
 
-Documents travel in blocks of bounded size, each with its distinct runs. Runs are dealt by their
-context to parts, where they meet the model and go back with their ratios; neither the model nor the
-runs of the corpus are gathered anywhere. Runs are told apart by 64-bit hashes.
+A model of at most `MODEL_RUNS` runs is sent to the tasks. A larger one stays a table: documents are
+packed into blocks of bounded size with their distinct runs, which are dealt by their context to
+parts, meet the model there and go back with their ratios. Both ways give the same results; the
+counts of the labelled text always meet in parts. Runs are told apart by 64-bit hashes.
 
 Without labelled rows of both classes every score is 0. A text without symbols scores as a
 difference of 0. One row per row of the input; repeated rows get equal scores.
@@ -40,7 +41,10 @@ DISCOUNT = 0.75
 PASSAGE = 20
 BINS = 20_000
 BLOCK_BYTES = 8 << 20
-#: Distinct runs of blocks for each part.
+#: Runs of a model that is sent to the tasks, 60 bytes each.
+MODEL_RUNS = 1_000_000
+#: Parts in which counts of labelled runs meet, and runs of blocks for each part in which they meet the model.
+PARTS = 256
 PART_RUNS = 2_000_000
 _COUNTS = ("toxic", "ordinary", "toxic_half", "ordinary_half")
 _SYMBOLS = ("s0", "s1", "s2", "s3")
@@ -108,79 +112,48 @@ def _spread(packed: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-# --- the corpus in blocks ----------------------------------------------------------------
+# --- the labelled text -------------------------------------------------------------------
 
 
-def _blocks(labelled: DataFrame) -> DataFrame:
-    """One row per block of (doc_id, label, half, text): its rows, their texts, and its distinct runs
-    with their counts in the labelled rows of each class and half."""
-    binary = T.BinaryType()
-    fields = {
-        "block": T.LongType(), "doc_ids": T.ArrayType(labelled.schema["doc_id"].dataType),
-        "labels": T.ArrayType(T.DoubleType()), "halves": T.ArrayType(T.IntegerType()),
-        "sizes": binary, "texts": binary, "symbols": binary, "counts": binary, "n_runs": T.LongType(),
-    }
-    schema = T.StructType([T.StructField(n, k) for n, k in fields.items()])
-    target = to_arrow_schema(schema)
+def _part(symbols: np.ndarray, parts: int) -> np.ndarray:
+    """Where a run meets the model: by its context, so that runs of a context are together."""
+    return (keys_of(symbols[:, :-1]) % np.uint64(parts)).astype(np.int64)
 
-    def close(number, rows, texts, sizes, symbols, counts):
-        every, totals = np.concatenate(symbols), np.concatenate(counts, axis=1)
-        _, distinct, position = _distinct(every)
-        summed = np.zeros((len(_COUNTS), len(distinct)), np.uint32)
-        for k in range(len(_COUNTS)):
-            summed[k] = np.bincount(position, totals[k], minlength=len(distinct))
-        columns = [pa.concat_arrays([r.column(k) for r in rows]) for k in range(3)]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-        packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-        values = [_squeeze(np.concatenate(sizes)), packed, _squeeze(distinct.ravel()), _squeeze(summed.ravel())]
-        arrays = [pa.array([number], pa.int64()), *lists, *(pa.array([v], pa.binary()) for v in values)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array([len(distinct)], pa.int64())], schema=target)
 
-    def cut(batches):
-        number = TaskContext.get().partitionId() << 32
-        held, size = ([], [], [], [], []), 0
+def counts(labelled: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(s0 .. s3, toxic, ordinary, toxic_half, ordinary_half) from (label, half, text): counts of the
+    runs over all labelled rows, and over those of half 1. Tasks add up some text before they deal it."""
+
+    def dealt_out(symbols, numbers):
+        _, distinct, position = _distinct(np.concatenate(symbols))
+        summed = [np.bincount(position, t, minlength=len(distinct)) for t in np.concatenate(numbers, axis=1)]
+        summed = np.array(summed, np.uint32)
+        part = _part(distinct, parts)
+        for p in np.unique(part).tolist():
+            mine = part == p
+            packed = [_squeeze(distinct[mine].ravel()), _squeeze(summed[:, mine].ravel())]
+            arrays = [pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["part", "symbols", "counts"])
+
+    def deal(batches):
+        symbols, numbers, size = [], [], 0
         for batch, data, offsets in runs(batches):
             columns, rows = grams(data, offsets)
             _, distinct, position = _distinct(columns)
-            label = batch.column(1).to_numpy(zero_copy_only=False)
+            label = batch.column(0).to_numpy(zero_copy_only=False)
             toxic, ordinary = label >= 0.5, label < 0.5  # neither without a label
-            half = batch.column(2).to_numpy(zero_copy_only=False) == 1
+            half = batch.column(1).to_numpy(zero_copy_only=False) == 1
             members = (toxic, ordinary, toxic & half, ordinary & half)
-            counts = np.stack([np.bincount(position[m[rows]], minlength=len(distinct)) for m in members])
-            for part, value in zip(held, (batch, data.tobytes(), np.diff(offsets), distinct, counts)):
-                part.append(value)
+            found = np.stack([np.bincount(position[m[rows]], minlength=len(distinct)) for m in members])
+            used = found.any(0)
+            symbols.append(distinct[used])
+            numbers.append(found[:, used])
             size += len(data)
             if size >= BLOCK_BYTES:
-                yield close(number, *held)
-                number, held, size = number + 1, ([], [], [], [], []), 0
-        if held[0]:
-            yield close(number, *held)
-
-    return materialise(labelled.select("doc_id", "label", "half", "text").mapInArrow(cut, schema), "toxicity-blocks")
-
-
-def _part(symbols: np.ndarray, parts: int) -> np.ndarray:
-    """Where a run meets the model: by its context, so that runs of a context are together."""
-    return (keys_of(symbols[:, :-1]) % np.uint64(parts)).astype(np.int64)
-
-
-def counts(blocks: DataFrame, parts: int) -> DataFrame:
-    """(s0 .. s3, toxic, ordinary, toxic_half, ordinary_half): counts of the runs over all labelled
-    rows, and over those of half 1."""
-
-    def deal(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                symbols = _spread(row["symbols"], np.uint32).reshape(-1, ORDER)
-                numbers = _spread(row["counts"], np.uint32).reshape(len(_COUNTS), -1)
-                used = numbers.any(0)
-                symbols, numbers = symbols[used], numbers[:, used]
-                part = _part(symbols, parts)
-                for p in np.unique(part).tolist():
-                    mine = part == p
-                    packed = [_squeeze(symbols[mine].ravel()), _squeeze(numbers[:, mine].ravel())]
-                    arrays = [pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["part", "symbols", "counts"])
+                yield from dealt_out(symbols, numbers)
+                symbols, numbers, size = [], [], 0
+        if symbols:
+            yield from dealt_out(symbols, numbers)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, numbers = np.zeros((0, ORDER), np.uint32), np.zeros((len(_COUNTS), 0))
@@ -195,7 +168,7 @@ def counts(blocks: DataFrame, parts: int) -> DataFrame:
         columns += [pa.array(t.astype(np.int64)) for t in numbers]
         yield pa.RecordBatch.from_arrays(columns, names=[*_SYMBOLS, *_COUNTS])
 
-    dealt = blocks.select("symbols", "counts").mapInArrow(deal, "part int, symbols binary, counts binary")
+    dealt = labelled.select("label", "half", "text").mapInArrow(deal, "part int, symbols binary, counts binary")
     schema = ", ".join([f"{s} int" for s in _SYMBOLS] + [f"{c} long" for c in _COUNTS])
     return dealt.groupBy("part").applyInArrow(merge, schema)
 
@@ -268,6 +241,33 @@ def model(counted: DataFrame) -> DataFrame:
     return joined
 
 
+_ANSWERS = [c for m in _MODELS for c in (m, f"{m}_open")]
+
+
+class Lookup:
+    """Ratios of runs by a model, or by the part of it that holds their contexts."""
+
+    def __init__(self, symbols: np.ndarray, values: list[np.ndarray]):
+        whole, context = keys_of(symbols), keys_of(symbols[:, :-1])
+        order, inner = np.argsort(whole), np.argsort(context)
+        self.runs, self.ratios = whole[order], [v[order] for v in values[::2]]
+        self.contexts, self.opens = [], []
+        for v in values[1::2]:
+            known = inner[~np.isnan(v[inner])]
+            keys, first = np.unique(context[known], return_index=True)
+            self.contexts.append(keys)
+            self.opens.append(v[known][first])
+
+    def __call__(self, symbols: np.ndarray) -> np.ndarray:
+        """models x runs: the run's ratio, that of its context, or 0 where the model has seen neither."""
+        whole, context = keys_of(symbols), keys_of(symbols[:, :-1])
+        found = []
+        for ratios_, keys, opens in zip(self.ratios, self.contexts, self.opens):
+            default = _looked_up(context, keys, opens, np.zeros(len(whole)))
+            found.append(_looked_up(whole, self.runs, ratios_, default).astype(np.float32))
+        return np.stack(found)
+
+
 def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
     """Values of the keys among the known ones, ascending; missing keys and values stay as given."""
     if not len(known):
@@ -277,10 +277,86 @@ def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, otherwis
     return np.where(hit, values[at], otherwise)
 
 
+def passages(values: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+    """The highest mean of PASSAGE runs in a row of every row, of all its runs where they are fewer; 0
+    without runs."""
+    sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    size = np.bincount(rows, minlength=n_rows)
+    begin = np.cumsum(size) - size
+    width = np.minimum(size, PASSAGE)
+    at = np.arange(len(values))
+    own = rows
+    inside = at + width[own] <= begin[own] + size[own]
+    at, own = at[inside], own[inside]
+    means = (sums[at + width[own]] - sums[at]) / np.maximum(width[own], 1)
+    found = np.zeros(n_rows)
+    held = np.flatnonzero(size)
+    if len(held):
+        found[held] = np.maximum.reduceat(means, np.searchsorted(own, held))
+    return found
+
+
+_RATIOS = ("ratio", "ratio_0", "ratio_1")
+
+
+def _by_tasks(rows: DataFrame, learned: DataFrame) -> DataFrame:
+    """(doc_id, ratio, ratio_0, ratio_1), with the model in every task."""
+    table = learned.toPandas()  # at most MODEL_RUNS rows
+    symbols = table[list(_SYMBOLS)].to_numpy(np.uint32)
+    lookup = Lookup(symbols, [table[n].to_numpy(float) for n in _ANSWERS])
+
+    def measure(batches):
+        for batch, data, offsets in runs(batches):
+            columns, owner = grams(data, offsets)
+            _, distinct, position = _distinct(columns)
+            means = [passages(a[position], owner, batch.num_rows) for a in lookup(distinct)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(m, pa.float64()) for m in means)], names=["doc_id", *_RATIOS]
+            )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(measure, f"doc_id {kind}, " + ", ".join(f"{n} double" for n in _RATIOS))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """One row per block of (doc_id, text): its ids and texts, and its distinct runs."""
+    binary = T.BinaryType()
+    fields = {
+        "block": T.LongType(), "doc_ids": T.ArrayType(rows.schema["doc_id"].dataType), "sizes": binary,
+        "texts": binary, "symbols": binary, "n_runs": T.LongType(),
+    }
+    schema = T.StructType([T.StructField(n, k) for n, k in fields.items()])
+    target = to_arrow_schema(schema)
+
+    def close(number, ids, texts, sizes, symbols):
+        _, distinct, _ = _distinct(np.concatenate(symbols))
+        row_ids = pa.concat_arrays(ids)
+        listed = pa.ListArray.from_arrays(pa.array([0, len(row_ids)], pa.int32()), row_ids)
+        packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        values = [_squeeze(np.concatenate(sizes)), packed, _squeeze(distinct.ravel())]
+        arrays = [pa.array([number], pa.int64()), listed, *(pa.array([v], pa.binary()) for v in values)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([len(distinct)], pa.int64())], schema=target)
+
+    def cut(batches):
+        number = TaskContext.get().partitionId() << 32
+        held, size = ([], [], [], []), 0
+        for batch, data, offsets in runs(batches):
+            columns, _ = grams(data, offsets)
+            for part, value in zip(held, (batch.column(0), data.tobytes(), np.diff(offsets), _distinct(columns)[1])):
+                part.append(value)
+            size += len(data)
+            if size >= BLOCK_BYTES:
+                yield close(number, *held)
+                number, held, size = number + 1, ([], [], [], []), 0
+        if held[0]:
+            yield close(number, *held)
+
+    return materialise(rows.mapInArrow(cut, schema), "toxicity-blocks")
+
+
 def _answered(blocks: DataFrame, learned: DataFrame, parts: int) -> DataFrame:
     """(block, part, answers): the ratios of every block's runs in each of the models."""
-    names = [c for m in _MODELS for c in (m, f"{m}_open")]
-    fields = "part int, block long, symbols binary, " + ", ".join(f"{n} double" for n in names)
+    fields = "part int, block long, symbols binary, " + ", ".join(f"{n} double" for n in _ANSWERS)
 
     def ask(batches):
         for batch in batches:
@@ -290,8 +366,8 @@ def _answered(blocks: DataFrame, learned: DataFrame, parts: int) -> DataFrame:
                 for p in np.unique(part).tolist():
                     packed = _squeeze(symbols[part == p].ravel())
                     arrays = [pa.array([p], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([packed], pa.binary())]
-                    arrays += [pa.nulls(1, pa.float64()) for _ in names]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["part", "block", "symbols", *names])
+                    arrays += [pa.nulls(1, pa.float64()) for _ in _ANSWERS]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["part", "block", "symbols", *_ANSWERS])
 
     def place(batches):
         for batch in batches:
@@ -299,81 +375,48 @@ def _answered(blocks: DataFrame, learned: DataFrame, parts: int) -> DataFrame:
             arrays = [pa.array(_part(symbols, parts).astype(np.int32)), pa.nulls(len(symbols), pa.int64())]
             arrays.append(pa.array([s.tobytes() for s in symbols], pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [*arrays, *(batch.column(n) for n in names)], names=["part", "block", "symbols", *names]
+                [*arrays, *(batch.column(n) for n in _ANSWERS)], names=["part", "block", "symbols", *_ANSWERS]
             )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, part, known, values = [], 0, [], []
+        asked, known, values = [], [np.zeros((0, ORDER), np.uint32)], [[np.zeros(0)] * len(_ANSWERS)]
         for batch in batches:
-            mine = batch.column("block").is_valid().to_numpy(zero_copy_only=False)
-            asked += batch.select(["part", "block", "symbols"]).filter(pa.array(mine)).to_pylist()
-            rest = batch.filter(pa.array(~mine))
-            if rest.num_rows:
-                raw = b"".join(rest.column("symbols").to_pylist())
-                known.append(np.frombuffer(raw, np.uint32).reshape(-1, ORDER))
-                values.append([rest.column(n).to_numpy(zero_copy_only=False) for n in names])
-        symbols = np.concatenate(known) if known else np.zeros((0, ORDER), np.uint32)
-        table = [np.concatenate(c) for c in zip(*values)] if values else [np.zeros(0)] * len(names)
-        whole, context = keys_of(symbols), keys_of(symbols[:, :-1])
-        order, inner = np.argsort(whole), np.argsort(context)
+            mine = batch.column("block").is_valid()
+            asked += batch.select(["part", "block", "symbols"]).filter(mine).to_pylist()
+            rest = batch.filter(batch.column("block").is_null())
+            known.append(np.frombuffer(b"".join(rest.column("symbols").to_pylist()), np.uint32).reshape(-1, ORDER))
+            values.append([rest.column(n).to_numpy(zero_copy_only=False) for n in _ANSWERS])
+        lookup = Lookup(np.concatenate(known), [np.concatenate(c) for c in zip(*values)])
         for row in asked:
-            own = _spread(row["symbols"], np.uint32).reshape(-1, ORDER)
-            own_keys, own_context = keys_of(own), keys_of(own[:, :-1])
-            found = []
-            for k in range(len(_MODELS)):
-                opened = table[2 * k + 1][inner]
-                seen = ~np.isnan(opened)
-                nothing = np.zeros(len(own))
-                default = _looked_up(own_context, context[inner][seen], opened[seen], nothing)
-                found.append(_looked_up(own_keys, whole[order], table[2 * k][order], default).astype(np.float32))
-            packed = _squeeze(np.concatenate(found))
+            packed = _squeeze(lookup(_spread(row["symbols"], np.uint32).reshape(-1, ORDER)).ravel())
             arrays = [pa.array([row["block"]], pa.int64()), pa.array([row["part"]], pa.int32()), pa.array([packed], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["block", "part", "answers"])
 
-    placed = learned.select(*_SYMBOLS, *names).mapInArrow(place, fields)
+    placed = learned.select(*_SYMBOLS, *_ANSWERS).mapInArrow(place, fields)
     both = blocks.select("block", "symbols").mapInArrow(ask, fields).union(placed)
     return both.groupBy("part").applyInArrow(answer, "block long, part int, answers binary")
 
 
-def passages(values: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
-    """The highest mean of PASSAGE runs in a row of every row, of all its runs where they are fewer; 0
-    without runs."""
-    sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    size = np.bincount(rows, minlength=n_rows)
-    begin = np.cumsum(size) - size
-    width = np.minimum(size, PASSAGE)
-    at = np.arange(len(values))
-    own = rows
-    inside = at + width[own] <= begin[own] + size[own]
-    at, own = at[inside], own[inside]
-    means = (sums[at + width[own]] - sums[at]) / np.maximum(width[own], 1)
-    found = np.zeros(n_rows)
-    held = np.flatnonzero(size)
-    if len(held):
-        found[held] = np.maximum.reduceat(means, np.searchsorted(own, held))
-    return found
-
-
-def _measured(blocks: DataFrame, answered: DataFrame, parts: int, kind: T.DataType) -> DataFrame:
-    """(doc_id, label, half, ratio, ratio_0, ratio_1): the most toxic passage by each of the models."""
-    names = ["ratio", "ratio_0", "ratio_1"]
+def _by_blocks(rows: DataFrame, learned: DataFrame) -> DataFrame:
+    """(doc_id, ratio, ratio_0, ratio_1), with the model as a table."""
+    blocks = _blocks(rows)
+    parts = (blocks.agg(F.sum("n_runs")).first()[0] or 0) // PART_RUNS + 1
+    answered = _answered(blocks, learned, parts)
     schema = T.StructType(
-        [T.StructField("doc_id", kind), T.StructField("label", T.DoubleType()), T.StructField("half", T.IntegerType())]
-        + [T.StructField(n, T.DoubleType()) for n in names]
+        [T.StructField("doc_id", rows.schema["doc_id"].dataType)] + [T.StructField(n, T.DoubleType()) for n in _RATIOS]
     )
     target = to_arrow_schema(schema)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [row for batch in batches for row in batch.to_pylist()]
-        block = next(r for r in rows if r["doc_ids"] is not None)
+        found_rows = [row for batch in batches for row in batch.to_pylist()]
+        block = next(r for r in found_rows if r["doc_ids"] is not None)
         symbols = _spread(block["symbols"], np.uint32).reshape(-1, ORDER)
         part, keys = _part(symbols, parts), keys_of(symbols)
         answers = np.zeros((len(_MODELS), len(keys)), np.float32)
-        for r in rows:
+        for r in found_rows:
             if r["doc_ids"] is None:
                 answers[:, part == r["part"]] = _spread(r["answers"], np.float32).reshape(len(_MODELS), -1)
-        texts = pa.array([zstandard.ZstdDecompressor().decompress(block["texts"])], pa.binary())
-        data = np.frombuffer(texts[0].as_buffer(), np.uint8)
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(block["texts"]), np.uint8)
         sizes = _spread(block["sizes"], np.int64)
         ends = np.cumsum(sizes)
         first, found = 0, []
@@ -385,33 +428,32 @@ def _measured(blocks: DataFrame, answered: DataFrame, parts: int, kind: T.DataTy
             at = np.searchsorted(keys, keys_of(columns))
             found.append(np.stack([passages(a[at], owner, last - first) for a in answers]))
             first = last
-        means = np.concatenate(found, axis=1) if found else np.zeros((len(_MODELS), 0))
-        columns = [pa.array(block[n], target.field(k).type) for k, n in enumerate(("doc_ids", "labels", "halves"))]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(m, pa.float64()) for m in means)], schema=target)
+        ids = pa.array(block["doc_ids"], target.field(0).type)
+        means = np.concatenate(found, axis=1)
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(m, pa.float64()) for m in means)], schema=target)
 
-    stored = blocks.select("block", "doc_ids", "labels", "halves", "sizes", "texts", "symbols")
+    stored = blocks.select("block", "doc_ids", "sizes", "texts", "symbols")
     return stored.unionByName(answered, allowMissingColumns=True).groupBy("block").applyInArrow(measure, schema)
 
 
-def classify(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(
+    docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_runs: int = MODEL_RUNS
+) -> DataFrame:
     """(doc_id, score) of every row of docs, learned from known (doc_id, label)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = known.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
     # Labels grow with the documents: both sides are sorted and merged at every size.
-    blocks = _blocks(rows.join(known.hint("merge"), "doc_id", "left"))
-    size = blocks.agg(F.sum("n_runs")).first()[0] or 0
-    parts = size // PART_RUNS + 1
-    counted = materialise(counts(blocks, parts), "toxicity-counts")
+    counted = materialise(counts(rows.join(known.hint("merge"), "doc_id")), "toxicity-counts")
     classes_seen = counted.agg(F.sum("toxic"), F.sum("ordinary")).first()
     if not classes_seen[0] or not classes_seen[1]:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
     learned = materialise(model(counted), "toxicity-model")
-    kind = rows.schema["doc_id"].dataType
-    measured = materialise(_measured(blocks, _answered(blocks, learned, parts), parts, kind), "toxicity-ratios")
+    measured = _by_tasks(rows, learned) if learned.count() <= model_runs else _by_blocks(rows, learned)
+    measured = materialise(measured, "toxicity-ratios")
     # A document of half 0 is measured by the model of half 1, and the reverse.
     apart = F.when(F.col("half") == 0, F.col("ratio_0")).otherwise(F.col("ratio_1"))
-    placed = measured.filter("label IS NOT NULL").select(F.rint(apart * BINS).alias("at"), "label")
+    placed = measured.join(known, "doc_id").select(F.rint(apart * BINS).alias("at"), "label")
     bins = placed.groupBy("at").agg(F.avg("label").alias("y"), F.count(F.lit(1)).alias("n")).toPandas()
     bins = bins.sort_values("at")
     steps = bins["at"].to_numpy() / BINS
@@ -422,4 +464,5 @@ def classify(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col
             scores = np.interp(np.asarray(batch.column("ratio")), steps, chances)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
-    return measured.select("doc_id", "ratio").mapInArrow(score, f"doc_id {kind.simpleString()}, score double")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return measured.select("doc_id", "ratio").mapInArrow(score, f"doc_id {kind}, score double")

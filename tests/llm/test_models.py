@@ -263,12 +263,22 @@ def test_counts_meet_over_many_blocks_and_parts(spark, monkeypatch):
                 expected[c, "toxic" if label else "ordinary"] += 1
                 expected[c, "toxic_half" if label else "ordinary_half"] += half
     found = Counter()
-    for r in toxicity.counts(toxicity._blocks(docs), 5).collect():
+    for r in toxicity.counts(docs, 5).collect():
         for name in toxicity._COUNTS:
             found[(r.s0, r.s1, r.s2, r.s3), name] += r[name]
     assert +found == +expected
 
 
+def test_a_model_as_a_table_scores_like_one_in_the_tasks(spark, larger, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(toxicity, "PART_RUNS", 20_000)
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    labels = spark.read.parquet(f"{larger}/labels.parquet").selectExpr("doc_id", "double(toxic) AS label")
+    found = [sorted(map(tuple, toxicity.classify(docs, labels, model_runs=n).collect())) for n in (10**9, 0)]
+    assert [i for i, _ in found[0]] == [i for i, _ in found[1]]
+    assert np.allclose([s for _, s in found[0]], [s for _, s in found[1]], atol=1e-4)
+
+
 def test_toxic_documents_are_found_and_others_left_alone(spark, larger):
     """Recall and precision, which an answer that is always the same does not reach."""
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
