@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +69,8 @@ class Side:
     """Ids of words, remembered, and the bytes of ids."""
 
     def __init__(self, encode, pieces: list[bytes]):
-        self._encode, self._known = encode, {}
+        self._encode = encode
+        self._forget()
         self.sizes = np.array([len(p) for p in pieces], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.spelled = np.frombuffer(b"".join(pieces), np.uint8)
@@ -80,14 +81,23 @@ class Side:
         raw = data.tobytes()
         listed = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         if len(self._known) > REMEMBERED:
-            self._known.clear()
-        new = [w for w in listed if w not in self._known]
-        self._known.update(zip(new, self._encode([w.decode("utf-8", "replace") for w in new])))
-        own = [self._known[w] for w in listed]
-        size = np.array([len(i) for i in own], np.int64)
-        pool = np.concatenate(own) if own else np.zeros(0, np.int64)
-        at = np.cumsum(size) - size
-        return ragged(pool, at[number], size[number]), size[number]
+            self._forget()
+        known = self._known
+        new = [w for w in listed if w not in known]
+        if new:
+            encoded = self._encode([w.decode("utf-8", "replace") for w in new])
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            found = np.fromiter(chain.from_iterable(encoded), np.int64, int(sizes.sum()))
+            self._pool, self._size = np.append(self._pool, found), np.append(self._size, sizes)
+            self._at = np.cumsum(self._size) - self._size
+        word = np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))[number]
+        return ragged(self._pool, self._at[word], self._size[word]), self._size[word]
+
+    def _forget(self) -> None:
+        """The remembered words by number, and the ids of all of them in a row."""
+        self._known: dict[bytes, int] = {}
+        self._pool, self._size, self._at = (np.zeros(0, np.int64) for _ in range(3))
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         return ragged(self.spelled, self.starts[ids], self.sizes[ids])
@@ -102,7 +112,7 @@ def _byte_side(path: str) -> Side:
     tokenizer.encode_special_tokens = True
 
     def encode(found):
-        return [np.array(e.ids, np.int64) for e in tokenizer.encode_batch(found, add_special_tokens=False)]
+        return [e.ids for e in tokenizer.encode_batch(found, add_special_tokens=False)]
 
     return Side(encode, id_pieces(path))
 
@@ -118,12 +128,12 @@ def _piece_side(path: str) -> Side:
         bytes([int(name[3:5], 16)]) if model.is_byte(i) else name.replace(BLANK, " ").encode()
         for i, name in enumerate(names)
     ]
-    one = np.array([model.piece_to_id(BLANK)], np.int64)
+    one = [model.piece_to_id(BLANK)]
 
     def encode(found):
         # A word begins with spaces, of which the model adds the first.
         ids = model.encode([w[1:] for w in found], num_threads=1)
-        return [np.array(i, np.int64) if len(w) > 1 else one for w, i in zip(found, ids)]
+        return [i if len(w) > 1 else one for w, i in zip(found, ids)]
 
     return Side(encode, pieces)
 
@@ -218,8 +228,10 @@ def _aligned(data: np.ndarray, offsets: np.ndarray, sides: tuple[Side, Side]):
     if not len(rows):
         return numbers, digests, none, none, none
     stop_a, stop_b = np.cumsum(sides[0].sizes[a]), np.cumsum(sides[1].sizes[b])
-    both = np.intersect1d(stop_a, stop_b, assume_unique=True)
-    links = np.union1d(stop_a, stop_b)  # between two stops in a row, one token of each side
+    # Sorting two ascending runs is a merge.
+    stops = np.sort(np.concatenate([stop_a, stop_b]), kind="stable")
+    twice = np.append(stops[1:] == stops[:-1], False)
+    both, links = stops[twice], stops[~twice]  # between two links in a row, one token of each side
     of_a, of_b = np.searchsorted(stop_a, links), np.searchsorted(stop_b, links)
     cuts = [np.concatenate([[0], np.searchsorted(x, ends, "right")]) for x in (stop_a, stop_b, both, links)]
     numbers[:, rows] = [np.diff(c) for c in cuts]
