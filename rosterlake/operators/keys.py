@@ -70,8 +70,12 @@ def assign_dense_keys(
 def _shifted(
     placed: DataFrame, key: str, start: int | Column, blocks: DataFrame | None = None
 ) -> DataFrame:
-    """Positions within blocks to keys over all blocks."""
-    offsets = _offsets(placed.select("__block") if blocks is None else blocks)
+    """Positions within blocks to keys over all blocks.
+
+    The offsets are written, so that the planner broadcasts them by their real size: planned from an
+    estimate, the join would shuffle all rows, once for every reader of the result.
+    """
+    offsets = materialise(_offsets(placed.select("__block") if blocks is None else blocks), f"offsets-{key}")
     first = start if isinstance(start, Column) else F.lit(start)
     return (
         placed.join(offsets, "__block")

@@ -18,6 +18,7 @@ from rosterlake.operators.merge import insert_ignore, keep_one
 from rosterlake.operators.timeline import open_end
 from rosterlake.plans.oltp import prefer_current
 from rosterlake.schemas import OLAP, SOURCE_KEY
+from rosterlake.session import materialise
 from rosterlake.sources.seeds import unknown_project
 
 UNKNOWN_PROJECT_KEY = 1
@@ -60,15 +61,13 @@ def employee_versions(staging: DataFrame) -> DataFrame:
     """Deduplicated, cleansed versions with recomputed end date, current flag and ``emp_key``.
 
     The review measures ride along, so that reviews and facts of the same load need no join
-    back to the dimension. One exchange and one sort serve the LEAD and the keys; after the
-    dedup an employee has at most one row per day, which bounds the window and the blocks.
+    back to the dimension. Dedup, LEAD and keys run over the columns they need; the chosen rows
+    get the others by one hash join, so that whole rows are shuffled once and never sorted. One
+    exchange and one sort serve the LEAD and the keys; after the dedup an employee has at most one
+    row per day, which bounds the window and the blocks.
     """
-    rows = dedup_staging(staging).select(
-        "employee_id",
-        "effective_start_date",
-        *cleanse.aliased(cleanse.employee_columns()),
-        *cleanse.aliased(cleanse.review_columns()),
-    )
+    on_day = ["employee_id", "effective_start_date"]
+    rows = dedup_staging(staging.select(*on_day, "is_current", SOURCE_KEY))
     by_start = Window.partitionBy("__block", "employee_id").orderBy("effective_start_date")
     following = F.lead("effective_start_date").over(by_start)
     versions = (
@@ -78,7 +77,41 @@ def employee_versions(staging: DataFrame) -> DataFrame:
         .withColumn("is_current", F.when(F.col("__following").isNull(), 1).otherwise(0))
         .drop("__following")
     )
-    return number_blocks(versions, ["employee_id", "effective_start_date"], "emp_key")
+    keyed = number_blocks(versions, on_day, "emp_key")
+    return _with_staged_columns(keyed, staging)
+
+
+def _with_staged_columns(keyed: DataFrame, staging: DataFrame) -> DataFrame:
+    """Keyed versions with the cleansed columns of their staged rows.
+
+    A version is one row of staging by its employee, day and source row number, so neither side of
+    the join is skewed. Where staging repeats a source row number, one of its rows stays.
+    """
+    chosen = keyed.select(
+        F.col("employee_id").alias("__employee"),
+        F.col("effective_start_date").alias("__start"),
+        F.col(SOURCE_KEY).alias("__source"),
+        "effective_end_date",
+        "is_current",
+        "emp_key",
+    )
+    staged = staging.select(
+        "employee_id",
+        "effective_start_date",
+        *cleanse.aliased(cleanse.employee_columns()),
+        *cleanse.aliased(cleanse.review_columns()),
+        SOURCE_KEY,
+    )
+    same = (
+        (F.col("employee_id") == F.col("__employee"))
+        & (F.col("effective_start_date") == F.col("__start"))
+        & F.col(SOURCE_KEY).eqNullSafe(F.col("__source"))
+    )
+    versions = staged.join(chosen.hint("shuffle_hash"), same).drop("__employee", "__start", "__source", SOURCE_KEY)
+    versions = materialise(versions, "versions")
+    if versions.count() > chosen.count():
+        versions = keep_one(versions, ["emp_key"], [F.col(c) for c in versions.columns])
+    return versions
 
 
 def dim_employee(versions: DataFrame) -> DataFrame:
@@ -177,7 +210,8 @@ def fact_reviews_of_versions(
 
 def reviews_of_versions(versions: DataFrame, employees: DataFrame) -> DataFrame:
     """PERFORMANCE_REVIEWS from the versions of the same load, in version order."""
-    known = versions.join(employees.select("employee_id"), "employee_id", "left_semi")
+    rows = versions.select("emp_key", "employee_id", "effective_start_date", *_MEASURES[:-1])
+    known = rows.join(employees.select("employee_id"), "employee_id", "left_semi")
     keyed = assign_dense_keys(known, "emp_key", "review_id")
     return keyed.select(
         "review_id",
