@@ -235,11 +235,12 @@ def fact_reviews_v1(
     version = dim_employee.select("employee_id", "effective_start_date", "emp_key")
     project = assignments.select("employee_id", "project_id").join(
         dim_project.select("project_id", "project_key"), "project_id", "left"
-    )
+    ).select("employee_id", "project_key")
+    # Versions fan out before they meet the staged rows, which are shuffled once and never sorted.
+    version = version.join(project, "employee_id", "left")
     return (
-        staging.join(version, ["employee_id", "effective_start_date"])
+        staging.join(version.hint("shuffle_hash"), ["employee_id", "effective_start_date"])
         .join(dim_department.select("department_id", "dept_key"), "department_id")
-        .join(project, "employee_id", "left")
         .select(
             SOURCE_KEY,
             "emp_key",
