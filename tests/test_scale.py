@@ -86,6 +86,48 @@ def test_versions_take_two_exchanges(loaded, no_broadcast, monkeypatch):
     assert plan[: plan.index("Exchange")].count("Sort [") == 1
 
 
+def test_whole_staged_rows_are_never_sorted_for_versions(loaded, no_broadcast, monkeypatch):
+    """Dedup, LEAD and keys carry narrow rows; one hash join brings the other columns."""
+    stored = {}
+    monkeypatch.setattr(keys, "materialise", lambda df, name: stored.setdefault(name, df))
+    monkeypatch.setattr(olap, "materialise", lambda df, name: stored.setdefault(name, df))
+    olap.employee_versions(loaded.staging)
+    assert "email" not in plan_of(stored["keys-emp_key"])
+    assert "ShuffledHashJoin" in plan_of(stored["versions"])
+
+
+def test_repeated_source_rows_give_one_version(loaded):
+    once, twice = (olap.employee_versions(s) for s in (loaded.staging, loaded.staging.unionByName(loaded.staging)))
+    assert rows(olap.dim_employee(twice)) == rows(olap.dim_employee(once))
+
+
+def test_offsets_are_broadcast_by_their_real_size(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        numbered = keys.assign_dense_keys(spark.range(200_000).withColumnRenamed("id", "n"), "n", "key")
+        assert "SortMergeJoin" not in plan_of(numbered)
+        assert numbered.filter("key <> n + 1").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stored_partitions_keep_the_order_of_their_key(loaded):
+    """Alike rows stand together, so that a copy of the table shuffles no more than the load did."""
+    stored = loaded.spark.read.parquet(loaded.store.folder("dim_employee")).select(
+        F.input_file_name().alias("f"), "emp_key"
+    )
+    for file, found in stored.groupBy("f").agg(F.collect_list("emp_key")).collect():
+        assert found == sorted(found), file
+
+
+def test_fanning_facts_shuffle_staged_rows_once(loaded, no_broadcast):
+    plan = plan_of(registry.fact_reviews_v1_fanout(loaded))
+    assert "ShuffledHashJoin" in plan
+    staged = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("effective_start_date" in line for line in staged) == 2  # both sides of one join
+
+
 def test_joins_beyond_broadcast_size_are_sort_merge(loaded, no_broadcast):
     plan = plan_of(registry.top_performers_by_department(loaded))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
