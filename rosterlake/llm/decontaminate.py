@@ -22,6 +22,7 @@ repeated rows repeat.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,12 +36,12 @@ from rosterlake.llm.shipping import ship
 
 #: Share of the copies with EDIT_SHARE of their bytes changed in which each item has to be found.
 RECALL = 0.98
-#: Changed copies of each item by which the recall is measured, and bytes of them at most.
+#: Changed copies of each item by which the recall is measured, and bytes of the items measured at once.
 COPIES = 64
-COPY_BYTES = 16 << 20
-#: Repetitions with the same bound, and bounds: walks expected by chance at a document's word.
+PART_BYTES = 256 << 10
+#: Repetitions with the same bound, and bounds: chance of a document's word to meet a walk of an item.
 ROUNDS = 3
-CHANCES = (0.004, 0.04, 0.4, 4.0)
+CHANCES = (5e-7, 5e-6, 5e-5, 5e-4)
 #: Sampled steps of a walk at most.
 SAMPLES = 8
 #: Edits allowed, as a share of the item's bytes.
@@ -167,22 +168,26 @@ def candidates(hashes: np.ndarray, repetitions: list[Repetition]):
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def changed_copies(data: np.ndarray, offsets: np.ndarray, share: float, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with a share of their bytes, at random places, replaced, followed by another or gone."""
-    rng = np.random.default_rng([3, number])
-    kind = np.where(rng.random(len(data)) < share, rng.integers(1, 4, len(data)), 0)
-    times = np.where(kind == 2, 2, np.where(kind == 3, 0, 1))
-    own = np.where(kind == 1, rng.integers(97, 123, len(data)), data)
-    copy = np.repeat(own, times).astype(np.uint8)
-    ends = np.cumsum(times)
-    extra = ends[kind == 2] - 1
-    copy[extra] = rng.integers(97, 123, len(extra))
-    return copy, np.concatenate([[0], ends])[offsets]
-
-
-def recalls(copies: list, n_items: int, repetitions: list[Repetition]) -> np.ndarray:
+def changed_copies(texts: list[bytes], share: float, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a share of their bytes, at random places, replaced, followed by another or gone.
+    The places follow from the text itself, whatever other texts stand beside it."""
+    parts = []
+    for text in texts:
+        seed = np.frombuffer(hashlib.blake2b(text, digest_size=16).digest(), np.uint32)
+        rng = np.random.default_rng([3, number, *seed.tolist()])
+        data = np.frombuffer(text, np.uint8)
+        kind = np.where(rng.random(len(data)) < share, rng.integers(1, 4, len(data)), 0)
+        own = np.where(kind == 1, rng.integers(97, 123, len(data)), data)
+        copy = np.repeat(own, np.where(kind == 2, 2, np.where(kind == 3, 0, 1))).astype(np.uint8)
+        extra = np.cumsum(np.where(kind == 2, 2, np.where(kind == 3, 0, 1)))[kind == 2] - 1
+        copy[extra] = rng.integers(97, 123, len(extra))
+        parts.append(copy.tobytes())
+    return _joined(parts)
+
+
+def recalls(copies, n_items: int, repetitions: list[Repetition]) -> np.ndarray:
     """For each item, whether the repetitions find it in each of the copies."""
-    found = np.zeros((n_items, len(copies)), bool)
+    found = np.zeros((n_items, COPIES), bool)
     for n, (hashes, at) in enumerate(copies):
         window, item, _ = candidates(hashes, repetitions)
         row = np.searchsorted(at, window, "right") - 1
@@ -190,6 +195,45 @@ def recalls(copies: list, n_items: int, repetitions: list[Repetition]) -> np.nda
     return found
 
 
+def _bounds() -> list[float]:
+    return [chance for chance in CHANCES for _ in range(ROUNDS)]
+
+
+def measured(texts: list[bytes], share_of, edit_share: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, how many repetitions it needs, and the copies in which they find it."""
+    data, offsets = _joined(texts)
+    hashes, starts, at = _word_hashes(data, offsets)
+    share = share_of(hashes)
+
+    def copies():
+        for n in range(COPIES):
+            own, _, own_at = _word_hashes(*changed_copies(texts, edit_share, n))
+            yield own, own_at
+
+    held = list(copies()) if len(data) <= PART_BYTES else None  # those of one long text are made anew
+    needed, seen = np.zeros(len(texts), np.int64), np.zeros((len(texts), COPIES), bool)
+    for number, bound in enumerate(_bounds()):
+        chosen = seen.sum(1) < recall * COPIES
+        if not chosen.any():
+            break
+        needed[chosen] = number + 1
+        own = repetition(number, hashes, starts, at, offsets, share, bound, chosen)
+        seen |= recalls(held or copies(), len(texts), [own])
+    return needed, seen
+
+
+def _parts(chosen: np.ndarray, sizes: np.ndarray):
+    """The chosen numbers in runs of at most `PART_BYTES` bytes, or of one."""
+    first, total = 0, 0
+    for n, size in enumerate(sizes[chosen].tolist()):
+        if n > first and total + size > PART_BYTES:
+            yield chosen[first:n]
+            first, total = n, 0
+        total += size
+    if len(chosen):
+        yield chosen[first:]
+
+
 @dataclass
 class Index:
     """Walks and pieces of the items that may be edited, and {words: {hash of the whole: items}} of
@@ -202,29 +246,24 @@ class Index:
 
 
 def build(items: list[bytes], share_of, edit_share: float = EDIT_SHARE, recall: float = RECALL) -> Index:
-    """The index of the items; share_of gives the share of a word, by hash, of all words."""
+    """The index of the items; share_of gives the share of a word, by hash, of all words.
+
+    Copies, repetitions and bounds of an item are its own: other items and their number change none.
+    """
     data, offsets = _joined(items)
     hashes, starts, at = _word_hashes(data, offsets)
     counts, share = np.diff(at), share_of(hashes)
     reach = (np.diff(offsets) * edit_share).astype(np.int64)
     edited = (counts > 0) & (reach > 0)
-    copies = []
-    for n in range(max(8, min(COPIES, COPY_BYTES // max(len(data), 1))) if edited.any() else 0):
-        copy, places = changed_copies(data, offsets, edit_share, n)
-        own, _, own_at = _word_hashes(copy, places)
-        copies.append((own, own_at))
-    found: list[Repetition] = []
-    seen = np.zeros((len(items), len(copies)), bool)
-    for chance in CHANCES:
-        for _ in range(ROUNDS):
-            chosen = edited & (seen.sum(1) < recall * len(copies))
-            if not chosen.any():
-                break
-            own = repetition(len(found), hashes, starts, at, offsets, share, chance / len(hashes), chosen)
-            found.append(own)
-            seen |= recalls(copies, len(items), [own])
+    needed, seen = np.zeros(len(items), np.int64), np.zeros((len(items), COPIES), bool)
+    for part in _parts(np.flatnonzero(edited), np.diff(offsets)):
+        needed[part], seen[part] = measured([items[n] for n in part], share_of, edit_share, recall)
+    found = [
+        repetition(number, hashes, starts, at, offsets, share, bound, needed > number)
+        for number, bound in enumerate(_bounds()[: needed.max(initial=0)])
+    ]
     pieces = []
-    for n in np.flatnonzero(edited & (seen.sum(1) < recall * len(copies))).tolist():
+    for n in np.flatnonzero(edited & (seen.sum(1) < recall * COPIES)).tolist():
         cuts = [len(items[n]) * k // (int(reach[n]) + 1) for k in range(int(reach[n]) + 2)]
         pieces += [(n, a, items[n][a:b]) for a, b in zip(cuts, cuts[1:])]
         seen[n] = True

@@ -230,6 +230,25 @@ def test_recall_is_reached_by_every_item():
     assert len(index.recall) == 4 and index.recall.min() >= decontaminate.RECALL
 
 
+def test_walks_of_an_item_do_not_depend_on_the_other_items():
+    """Every item is measured on as many copies and walks alike, however many items there are."""
+    rng = random.Random(9)
+    items = [" ".join("".join(rng.choices("aeiourstlmn", k=rng.randrange(3, 9))) for _ in range(40)).encode() for _ in range(2000)]
+    shares = lambda hashes: decontaminate.np.full(len(hashes), 0.002)
+
+    def ends(index, item):
+        return [
+            [sorted(zip(keys[items == item].tolist(), places[items == item].tolist())) for keys, items, places in own.ends]
+            for own in index.repetitions
+            if any((items == item).any() for _, items, _ in own.ends)
+        ]
+
+    many = decontaminate.build(items, shares)
+    few = decontaminate.build([items[1234], items[7]], shares)
+    assert ends(few, 0) and (ends(few, 0), ends(few, 1)) == (ends(many, 1234), ends(many, 7))
+    assert few.recall.tolist() == many.recall[[1234, 7]].tolist()
+
+
 def test_decontamination_edges(spark):
     items = spark.createDataFrame(
         [(1, None), (2, ""), (3, "one two three"), (4, LONG_ITEM), (4, LONG_ITEM)], "item_id long, text string"
