@@ -306,6 +306,40 @@ def test_dedup_edges(spark):
     assert suffix_dedup.dedup(no_documents(spark)).count() == 0
 
 
+def random_texts(rng, n, size):
+    return ["".join(rng.choices("abcdefgh ", k=size)) for _ in range(n)]
+
+
+def test_texts_that_share_a_phrase_only_send_no_context(spark):
+    rng = random.Random(4)
+    phrase, *texts_ = ["".join(rng.choices("abcdefgh ", k=60)), *random_texts(rng, 60, 400)]
+    rows = [(n, text[:200] + phrase + text[200:]) for n, text in enumerate(texts_)]
+
+    def sent(rows):
+        blocks = suffix_dedup._blocks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "doc_id", "text")
+        names = suffix_dedup._repeated(blocks, 100, 3, suffix_dedup.FREQUENT)
+        return sum(r.n_bytes for r in names.collect())
+
+    assert sent(rows) == 0
+    passage = texts_[7][20:150]  # 31 windows: their contexts go on, and no others
+    assert 2 * 130 <= sent(rows + [(60, texts_[50][:100] + passage)]) < 2000
+
+
+@pytest.mark.parametrize("groups", [1, 3, 2_048])
+def test_dedup_of_any_number_of_groups(spark, monkeypatch, groups):
+    for name, value in (("GROUP_BYTES", 500), ("GROUP_NAMES", 5), ("GROUPS", groups)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(groups)
+    texts_ = random_texts(rng, 40, 600)
+    for n in range(0, 40, 2):  # passages from elsewhere, and frequent ones that no block holds twice
+        texts_[n] = texts_[n][:250] + texts_[n + 1][100 + n : 300 + n] + texts_[n][250:]
+        texts_[n + 1] += texts_[1][:130]
+    rows = list(enumerate(texts_))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(20, "doc_id")
+    for often in (3, suffix_dedup.FREQUENT):
+        check_dedup(suffix_dedup.dedup(frame, often=often).collect(), [(i, t.encode()) for i, t in rows], 100)
+
+
 # --- secrets -----------------------------------------------------------------------------
 
 
